@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cathodyne.llm.mixing import MIX_SQL, mix_sources
 from cathodyne.llm.simhash import simhash_groups
 
 
@@ -14,13 +15,21 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mix_sources(_table(spark, sf_dir, "documents"), weights=(5, 2, 1), max_epochs=3)
+    return out.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash_groups(_table(spark, sf_dir, "documents"), max_bits=4, width=4)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_mix": op2_mix,
     "op10_simhash": op10_simhash,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_mix": MIX_SQL,
+}
