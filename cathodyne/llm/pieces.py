@@ -1,0 +1,111 @@
+"""Whole-text encoding with a sentencepiece model, sped up by a bounded memory of segments."""
+
+from __future__ import annotations
+
+import hashlib
+import re
+from array import array
+from collections.abc import Iterator
+
+import numpy as np
+import sentencepiece
+
+#: Characters of text that are split into segments at once, and segments that are remembered.
+BLOCK, MEMORY = 1 << 20, 300_000
+
+_IRREGULAR = re.compile(r" [^ \n]*|\n[^ \n]*")
+
+
+def model_bytes(path: str) -> bytes:
+    with open(path, "rb") as f:
+        return f.read()
+
+
+def model_digest(model: bytes) -> str:
+    return f"{hashlib.sha256(model).hexdigest()}-{sentencepiece.__version__}"
+
+
+class Encoder:
+    """Token ids of whole texts, as little-endian uint32 or, if they fit, uint16 bytes.
+
+    Where no piece of the model has a space after another character and none holds a line feed, no
+    merge crosses the place before a run of spaces or before a line feed, so a text's tokens are its
+    segments' tokens one after another, and the segments can be remembered. Otherwise, and for texts
+    that hold the model's own space mark, the library encodes the whole text.
+    """
+
+    def __init__(self, model: bytes):
+        self.sp = sentencepiece.SentencePieceProcessor(model_proto=model)
+        pieces = [self.sp.id_to_piece(i) for i in range(self.sp.get_piece_size())]
+        plain = self.sp.normalize("  a  b \tﬁ\n") == "▁▁▁a▁▁b▁\tﬁ\n"
+        self.splits = plain and not any(re.search("[^▁]▁|\n", p) for p in pieces)
+        self.dtype = np.dtype("=u2" if len(pieces) <= 1 << 16 else "=u4")
+        self.space = self.sp.piece_to_id("▁")
+        #: Tokens by segment: the text after its first space, or from its line feed on.
+        self.known: dict[str, bytes] = {}
+
+    def _pack(self, ids: list[int]) -> bytes:
+        return array(self.dtype.char, ids).tobytes()
+
+    def encode(self, text: str | None) -> bytes:
+        return b"".join(self._parts(text or ""))
+
+    def count(self, text: str | None) -> int:
+        return sum(map(len, self._parts(text or ""))) // self.dtype.itemsize
+
+    def _parts(self, text: str) -> Iterator[bytes]:
+        if not text:
+            return
+        if not self.splits or "▁" in text:
+            yield self._pack(self.sp.encode(text))
+            return
+        for block in _blocks(text):
+            words = block.replace("\n", " \n").split(" ")
+            if "" in words[1:]:
+                words = ["", *(x if x[0] == "\n" else x[1:] for x in _runs(block))]
+            self._learn(words[1:])
+            yield from map(self.known.__getitem__, words[1:])
+
+    def _learn(self, segments: list[str]) -> None:
+        """Encodes those segments that aren't known, in one call."""
+        new = [s for s in set(segments) if s not in self.known]
+        if len(self.known) + len(new) > MEMORY:
+            self.known.clear()
+            new = list(set(segments))
+        if not new:
+            return
+        # Behind a letter, spaces alone keep their own first space; a line feed drops the library's.
+        drop = [not s.strip(" ") or s[0] == "\n" for s in new]
+        texts = [s if not d or s[0:1] == "\n" else f"a {s}" for s, d in zip(new, drop)]
+        for s, d, ids in zip(new, drop, self.sp.encode(texts, num_threads=1)):
+            self.known[s] = self._pack(ids[1:] if d else ids)
+
+
+def _blocks(text: str) -> Iterator[str]:
+    """``text`` behind a space, in blocks that each begin with a space after another character."""
+    start, text = 0, f" {text}"
+    while start < len(text):
+        end = start + BLOCK
+        while 0 <= (end := text.find(" ", end)) < len(text) and text[end - 1] == " ":
+            end += 1
+        end = len(text) if end < 0 else end
+        yield text[start:end]
+        start = end
+
+
+def _runs(block: str) -> Iterator[str]:
+    """Segments of a block: spaces with what follows them, or a line feed with what follows it."""
+    spaces = ""
+    for part in _IRREGULAR.findall(block):
+        if part == " ":
+            spaces += part
+        elif part[0] == " ":
+            yield spaces + part
+            spaces = ""
+        else:
+            if spaces:
+                yield spaces
+                spaces = ""
+            yield part
+    if spaces:
+        yield spaces

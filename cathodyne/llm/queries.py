@@ -4,29 +4,47 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cathodyne.llm.common import new_path
 from cathodyne.llm.mixing import MIX_SQL, mix_sources
+from cathodyne.llm.packing import pack_tokens
 from cathodyne.llm.simhash import simhash_groups
+from cathodyne.llm.token_counts import count_tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+PIECES = "piece_bpe_32k.model"
+
+
+def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES), width=2048)
+
+
 def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mix_sources(_table(spark, sf_dir, "documents"), weights=(5, 2, 1), max_epochs=3)
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Starts from an empty cache, so every distinct text is encoded in this run."""
+    return count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES), new_path(spark, "token-counts"), limit=4096)
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash_groups(_table(spark, sf_dir, "documents"), max_bits=4, width=4)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pack": op1_pack,
     "op2_mix": op2_mix,
+    "op4_token_counts": op4_token_counts,
     "op10_simhash": op10_simhash,
 }
 
