@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cathodyne.llm.pieces import Encoder, model_bytes
+from cathodyne.llm.tokenizers import Encoder, file_bytes
 
 #: Tokens that a task packs at once.
 BUFFER_TOKENS = 2_000_000
@@ -93,7 +93,7 @@ def _matrix(pieces: list[tuple], width: int, dtype: np.dtype, pad: int, first: i
 def pack_tokens(docs: DataFrame, model_path: str, width: int = 2048, id_col: str | Column = "doc_id", text_col: str = "text", end_id: int | None = None) -> DataFrame:
     """Packed rows of token ids, with nothing lost.
 
-    Each text's ids, ended by ``end_id`` (the model's own end token by default), are cut into pieces
+    Each text's ids, ended by ``end_id`` (the vocabulary's end token, or the free id behind it, by default), are cut into pieces
     of at most ``width``. Each task packs its pieces in buffers of ``BUFFER_TOKENS`` by best fit
     decreasing, so no text is shuffled and a task's memory has a bound. A row has ``input_ids``
     (``width`` little-endian uint16, or uint32 for a larger vocabulary, filled up with ``end_id``),
@@ -103,16 +103,16 @@ def pack_tokens(docs: DataFrame, model_path: str, width: int = 2048, id_col: str
     Null and empty texts are one end token; null ids stay null; repeated rows are packed again; an
     empty table gives no rows; other columns are not read.
     """
-    model = model_bytes(model_path)
+    model = file_bytes(model_path)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(model)
-        end = encoder.sp.eos_id() if end_id is None else end_id
-        end_bytes, first = np.array([end], encoder.dtype).tobytes(), TaskContext.get().partitionId() << 32
+        encoder = Encoder(model_path, model)
+        end = encoder.end if end_id is None else end_id
+        first = TaskContext.get().partitionId() << 32
         buffer, held = [], 0
         for batch in batches:
             for doc, value in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = np.frombuffer(encoder.encode(value.as_py()) + end_bytes, encoder.dtype)
+                ids = encoder.array([*encoder.encode([value.as_py() or ""])[0], end])
                 for start in range(0, len(ids), width):
                     piece = ids[start : start + width]
                     buffer.append((doc, start, piece))

@@ -19,11 +19,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-PIECES = "piece_bpe_32k.model"
+BYTES, PIECES = "byte_bpe_multi_50k.tiktoken", "piece_bpe_32k.model"
 
 
 def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES), width=2048)
+    return pack_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path(BYTES), width=2048)
 
 
 def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cathodyne.llm.common import keep
-from cathodyne.llm.pieces import Encoder, model_bytes, model_digest
+from cathodyne.llm.tokenizers import Encoder, file_bytes, version_digest
+
+#: Texts encoded in one call.
+ENCODE_ROWS = 64
 
 CACHE_SCHEMA = "digest binary, tokenizer string, n_tokens long"
 
@@ -28,14 +31,14 @@ def count_tokens(docs: DataFrame, model_path: str, cache_path: str, limit: int =
     """Rows (id, n_bytes, n_tokens, over_limit), one per row of ``docs``.
 
     Texts are known by their SHA-256 together with the digest of model and library version. Digests
-    that the cache at ``cache_path`` lacks are encoded once each and appended to it. The model leaves
-    characters as they are, so the only normalisation under which counts stay true is null to empty.
+    that the cache at ``cache_path`` lacks are encoded once each and appended to it. The only
+    normalisation under which counts stay true for any tokenizer is null to empty.
     Null and empty texts have no tokens. Repeated rows and null ids keep their rows; other columns
     are not read. Two runs that append the same digests do no harm, as reading takes one row of each.
     """
     spark = docs.sparkSession
-    model = model_bytes(model_path)
-    tokenizer = model_digest(model)
+    model = file_bytes(model_path)
+    tokenizer = version_digest(model_path, model)
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.unhex(F.sha2(text, 256)).alias("digest"))
     marked = keep(base.select("doc_id", "digest", F.octet_length("text").cast("long").alias("n_bytes")), "digests")
@@ -45,15 +48,14 @@ def count_tokens(docs: DataFrame, model_path: str, cache_path: str, limit: int =
     texts = b.join(m.hint("shuffle_hash"), F.col("b.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("b.digest") == F.col("m.digest"))).select("b.digest", "b.text")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, seen = Encoder(model), set()
+        encoder, seen = Encoder(model_path, model), set()
         for batch in batches:
-            digests, counts = [], []
-            for digest, value in zip(batch.column(0).to_pylist(), batch.column(1)):
-                if digest not in seen:
-                    seen.add(digest)
-                    digests.append(digest)
-                    counts.append(encoder.count(value.as_py()))
-            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(counts, pa.int64())], names=["digest", "n_tokens"])
+            for start in range(0, batch.num_rows, ENCODE_ROWS):
+                part = batch.slice(start, ENCODE_ROWS)
+                new = {d: i for i, d in enumerate(part.column(0).to_pylist()) if d not in seen}
+                seen.update(new)
+                counts = [len(ids) for ids in encoder.encode(part.column(1).take(pa.array(new.values(), pa.int64())).to_pylist())]
+                yield pa.RecordBatch.from_arrays([pa.array(new, pa.binary()), pa.array(counts, pa.int64())], names=["digest", "n_tokens"])
 
     counted = texts.mapInArrow(encode, "digest binary, n_tokens long").groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     counted.select("digest", F.lit(tokenizer).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache_path)
