@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cathodyne.llm.common import new_path
+from cathodyne.llm.language import identify, train
 from cathodyne.llm.mixing import MIX_SQL, mix_sources
 from cathodyne.llm.packing import pack_tokens
 from cathodyne.llm.simhash import simhash_groups
@@ -36,6 +37,18 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES), new_path(spark, "token-counts"), limit=4096)
 
 
+def held_out() -> Column:
+    """Whether a document is kept from training."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+
+
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = train(docs.where(F.crc32(F.col("doc_id").cast("string")) % 3 != 1))
+    out = docs.select("doc_id", held_out().alias("held_out"), identify(F.col("text"), model).alias("found"))
+    return out.select("doc_id", "held_out", F.col("found.lang").alias("lang_pred"), F.col("found.score").alias("score"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash_groups(_table(spark, sf_dir, "documents"), max_bits=4, width=4)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
@@ -45,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack": op1_pack,
     "op2_mix": op2_mix,
     "op4_token_counts": op4_token_counts,
+    "op5_language": op5_language,
     "op10_simhash": op10_simhash,
 }
 
