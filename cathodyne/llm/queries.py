@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from cathodyne.llm.common import new_path
 from cathodyne.llm.decontaminate import find_leaks
 from cathodyne.llm.language import identify, train
+from cathodyne.llm.line_dedup import line_classes
 from cathodyne.llm.mixing import MIX_SQL, mix_sources
 from cathodyne.llm.packing import pack_tokens
 from cathodyne.llm.simhash import simhash_groups
@@ -55,6 +56,14 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*")
 
 
+def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = line_classes(_table(spark, sf_dir, "documents"), tau=2, min_chars=32)
+    dropped = F.when(F.col("kept"), 0).otherwise(1)
+    return lines.groupBy("doc_id").agg(
+        F.count("*").alias("n_lines"), F.sum(dropped).alias("n_dropped"), F.sum(dropped * F.col("n_chars")).alias("chars_dropped"), F.sum("n_links").alias("n_links")
+    )
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash_groups(_table(spark, sf_dir, "documents"), max_bits=4, width=4)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
@@ -66,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_counts": op4_token_counts,
     "op5_language": op5_language,
     "op6_decontaminate": op6_decontaminate,
+    "op9_lines": op9_lines,
     "op10_simhash": op10_simhash,
 }
 
