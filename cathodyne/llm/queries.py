@@ -16,6 +16,7 @@ from cathodyne.llm.mixing import MIX_SQL, mix_sources
 from cathodyne.llm.packing import pack_tokens
 from cathodyne.llm.simhash import simhash_groups
 from cathodyne.llm.token_counts import count_tokens
+from cathodyne.llm.vector_dedup import near_vectors
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +57,10 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*")
 
 
+def op8_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(_table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
 def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = line_classes(_table(spark, sf_dir, "documents"), tau=2, min_chars=32)
     dropped = F.when(F.col("kept"), 0).otherwise(1)
@@ -75,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_counts": op4_token_counts,
     "op5_language": op5_language,
     "op6_decontaminate": op6_decontaminate,
+    "op8_vectors": op8_vectors,
     "op9_lines": op9_lines,
     "op10_simhash": op10_simhash,
 }
