@@ -15,6 +15,7 @@ from cathodyne.llm.line_dedup import line_classes
 from cathodyne.llm.mixing import MIX_SQL, mix_sources
 from cathodyne.llm.packing import pack_tokens
 from cathodyne.llm.simhash import simhash_groups
+from cathodyne.llm.surrogates import KINDS, replace_entities
 from cathodyne.llm.token_counts import count_tokens
 from cathodyne.llm.vector_dedup import near_vectors
 
@@ -57,6 +58,11 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*")
 
 
+def op7_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = replace_entities(_table(spark, sf_dir, "documents").select("doc_id", "text"), key="surrogates-1")
+    return out.select("doc_id", "text", *[F.coalesce(F.col("pii_counts")[k], F.lit(0)).alias(f"n_{k}") for k in KINDS])
+
+
 def op8_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(_table(spark, sf_dir, "embeddings"), threshold=0.98)
 
@@ -80,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_counts": op4_token_counts,
     "op5_language": op5_language,
     "op6_decontaminate": op6_decontaminate,
+    "op7_surrogates": op7_surrogates,
     "op8_vectors": op8_vectors,
     "op9_lines": op9_lines,
     "op10_simhash": op10_simhash,
