@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from cathodyne.llm.common import new_path
 from cathodyne.llm.decontaminate import find_leaks
 from cathodyne.llm.language import identify, train
+from cathodyne.llm.license_texts import TEMPLATES
+from cathodyne.llm.licenses import scan_licenses
 from cathodyne.llm.line_dedup import line_classes
 from cathodyne.llm.mixing import MIX_SQL, mix_sources
 from cathodyne.llm.packing import pack_tokens
@@ -36,6 +38,11 @@ def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_licenses(_table(spark, sf_dir, "documents").select("doc_id", "text"), TEMPLATES)
+    return found.select("doc_id", F.explode("licenses").alias("found")).select("doc_id", "found.*")
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Starts from an empty cache, so every distinct text is encoded in this run."""
     return count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES), new_path(spark, "token-counts"), limit=4096)
@@ -83,6 +90,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack": op1_pack,
     "op2_mix": op2_mix,
+    "op3_licenses": op3_licenses,
     "op4_token_counts": op4_token_counts,
     "op5_language": op5_language,
     "op6_decontaminate": op6_decontaminate,
