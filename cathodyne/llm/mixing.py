@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cathodyne.llm.common import keep, word_count
+from cathodyne.llm.common import WORD, keep, word_count
 
 
 def prefix_sums(df: DataFrame, order: Sequence[Column], values: dict[str, str]) -> DataFrame:
@@ -92,20 +92,24 @@ def mix_sources(
     return joined.select(F.col("doc_id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "epochs", "cut", taken.alias("taken"))
 
 
-def apply_mix(docs: DataFrame, mix: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+def apply_mix(docs: DataFrame, mix: DataFrame, text_col: str = "text", id_col: str = "doc_id", chars_col: str | None = None) -> DataFrame:
     """The mixed documents themselves: each as often as its epochs say, and once more cut to its ``cut`` words.
 
-    Ids must tell documents apart. A pass that takes all of a document keeps its text as it is; a cut
-    copy has its words joined by single spaces.
+    A pass that takes all of a document keeps its text as it is; a cut copy has its words joined by
+    single spaces, and its length in ``chars_col``. Rows that share an id share the largest of their
+    decisions.
     """
-    m = mix.select(F.col(id_col).alias("mix_id"), "size", "epochs", "cut").where("epochs > 0 or cut > 0")
-    whole = F.col("epochs") + F.when((F.col("cut") == F.col("size")), 1).otherwise(0)
-    parts = F.concat(F.array_repeat(F.lit(-1).cast("long"), whole.cast("int")), F.when(F.col("cut").between(1, F.col("size") - 1), F.array("cut")).otherwise(F.array().cast("array<long>")))
-    copies = m.select("mix_id", parts.alias("mix_parts"))
-    taken = docs.join(copies, F.col(id_col) == F.col("mix_id")).withColumn("mix_part", F.explode("mix_parts"))
-    words = F.regexp_extract_all(F.col(text_col), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
-    text = F.when(F.col("mix_part") < 0, F.col(text_col)).otherwise(F.array_join(F.slice(words, F.lit(1), F.greatest(F.col("mix_part"), F.lit(0)).cast("int")), " "))
-    return taken.withColumn(text_col, text).select(*docs.columns)
+    words = F.struct("epochs", F.when(F.col("cut") == F.col("size"), 1).otherwise(0).alias("last"), F.when(F.col("cut") < F.col("size"), F.col("cut")).otherwise(0).alias("cut"))
+    by_id = mix.where("taken > 0 or size = 0").groupBy(F.col(id_col).alias("mix_id")).agg(F.max(words).alias("m"))
+    parts = F.concat(F.array_repeat(F.lit(0).cast("long"), (F.col("m.epochs") + F.col("m.last")).cast("int")), F.when(F.col("m.cut") > 0, F.array("m.cut")).otherwise(F.array().cast("array<long>")))
+    copies = by_id.select("mix_id", parts.alias("mix_parts"))
+    taken = docs.join(copies, F.col(id_col).eqNullSafe(F.col("mix_id"))).withColumn("mix_part", F.explode("mix_parts"))
+    found = F.regexp_extract_all(F.col(text_col), F.lit(WORD), F.lit(0))
+    cut_text = F.array_join(F.slice(found, F.lit(1), F.greatest(F.col("mix_part"), F.lit(1)).cast("int")), " ")
+    taken = taken.withColumn(text_col, F.when(F.col("mix_part") == 0, F.col(text_col)).otherwise(cut_text))
+    if chars_col:
+        taken = taken.withColumn(chars_col, F.when(F.col("mix_part") == 0, F.col(chars_col)).otherwise(F.length(text_col)))
+    return taken.select(*docs.columns)
 
 
 #: The same rows in DuckDB's SQL.

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cathodyne.llm.common import connected_components, keep
+from cathodyne.llm.common import connected_components, keep, word_count
 
 SEED = 42
 BITS = 64
@@ -35,10 +35,9 @@ def _blocks(raw: bytes) -> Iterator[list[bytes]]:
         start = end
 
 
-def fingerprint(text: str | None, width: int) -> int:
-    """Signed 64-bit SimHash: a bit is set if it is set in over half of the shingles' hashes."""
-    counts, n, carry = np.zeros((8, 256), np.int64), 0, []
-    digest = xxhash.xxh64_intdigest
+def shingle_hashes(text: str | None, width: int) -> Iterator[np.ndarray]:
+    """Hashes of the shingles of a text, in blocks. Fewer words than ``width`` make one shingle, none make none."""
+    digest, carry, some = xxhash.xxh64_intdigest, [], False
     for words in _blocks((text or "").encode("utf-8", "replace").lower()):
         words = carry + words
         if len(words) >= width:
@@ -46,14 +45,23 @@ def fingerprint(text: str | None, width: int) -> int:
             gaps = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
             starts = np.concatenate(([0], gaps[: len(words) - width] + 1)).tolist()
             ends = np.append(gaps[width - 1 :], len(joined)).tolist()
-            hashes = np.array([digest(joined[s:e], SEED) for s, e in zip(starts, ends)], np.uint64)
-            counts += _lanes(hashes)
-            n += len(hashes)
+            yield np.array([digest(joined[s:e], SEED) for s, e in zip(starts, ends)], np.uint64)
+            some = True
         carry = words[-(width - 1) :] if width > 1 else []
-    if not n:
-        if not carry:
-            return 0
-        counts, n = _lanes(np.array([digest(b" ".join(carry), SEED)], np.uint64)), 1
+    if carry and not some:
+        yield np.array([digest(b" ".join(carry), SEED)], np.uint64)
+
+
+def _all_hashes(text: str | None, width: int) -> np.ndarray:
+    return np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(text, width)])
+
+
+def fingerprint(text: str | None, width: int) -> int:
+    """Signed 64-bit SimHash: a bit is set if it is set in over half of the shingles' hashes."""
+    counts, n = np.zeros((8, 256), np.int64), 0
+    for hashes in shingle_hashes(text, width):
+        counts += _lanes(hashes)
+        n += len(hashes)
     ones = (counts @ _BIT_OF_BYTE).ravel()
     return int(np.packbits(ones * 2 > n, bitorder="little").view(np.int64)[0])
 
@@ -226,19 +234,58 @@ def probe(fingerprints: DataFrame, groups: list[list[int]], thresholds: list[int
     return sides[0].join(sides[1], ["part", "sig"]).where(near).select("a", "b").distinct()
 
 
-def simhash_groups(docs: DataFrame, max_bits: int = 4, width: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shingle_set(text: Column, width: int) -> Column:
+    """Different shingle hashes of a text, as an array."""
+
+    def of(texts: pd.Series) -> pd.Series:
+        return pd.Series([np.unique(_all_hashes(t, width)).view(np.int64) for t in texts])
+
+    return F.pandas_udf(of, "array<long>")(text)
+
+
+def verified(links: DataFrame, docs: DataFrame, values: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Those pairs of fingerprints whose documents of least id have a Jaccard similarity of shingles of ``similarity`` or more."""
+    sizes = values.select("fp", "least", "shingles")
+    a, b = (sizes.select(F.col("fp").alias(x), F.col("shingles").alias(f"n_{x}")) for x in "ab")
+    sized = keep(links.join(a, "a").join(b, "b").where(F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b")).select("a", "b"), "sized")
+    involved = sized.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(sizes, "fp").select("fp", "least")
+    texts = docs.select("doc_id", "text").join(involved.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("least"))).select("fp", "text")
+    sets = keep(texts.select("fp", shingle_set(F.col("text"), width).alias("set")).dropDuplicates(["fp"]), "shingles")
+    with_a = sized.join(sets.select(F.col("fp").alias("a"), F.col("set").alias("set_a")), "a")
+    with_b = with_a.join(sets.select(F.col("fp").alias("b"), F.col("set").alias("set_b")), "b")
+    common = F.size(F.array_intersect("set_a", "set_b"))
+    return with_b.where(common >= similarity * (F.size("set_a") + F.size("set_b") - common)).select("a", "b")
+
+
+def simhash_groups(docs: DataFrame, max_bits: int = 4, width: int = 4, similarity: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: its id, its ``fingerprint`` (long) and ``component_id``, the smallest id reachable by links.
 
-    Documents link if their fingerprints differ in at most ``max_bits`` bits. Null and empty texts,
-    and texts without words, have fingerprint 0 and are linked like any other. Fewer words than
-    ``width`` make one shingle. Repeated rows give repeated rows; a null id keeps its row and takes
-    part, but is nobody's component unless a group has only null ids. An empty table gives an empty
-    one. Other columns of ``docs`` are not read.
+    Documents link if their fingerprints differ in at most ``max_bits`` bits and, where a
+    ``similarity`` is given and the fingerprints are not equal, their shingles have at least that
+    Jaccard similarity; the document of least id stands for those of one fingerprint.
+
+    Null and empty texts, and texts without words, have fingerprint 0 and are linked like any other.
+    Fewer words than ``width`` make one shingle. Repeated rows give repeated rows; a null id keeps its
+    row and takes part, but is nobody's component unless a group has only null ids. An empty table
+    gives an empty one. Other columns of ``docs`` are not read.
     """
-    marked = keep(docs.select(F.col(id_col).alias("doc_id"), fingerprint_column(F.col(text_col), width).alias("fp")), "fingerprints")
-    values = keep(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "values")
-    joined = connected_components(hamming_links(values.select("fp"), max_bits))
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    marked = keep(docs.select("doc_id", fingerprint_column(F.col("text"), width).alias("fp"), F.greatest(F.lit(1), word_count(F.col("text")) - (width - 1)).alias("shingles")), "fingerprints")
+    values = keep(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min_by("shingles", "doc_id").alias("shingles")), "values")
+    links = hamming_links(values.select("fp"), max_bits)
+    if similarity is not None:
+        links = verified(keep(links, "near"), docs, values, width, similarity)
+    joined = connected_components(links)
     of_value = values.join(joined.withColumnRenamed("id", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = of_value.groupBy("component").agg(F.min("least").alias("component_id"))
     of_value = of_value.join(least, "component").select("fp", "component_id")
     return marked.join(of_value, "fp").select(F.col("doc_id").alias(id_col), F.col("fp").alias("fingerprint"), "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The document of least id of each group, and of rows that repeat its id only one."""
+    others = groups.where(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("other_id")).distinct()
+    kept = docs.join(others, F.col(id_col).eqNullSafe(F.col("other_id")), "left_anti")
+    if groups.groupBy(id_col).count().where("count > 1").isEmpty():
+        return kept
+    return kept.dropDuplicates([id_col])
