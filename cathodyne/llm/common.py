@@ -1,42 +1,17 @@
-"""Shared helpers: tables in the shared folder, word rules, connected components."""
+"""Rules that several operators share."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A word is a run of characters other than ASCII white space.
-WORD = r"[^\x20\x09-\x0D]+"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
-
-    Where the setting is missing, a local session gets a temporary folder; a cluster session is
-    refused, as its executors could not read what the driver's machine holds.
-    """
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if where is None:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        where = f"file://{tempfile.mkdtemp(prefix='cathodyne-')}"
-        spark.sparkContext.setCheckpointDir(where)
-    return where.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/cathodyne/{name}-{uuid.uuid4().hex}"
+from cathodyne.plans.components import connected_components
+from cathodyne.sources.shared import keep, new_path, shared_dir
 
+__all__ = ["WORD", "column_free_of", "connected_components", "keep", "new_path", "shared_dir", "word_count"]
 
-def keep(df: DataFrame, name: str = "step") -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it back: a cut in the lineage that outlives executors."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: A word is a run of characters other than ASCII white space.
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def column_free_of(df: DataFrame, stem: str) -> str:
@@ -51,47 +26,3 @@ def column_free_of(df: DataFrame, stem: str) -> str:
 def word_count(text: Column) -> Column:
     """Number of words, 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
-
-
-def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """Smallest reachable id of each linked id: rows (id, component), without the ids that are smallest.
-
-    Contracts the graph round by round: each id hooks on to its smallest neighbour, the hooks are
-    flattened by pointer jumping, and the links are rewritten between the roots that remain. The
-    links shrink with each round, so the first round dominates. Everything stays in tables of the
-    shared folder; the driver only learns whether rows are left. Ids are longs. Self links, repeated
-    links and null ends are ignored; an id outside the result is its own component.
-    """
-    x, y = F.col(a).cast("long"), F.col(b).cast("long")
-    edges = keep(
-        links.select(F.least(x, y).alias("lo"), F.greatest(x, y).alias("hi")).where("lo < hi and hi is not null").distinct(),
-        "links",
-    )
-    rounds: list[DataFrame] = []
-    while not edges.isEmpty():
-        hooks = edges.groupBy("hi").agg(F.min("lo").alias("root")).withColumnRenamed("hi", "id")
-        hooks = _flatten(keep(hooks, "hooks"))
-        rounds.append(hooks)
-        low = hooks.select(F.col("id").alias("lo"), F.col("root").alias("lo_root"))
-        high = hooks.select(F.col("id").alias("hi"), F.col("root").alias("hi_root"))
-        moved = edges.join(high, "hi").join(low, "lo", "left")
-        p, q = F.coalesce("lo_root", "lo"), F.col("hi_root")
-        edges = keep(moved.select(F.least(p, q).alias("lo"), F.greatest(p, q).alias("hi")).where("lo < hi").distinct(), "links")
-    if not rounds:
-        return edges.select(F.col("hi").alias("id"), F.col("lo").alias("component"))
-    labels = rounds[0]
-    for hooks in rounds[1:]:
-        later = hooks.select(F.col("id").alias("root"), F.col("root").alias("next"))
-        labels = labels.join(later, "root", "left").select("id", F.coalesce("next", "root").alias("root")).unionByName(hooks)
-    return labels.select("id", F.col("root").alias("component"))
-
-
-def _flatten(hooks: DataFrame) -> DataFrame:
-    """Follows hooks (id, root), always to smaller ids, until each root hooks on to nothing."""
-    while True:
-        up = hooks.select(F.col("id").alias("root"), F.col("root").alias("next"))
-        stepped = hooks.join(up, "root", "left").select("id", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved"))
-        stepped = keep(stepped, "hooks")
-        hooks = stepped.select("id", "root")
-        if stepped.where("moved").isEmpty():
-            return hooks
