@@ -45,8 +45,9 @@ def _flatten(hooks: DataFrame) -> DataFrame:
     """Follows hooks (id, root), always to smaller ids, until each root hooks on to nothing."""
     while True:
         up = hooks.select(F.col("id").alias("root"), F.col("root").alias("next"))
-        stepped = hooks.join(up, "root", "left").select("id", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved"))
-        stepped = keep(stepped, "hooks")
+        once = hooks.join(up, "root", "left").select("id", F.coalesce("next", "root").alias("root"))
+        twice = once.join(up, "root", "left").select("id", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved"))
+        stepped = keep(twice, "hooks")
         hooks = stepped.select("id", "root")
         if stepped.where("moved").isEmpty():
             return hooks
