@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cathodyne.llm.common import connected_components, keep
+from cathodyne.llm.common import connected_components, keep, new_path
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -15,39 +15,37 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _segment(length: Column, i: int, tau: int) -> tuple[Column, Column]:
+def _segment(length: Column, i: Column, tau: int) -> tuple[Column, Column]:
     """Start (from 1) and size of segment ``i`` (from 1) of ``tau + 1`` even ones; the last ones take the remainder."""
-    base = F.floor(length / (tau + 1)).cast("int")
-    longer = (length % (tau + 1)).cast("int")
-    first_longer = F.lit(tau + 2) - longer
-    start = F.lit(1) + base * (i - 1) + F.greatest(F.lit(0), F.lit(i) - first_longer)
-    return start, base + F.when(F.lit(i) >= first_longer, 1).otherwise(0)
+    base, longer = F.floor(length / (tau + 1)).cast("int"), length % (tau + 1)
+    ahead = F.greatest(F.lit(0), i + longer - (tau + 2))  # longer segments before this one
+    return base * (i - 1) + ahead + 1, base + F.when(i + longer >= tau + 2, 1).otherwise(0)
 
 
-def _key(line: Column, start: Column, size: Column, length: Column, i: int) -> Column:
-    return F.xxhash64(F.substring(line, start, size), length, F.lit(i))
+def positions(tau: int, own: bool) -> list[tuple[int, int, int]]:
+    """What a line looks up, as (less, segment, shift): segment ``segment`` of a line that is ``less`` shorter, moved by ``shift``.
 
-
-def index_keys(line: Column, n: Column, tau: int) -> Column:
-    """Keys of a line's own segments."""
-    return F.array(*[_key(line, *_segment(n, i, tau), n, i) for i in range(1, tau + 2)])
-
-
-def probe_keys(line: Column, n: Column, tau: int) -> Column:
-    """Keys of the substrings that a line of length ``n`` shares with a segment of any line of length n - tau to n within ``tau`` edits.
-
-    The shift of a segment is bounded from both its sides (edits before it, and edits behind it given
-    the difference of lengths), so that few substrings are left: 12 for two edits.
+    Its ``own`` segments are the index. As a probe a line looks for segments of lines of its length and
+    down to ``tau`` less. The shift is bounded from both sides (edits before the segment, and edits
+    behind it given the difference of lengths), so that few substrings are left: 12 for two edits.
     """
-    keys = []
+    if own:
+        return [(0, i, 0) for i in range(1, tau + 2)]
+    out = []
     for less in range(tau + 1):
-        length = n - less
         for i in range(1, tau + 2):
-            start, size = _segment(length, i, tau)
-            for shift in range(max(1 - i, less - (tau + 1 - i)), min(i - 1, less + tau + 1 - i) + 1):
-                at = start + shift
-                keys.append(F.when((at >= 1) & (at + size - 1 <= n), _key(line, at, size, length, i)))
-    return F.array_compact(F.array(*keys))
+            out += [(less, i, s) for s in range(max(1 - i, less - (tau + 1 - i)), min(i - 1, less + tau + 1 - i) + 1)]
+    return out
+
+
+def keys(lines: DataFrame, tau: int, own: bool, name: str) -> DataFrame:
+    """Rows (key, ``name``) of lines (h, line, n): hashes of substrings with the length and the segment they are for."""
+    at = F.array(*[F.struct(F.lit(less).alias("less"), F.lit(i).alias("i"), F.lit(shift).alias("shift")) for less, i, shift in positions(tau, own)])
+    rows = lines.select("h", "line", "n", F.explode(at).alias("p")).select("h", "line", "n", (F.col("n") - F.col("p.less")).alias("length"), F.col("p.i").alias("i"), F.col("p.shift").alias("shift"))
+    start, size = _segment(F.col("length"), F.col("i"), tau)
+    rows = rows.select("h", "line", "n", "length", "i", (start + F.col("shift")).alias("start"), size.alias("size"))
+    rows = rows.where((F.col("start") >= 1) & (F.col("start") + F.col("size") - 1 <= F.col("n")))
+    return rows.select(F.xxhash64(F.substring("line", F.col("start"), F.col("size")), "length", "i").alias("key"), F.col("h").alias(name))
 
 
 def _common(a: Column, b: Column, limit: Column, part: Callable[[Column, Column], Column]) -> Column:
@@ -68,37 +66,37 @@ def banded_distance(a: Column, b: Column, tau: int) -> Column:
     A band of 2 tau + 1 rows around the diagonal slides along as one bit vector: the vertical
     differences of a column are two words, and a column takes a handful of word operations.
     """
+    chars = F.struct(F.split(a, "").alias("a"), F.split(b, "").alias("b"), F.length(a).alias("m"), F.length(b).alias("n"))
+    return _let(chars, lambda c: F.when(c["n"] == 0, c["m"]).when(c["m"] == 0, c["n"]).otherwise(_slide(c, tau)))
+
+
+def _slide(c: Column, tau: int) -> Column:
     width = 2 * tau + 1
-    ones = (1 << width) - 1
-    m, n = F.length(a), F.length(b)
-    chars_a, chars_b = F.split(a, ""), F.split(b, "")
+    full = F.lit((1 << width) - 1)
+    m = c["m"]
 
     def matches(j: Column) -> Column:
-        c = F.get(chars_b, j - 1)
-        return sum((F.when(F.coalesce(F.get(chars_a, j - tau + d - 1) == c, F.lit(False)), 1 << d).otherwise(0) for d in range(width)), F.lit(0)).cast("long")
+        """The rows of the band in column ``j`` whose characters are the same, as bits."""
+        mine = F.get(c["b"], j - 1)
+        bits = [F.when(F.coalesce(F.get(c["a"], j - tau + d - 1) == mine, F.lit(False)), 1 << d).otherwise(0) for d in range(width)]
+        return sum(bits[1:], bits[0]).cast("long")
 
     def column(acc: Column, j: Column) -> Column:
         vp, vn = acc["vp"], acc["vn"]
-        d0 = _let(matches(j), lambda x: ((x.bitwiseAND(vp) + vp).bitwiseXOR(vp)).bitwiseOR(x).bitwiseOR(vn).bitwiseAND(F.lit(ones)))
 
         def rest(d: Column) -> Column:
-            hp = vn.bitwiseOR(d.bitwiseOR(vp).bitwiseXOR(F.lit(ones)).bitwiseAND(F.lit(ones)))
-            hn = d.bitwiseAND(vp)
-            down = F.shiftright(d, 1)
-            row = F.greatest(m - j + tau, F.lit(0))
-            side = F.shiftrightunsigned(hp, 0).bitwiseAND(F.pow(F.lit(2), row).cast("long"))
-            back = hn.bitwiseAND(F.pow(F.lit(2), row).cast("long"))
-            move = F.when(j + tau <= m, F.when(d.bitwiseAND(F.lit(1 << (width - 1))) == 0, 1).otherwise(0)).otherwise(F.when(side != 0, 1).otherwise(0) - F.when(back != 0, 1).otherwise(0))
-            return F.struct(
-                hn.bitwiseOR(down.bitwiseOR(hp).bitwiseXOR(F.lit(ones)).bitwiseAND(F.lit(ones))).alias("vp"),
-                down.bitwiseAND(hp).alias("vn"),
-                (acc["cur"] + move).alias("cur"),
-            )
-
+            hp = vn.bitwiseOR(d.bitwiseOR(vp).bitwiseXOR(full))
+            hn, down = d.bitwiseAND(vp), F.shiftright(d, 1)
+            last_row = F.element_at(F.array(*[F.lit(1 << k) for k in range(width)]), F.greatest(m - j + tau, F.lit(0)) % width + 1).cast("long")
+            along = F.when(hp.bitwiseAND(last_row) != 0, 1).otherwise(0) - F.when(hn.bitwiseAND(last_row) != 0, 1).otherwise(0)
+            move = F.when(j + tau <= m, F.when(d.bitwiseAND(F.lit(1 << (width - 1))) == 0, 1).otherwise(0)).otherwise(along)
+            return F.struct(hn.bitwiseOR(down.bitwiseOR(hp).bitwiseXOR(full)).alias("vp"), down.bitwiseAND(hp).alias("vn"), (acc["cur"] + move).alias("cur"))
+
+        d0 = _let(matches(j), lambda x: (x.bitwiseAND(vp) + vp).bitwiseXOR(vp).bitwiseOR(x).bitwiseOR(vn).bitwiseAND(full))
         return _let(d0, rest)
 
-    start = F.struct(F.lit(ones ^ ((1 << tau) - 1)).cast("long").alias("vp"), F.lit(0).cast("long").alias("vn"), F.least(F.lit(tau), m).cast("int").alias("cur"))
-    return F.when(n == 0, m).when(m == 0, n).otherwise(F.aggregate(F.sequence(F.lit(1), n), start, column)["cur"])
+    start = F.struct(F.lit(((1 << (tau + 1)) - 1) << tau).cast("long").alias("vp"), F.lit(0).cast("long").alias("vn"), F.least(F.lit(tau), m).cast("int").alias("cur"))
+    return F.aggregate(F.sequence(F.lit(1), c["n"]), start, column)["cur"]
 
 
 def within(a: Column, b: Column, tau: int) -> Column:
@@ -130,18 +128,29 @@ def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return exploded.select("doc_id", "line_no", F.trim("line").alias("line")).withColumn("h", F.xxhash64("line"))
 
 
+def bucketed(df: DataFrame, key: str) -> DataFrame:
+    """``df`` as a table in the shared folder that is dealt out by ``key``: joins on it shuffle the other side only."""
+    spark = df.sparkSession
+    path = new_path(spark, "bucketed")
+    name = path.rpartition("/")[2].replace("-", "_")
+    df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).option("path", path).saveAsTable(name)
+    out = spark.table(name)
+    spark.sql(f"drop table {name}")  # the entry, not the files
+    return out
+
+
 def line_links(distinct_lines: DataFrame, tau: int) -> DataFrame:
-    """Pairs (a, b), a < b, of hashes of different lines within ``tau`` edits; ``distinct_lines`` has (h, line), a row per line."""
-    n = F.length("line")
-    index = distinct_lines.select("h", F.explode(index_keys(F.col("line"), n, tau)).alias("key")).withColumnRenamed("h", "i")
-    probe = distinct_lines.select("h", F.explode(probe_keys(F.col("line"), n, tau)).alias("key")).withColumnRenamed("h", "p")
+    """Pairs (a, b), a < b, of hashes of different lines within ``tau`` edits; ``distinct_lines`` has (h, line, n), a row per line."""
+    probe, index = keys(distinct_lines, tau, False, "p"), keys(distinct_lines, tau, True, "i")
     meet = probe.join(index, "key").where("p <> i").select(F.least("p", "i").alias("a"), F.greatest("p", "i").alias("b")).distinct()
     pairs = keep(meet, "pairs")
     involved = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
     texts = keep(distinct_lines.join(involved, "h", "left_semi").select("h", "line"), "texts")
     with_a = pairs.join(texts.select(F.col("h").alias("a"), F.col("line").alias("line_a")), "a")
     with_b = with_a.join(texts.select(F.col("h").alias("b"), F.col("line").alias("line_b")), "b")
-    return with_b.where(within(F.col("line_a"), F.col("line_b"), tau)).select("a", "b")
+    # The test takes long for a row's size, so rows are dealt out again before it.
+    dealt = with_b.repartition(4 * distinct_lines.sparkSession.sparkContext.defaultParallelism)
+    return dealt.where(within(F.col("line_a"), F.col("line_b"), tau)).select("a", "b")
 
 
 def line_classes(docs: DataFrame, tau: int = 2, min_chars: int = 32, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -160,12 +169,13 @@ def line_classes(docs: DataFrame, tau: int = 2, min_chars: int = 32, id_col: str
     lines = lines_of(docs, id_col, text_col)
     long_lines = lines.where(F.length("line") >= min_chars)
     place = F.struct("doc_id", "line_no")
-    known = keep(long_lines.groupBy("h").agg(F.first("line").alias("line"), F.min(place).alias("first"), F.count("*").alias("n")), "lines")
-    links = keep(line_links(known.select("h", "line"), tau), "line-links")
+    known = long_lines.groupBy("h").agg(F.first("line").alias("line"), F.min(place).alias("first"), F.count("*").alias("rows"))
+    known = bucketed(known.withColumn("n", F.length("line")), "h")
+    links = keep(line_links(known.select("h", "line", "n"), tau), "line-links")
     degrees = links.select(F.explode(F.array("a", "b")).alias("h")).groupBy("h").agg(F.count("*").alias("n_links"))
     classes = connected_components(links).withColumnRenamed("id", "h")
-    marked = known.select("h", "first", "n").join(degrees, "h", "left").join(classes, "h", "left").withColumn("class_id", F.coalesce("component", "h"))
-    marked = keep(marked.where("n > 1 or n_links > 0").select("h", "first", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links")), "marked")
+    marked = known.select("h", "first", "rows").join(degrees, "h", "left").join(classes, "h", "left").withColumn("class_id", F.coalesce("component", "h"))
+    marked = keep(marked.where("rows > 1 or n_links > 0").select("h", "first", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links")), "marked")
     firsts = marked.groupBy("class_id").agg(F.min("first").alias("class_first"))
     marked = marked.join(firsts, "class_id").select("h", "class_id", "n_links", "class_first")
     narrow = lines.select("doc_id", "line_no", F.length("line").alias("n_chars"), F.when(F.length("line") >= min_chars, F.col("h")).alias("h"))
