@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from cathodyne.llm.common import connected_components, keep, new_path
 
 
+#: Letters whose numbers tell lines apart before they are compared.
+LETTERS = "etaoinshrdlucmgp"
+
+
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is worked out once."""
     return F.element_at(F.transform(F.array(value), body), 1)
@@ -38,14 +42,30 @@ def positions(tau: int, own: bool) -> list[tuple[int, int, int]]:
     return out
 
 
+def letter_bag(line: Column) -> Column:
+    """How often each of 16 letters occurs, modulo 16, four bits each."""
+    counts = [(F.length(line) - F.length(F.replace(line, F.lit(c)))).cast("long") for c in LETTERS]
+    return sum((F.shiftleft(c.bitwiseAND(F.lit(15)), 4 * k) for k, c in enumerate(counts[1:], 1)), counts[0].bitwiseAND(F.lit(15)))
+
+
+def bag_distance(a: Column, b: Column) -> Column:
+    """Least sum of differences between the counts of two bags: an edit changes it by two at most."""
+
+    def apart(k: int) -> Column:
+        d = F.abs(F.shiftrightunsigned(a, 4 * k).bitwiseAND(F.lit(15)) - F.shiftrightunsigned(b, 4 * k).bitwiseAND(F.lit(15)))
+        return F.least(d, F.lit(16) - d)
+
+    return sum((apart(k) for k in range(1, 16)), apart(0))
+
+
 def keys(lines: DataFrame, tau: int, own: bool, name: str) -> DataFrame:
-    """Rows (key, ``name``) of lines (h, line, n): hashes of substrings with the length and the segment they are for."""
+    """Rows (key, ``name``, bag_``name``) of lines (h, line, n, bag): hashes of substrings with the length and the segment they are for."""
     at = F.array(*[F.struct(F.lit(less).alias("less"), F.lit(i).alias("i"), F.lit(shift).alias("shift")) for less, i, shift in positions(tau, own)])
-    rows = lines.select("h", "line", "n", F.explode(at).alias("p")).select("h", "line", "n", (F.col("n") - F.col("p.less")).alias("length"), F.col("p.i").alias("i"), F.col("p.shift").alias("shift"))
+    rows = lines.select("h", "line", "n", "bag", F.explode(at).alias("p")).select("h", "line", "n", "bag", (F.col("n") - F.col("p.less")).alias("length"), F.col("p.i").alias("i"), F.col("p.shift").alias("shift"))
     start, size = _segment(F.col("length"), F.col("i"), tau)
-    rows = rows.select("h", "line", "n", "length", "i", (start + F.col("shift")).alias("start"), size.alias("size"))
+    rows = rows.select("h", "line", "n", "bag", "length", "i", (start + F.col("shift")).alias("start"), size.alias("size"))
     rows = rows.where((F.col("start") >= 1) & (F.col("start") + F.col("size") - 1 <= F.col("n")))
-    return rows.select(F.xxhash64(F.substring("line", F.col("start"), F.col("size")), "length", "i").alias("key"), F.col("h").alias(name))
+    return rows.select(F.xxhash64(F.substring("line", F.col("start"), F.col("size")), "length", "i").alias("key"), F.col("h").alias(name), F.col("bag").alias(f"bag_{name}"))
 
 
 def _common(a: Column, b: Column, limit: Column, part: Callable[[Column, Column], Column]) -> Column:
@@ -140,17 +160,22 @@ def bucketed(df: DataFrame, key: str) -> DataFrame:
 
 
 def line_links(distinct_lines: DataFrame, tau: int) -> DataFrame:
-    """Pairs (a, b), a < b, of hashes of different lines within ``tau`` edits; ``distinct_lines`` has (h, line, n), a row per line."""
+    """Pairs (a, b), a < b, of hashes of different lines within ``tau`` edits; ``distinct_lines`` has (h, line, n, bag), a row per line.
+
+    Lines that share a segment but differ by a word would meet in great numbers where a text has many
+    variants; the join itself leaves out those whose letters differ too much for ``tau`` edits.
+    """
+    parts = 4 * distinct_lines.sparkSession.sparkContext.defaultParallelism
     probe, index = keys(distinct_lines, tau, False, "p"), keys(distinct_lines, tau, True, "i")
-    meet = probe.join(index, "key").where("p <> i").select(F.least("p", "i").alias("a"), F.greatest("p", "i").alias("b")).distinct()
+    alike = (F.col("p") != F.col("i")) & (bag_distance(F.col("bag_p"), F.col("bag_i")) <= 2 * tau)
+    meet = probe.join(index, "key").where(alike).select(F.least("p", "i").alias("a"), F.greatest("p", "i").alias("b")).distinct()
     pairs = keep(meet, "pairs")
     involved = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
     texts = keep(distinct_lines.join(involved, "h", "left_semi").select("h", "line"), "texts")
-    with_a = pairs.join(texts.select(F.col("h").alias("a"), F.col("line").alias("line_a")), "a")
-    with_b = with_a.join(texts.select(F.col("h").alias("b"), F.col("line").alias("line_b")), "b")
-    # The test takes long for a row's size, so rows are dealt out again before it.
-    dealt = with_b.repartition(4 * distinct_lines.sparkSession.sparkContext.defaultParallelism)
-    return dealt.where(within(F.col("line_a"), F.col("line_b"), tau)).select("a", "b")
+    # The test takes long for a row's size, so its rows are dealt out by number and not by bytes.
+    a, b = (texts.select(F.col("h").alias(x), F.col("line").alias(f"line_{x}")).repartition(parts, x) for x in "ab")
+    both = pairs.repartition(parts, "a").join(a, "a").repartition(parts, "b").join(b, "b")
+    return both.where(within(F.col("line_a"), F.col("line_b"), tau)).select("a", "b")
 
 
 def line_classes(docs: DataFrame, tau: int = 2, min_chars: int = 32, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -170,8 +195,8 @@ def line_classes(docs: DataFrame, tau: int = 2, min_chars: int = 32, id_col: str
     long_lines = lines.where(F.length("line") >= min_chars)
     place = F.struct("doc_id", "line_no")
     known = long_lines.groupBy("h").agg(F.first("line").alias("line"), F.min(place).alias("first"), F.count("*").alias("rows"))
-    known = bucketed(known.withColumn("n", F.length("line")), "h")
-    links = keep(line_links(known.select("h", "line", "n"), tau), "line-links")
+    known = bucketed(known.withColumn("n", F.length("line")).withColumn("bag", letter_bag(F.col("line"))), "h")
+    links = keep(line_links(known.select("h", "line", "n", "bag"), tau), "line-links")
     degrees = links.select(F.explode(F.array("a", "b")).alias("h")).groupBy("h").agg(F.count("*").alias("n_links"))
     classes = connected_components(links).withColumnRenamed("id", "h")
     marked = known.select("h", "first", "rows").join(degrees, "h", "left").join(classes, "h", "left").withColumn("class_id", F.coalesce("component", "h"))
