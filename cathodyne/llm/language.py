@@ -81,9 +81,12 @@ def train(labelled: DataFrame, max_rows: int = 20_000, text_col: str = "text", l
     model has no languages, and every prediction is ``und``.
     """
     known = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    share = known.groupBy(lang_col).count().select(F.col(lang_col).alias("train_lang"), (F.lit(float(max_rows)) / F.col("count")).alias("train_share"))
+    sizes = {r[0]: r[1] for r in known.groupBy(lang_col).count().collect()}  # a row per language, as in the model
+    if not sizes:
+        return LanguageModel([], np.zeros((BUCKETS, 0), np.float32), np.zeros((len(SCRIPTS), 0), bool))
+    share = F.create_map(*[F.lit(x) for lang, n in sorted(sizes.items()) for x in (lang, max_rows / n)])
     drawn = F.pmod(F.xxhash64(F.col(id_col), F.lit("train")), F.lit(1 << 20)) / float(1 << 20)
-    rows = known.join(share, F.col(lang_col) == F.col("train_lang")).where(drawn < F.col("train_share")).select(lang_col, text_col)
+    rows = known.where(drawn < share[F.col(lang_col)]).select(lang_col, text_col)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, np.ndarray] = {}
