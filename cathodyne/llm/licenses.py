@@ -30,20 +30,26 @@ class Templates:
         self.names = [name for name, _ in templates]
         self.words = [words_of(text) for _, text in templates]
         self.plain = zstandard.ZstdCompressor(level=9, write_content_size=False)
-        self.alone = [len(self.plain.compress(text.encode())) for _, text in templates]
+        plain_texts = [spaced(text) for _, text in templates]
+        self.alone = [len(self.plain.compress(text)) for text in plain_texts]
         self.with_template = []
-        for _, text in templates:
-            dictionary = zstandard.ZstdCompressionDict(text.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        for text in plain_texts:
+            dictionary = zstandard.ZstdCompressionDict(text, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             self.with_template.append(zstandard.ZstdCompressor(level=9, dict_data=dictionary, write_content_size=False))
 
     def rank(self, block: str) -> tuple[int, list[tuple[int, int]]]:
         """Compressed size of a block, and (saved, template) of those templates that save enough, most first."""
-        raw = block.encode("utf-8", "replace")
+        raw = spaced(block)
         size = len(self.plain.compress(raw))
         saved = [(size - len(c.compress(raw)), t) for t, c in enumerate(self.with_template)]
         return size, sorted(((s, t) for s, t in saved if s >= LEAST_SAVED * min(self.alone[t], size)), key=lambda x: (-x[0], x[1]))
 
 
+def spaced(text: str) -> bytes:
+    """What is compressed: lower case, single spaces."""
+    return " ".join(text.lower().split()).encode("utf-8", "replace")
+
+
 def words_of(text: str) -> list[str]:
     return [w.lower() for w in _WORD.findall(text)]
 
@@ -57,7 +63,8 @@ def wording(template: list[str], block: list[str]) -> tuple[float, list[str], tu
     core = max(pairs, key=lambda m: m.size)
     low, high = core.b - core.a - len(template) // 4, core.b + len(template) - core.a + len(template) // 4
     pairs = [m for m in pairs if low <= m.b and m.b + m.size <= high]
-    place = (pairs[0].b, pairs[-1].b + pairs[-1].size)
+    first, last = pairs[0], pairs[-1]
+    place = (max(0, first.b - first.a), min(len(block), last.b + len(template) - last.a))
     matcher = SequenceMatcher(None, template, block[place[0] : place[1]], autojunk=False)
     same = sum(m.size for m in matcher.get_matching_blocks())
     ops = [f"{op} {' '.join(template[a:b])} -> {' '.join(block[place[0] + c : place[0] + d])}" for op, a, b, c, d in matcher.get_opcodes() if op != "equal"]
@@ -65,19 +72,15 @@ def wording(template: list[str], block: list[str]) -> tuple[float, list[str], tu
 
 
 def blocks_of(text: str) -> Iterator[tuple[int, str]]:
-    """Runs of lines with cues, at most ``GAP`` others between them: the number of the first line, and the text."""
+    """Runs of lines with cues, at most ``GAP`` others between them, and the lines next to them: the number of the first line, and the text."""
     lines = text.split("\n")
-    start = last = None
-    for k, line in enumerate(lines):
-        if not _CUE.search(line):
-            continue
-        if start is not None and k - last > GAP + 1:
-            yield start, "\n".join(lines[start : last + 1])
-            start = None
-        start = k if start is None else start
-        last = k
-    if start is not None:
-        yield start, "\n".join(lines[start : last + 1])
+    cues = [k for k, line in enumerate(lines) if _CUE.search(line)]
+    start = 0
+    for i, k in enumerate(cues):
+        if i + 1 == len(cues) or cues[i + 1] - k > GAP + 1:
+            first = max(cues[start] - 1, 0)
+            yield first, "\n".join(lines[first : k + 2])
+            start = i + 1
 
 
 def scan(text: str, templates: Templates) -> list[dict]:
@@ -128,4 +131,5 @@ def scan_licenses(docs: DataFrame, templates: Sequence[tuple[str, str]], text_co
         return pa.array([scan(t.as_py(), known) if t.is_valid else [] for t in texts], pa.list_(pa.struct(fields)))
 
     candidate = F.when(F.col(text_col).rlike(CUE), F.col(text_col))  # other texts do not go to Python
-    return docs.withColumn(out_col, of(candidate))
+    # Not deterministic to the optimiser, so that a filter on the result doesn't run it again.
+    return docs.withColumn(out_col, of.asNondeterministic()(candidate))

@@ -253,13 +253,18 @@ def audit_recall(vectors: DataFrame, result: DataFrame, threshold: float = 0.98,
     true, part = 0, []
 
     def count(part: list) -> int:
-        ids, labels = np.array([r.vec_id for r in part]), np.array([r.label for r in part])
-        q = _unit_rows(pd.Series([np.array(r.vec) for r in part]))
+        by_length: dict[int, list] = {}
+        for r in part:
+            by_length.setdefault(len(r.vec), []).append(r)
+        asked = {d: (np.array([r.vec_id for r in rs]), np.array([r.label for r in rs]), _unit_rows(pd.Series([np.array(r.vec) for r in rs]))) for d, rs in by_length.items()}
 
         def links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                near = (_unit_rows(b["vec"]) @ q.T >= threshold) & (b["label"].to_numpy()[:, None] == labels) & (b["vec_id"].to_numpy()[:, None] != ids)
-                yield pd.DataFrame({"n": [int(near.sum())]})
+            for batch in batches:
+                for d, b in batch.groupby(batch["vec"].map(len)):
+                    if d in asked:
+                        ids, labels, q = asked[d]
+                        near = (_unit_rows(b["vec"]) @ q.T >= threshold) & (b["label"].to_numpy()[:, None] == labels) & (b["vec_id"].to_numpy()[:, None] != ids)
+                        yield pd.DataFrame({"n": [int(near.sum())]})
 
         return rows.mapInPandas(links, "n long").agg(F.sum("n")).first()[0] or 0
 

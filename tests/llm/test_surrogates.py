@@ -1,0 +1,98 @@
+"""Operator 7: what is private goes, what agrees still agrees, and nothing else changes."""
+
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from cathodyne.llm import surrogates
+from cathodyne.llm.surrogates import KINDS, replace_entities, settle, surrogate
+
+TEXTS = [
+    (1, "Mail loogm.24@mail6.example.com or LOOGM.24@mail6.example.com, call +1 (319) 555-5132 now."),
+    (2, "card 4111 1111 1111 1111 and 4111111111111111, host 152.143.123.131###, not 1.2.3.4.5 nor 12345"),
+    (3, 'token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" PASSWORD=Da3Fe1beadc3e135f8 password=hunter2pass'),
+    (4, "Mrs. Smith met Mr. Smith, Anna Smith and Dr. Иванова; Госпожа Иванова and Κυρία Παπαδάκη came too."),
+    (5, "Plain text: nothing here, not even 3.5 or a-b@ or M. without a name, 2024-01-02 10:30."),
+    (6, None),
+    (7, ""),
+    (1, "Mail loogm.24@mail6.example.com or LOOGM.24@mail6.example.com, call +1 (319) 555-5132 now."),
+    (None, "call +1-319-555-5132"),
+    (8, "x " * 100_000 + "a.b@c.de"),
+]
+
+
+def luhn(digits):
+    return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(digits))) % 10 == 0
+
+
+@pytest.fixture(scope="module")
+def replaced(spark):
+    docs = spark.createDataFrame([(*r, 1, "m") for r in TEXTS], "doc_id long, text string, text_hash int, matches string").repartition(3)
+    out = replace_entities(docs, "k1")
+    assert out.columns == [*docs.columns, "pii_counts"]
+    rows = out.collect()
+    assert len(rows) == len(TEXTS)
+    return {r.doc_id: r for r in rows}
+
+
+def test_nothing_private_stays(replaced):
+    for private in ("loogm", "LOOGM", "319", "4111", "152.143", "24be64", "Da3Fe1", "hunter2", "Smith", "Иванова", "Παπαδάκη"):
+        assert all(private not in (r.text or "") for r in replaced.values()), private
+    assert {k: v for k, v in replaced[1].pii_counts.items() if v} == {"email": 2, "phone": 1}
+    assert replaced[2].pii_counts["card"] == 2 and replaced[3].pii_counts["secret"] == 3 and replaced[4].pii_counts["name"] == 6
+
+
+def test_the_rest_stays(replaced):
+    texts = dict(TEXTS)
+    assert replaced[5].text == texts[5] and replaced[6].text is None and replaced[7].text == ""
+    assert replaced[6].pii_counts is None and set(replaced[5].pii_counts) == set(KINDS)
+    assert replaced[8].text.startswith("x " * 100_000) and re.fullmatch(r"[a-z]\.[a-z]@[a-z]\.de", replaced[8].text[200_000:])
+    assert "not 1.2.3.4.5 nor 12345" in replaced[2].text
+
+
+def test_format_and_coreference(replaced):
+    first, second = re.findall(r"\S+@\S+?(?=[, ])", replaced[1].text)
+    assert first.lower() == second.lower()
+    phone = re.search(r"\+1 \((\d{3})\) (\d{3})-(\d{4})", replaced[1].text)
+    assert replaced[None].text == "call +1-" + "-".join(phone.groups())
+    spaced, plain = re.search(r"card (\d{4} \d{4} \d{4} \d{4}) and (\d{16}),", replaced[2].text).groups()
+    assert spaced.replace(" ", "") == plain and plain[0] == "4" and luhn(plain)
+    assert re.search(r"host (\d{1,3}\.){3}\d{1,3}###", replaced[2].text)
+    assert re.search(r'token = "[0-9a-f]{40}" PASSWORD=[A-Z][a-z]\d[A-Z]', replaced[3].text)
+    m = re.fullmatch(r"Mrs\. (\w+) met Mr\. (\w+), (\w+) (\w+) and Dr\. (\w+); Госпожа (\w+) and Κυρία (\w+) came too\.", replaced[4].text)
+    a, b, given, c, d, e, greek = m.groups()
+    assert a == b == c and d == e and given in surrogates.GIVEN["latin", "f"] and re.fullmatch("[А-Яа-яё]+", d) and re.fullmatch("[Α-Ωα-ωά-ώς]+", greek)
+
+
+def test_key_decides(spark, replaced):
+    docs = spark.createDataFrame(TEXTS[:1], "doc_id long, text string")
+    again, other = (replace_entities(docs, k).first().text for k in ("k1", "k2"))
+    assert again == replaced[1].text != other
+
+
+def test_collisions_are_settled(spark):
+    names = [f"name{k}" for k in range(3000)]
+    entities = spark.createDataFrame([("given-latin-f", n) for n in names] + [("surname-greek", n) for n in names], "kind string, norm string")
+    tried = {(r.kind, r.norm): r.attempt for r in settle(entities, "k").collect()}
+    assert tried
+    rows = spark.createDataFrame([(k, n, tried.get((k, n), 0)) for k in ("given-latin-f", "surname-greek") for n in names], "kind string, norm string, attempt int")
+    made = [(r.kind, r.s.lower()) for r in rows.select("kind", surrogate(F.col("kind"), F.col("norm"), F.col("attempt"), "k").alias("s")).collect()]
+    assert len(set(made)) == len(made)
+
+
+def test_settled_attempts_reach_the_texts(spark):
+    people = [f"Name{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(300)]
+    docs = spark.createDataFrame([(k, f"Dr. Maria {p} and Mrs. {p}") for k, p in enumerate(people)] + [(900, "Mr. Alan Grant and Mr. Bert Grant and Mr. Carl Grant " * 3)], "doc_id long, text string")
+    out = {r.doc_id: r.text for r in replace_entities(docs, "k").collect()}
+    surnames = [re.fullmatch(r"Dr\. \S+ (\S+) and Mrs\. (\S+)", out[k]).groups() for k in range(300)]
+    assert all(a == b for a, b in surnames) and len({a for a, _ in surnames}) == 300
+    given = re.findall(r"Mr\. (\S+) \S+", out[900])
+    assert len(given) == 9 and len(set(given)) == 3
+
+
+def test_no_documents(spark):
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    assert replace_entities(empty, "k").isEmpty()
+    with pytest.raises(ValueError, match="pii_counts"):
+        replace_entities(empty.withColumn("pii_counts", F.lit(1)), "k")
