@@ -18,6 +18,10 @@ SEED = 42
 BITS = 64
 #: Cost of shuffling one signature row, in checks of one candidate pair.
 ROW_COST = 30.0
+#: Pairs of two longs that are sent to every task at most.
+BROADCAST_ROWS = 500_000
+#: Bits of the passes before the last, where links are verified.
+PASSES = (4, 7)
 #: Bytes of text whose words are held at once.
 BLOCK = 1 << 20
 
@@ -202,7 +206,8 @@ def _same_in_part(fingerprints: DataFrame, groups: list[list[int]]) -> list[floa
 def hamming_links(fingerprints: DataFrame, max_bits: int) -> DataFrame:
     """Pairs (a, b), a < b, of different values of the long column ``fp`` that differ in at most ``max_bits`` bits.
 
-    ``fingerprints`` holds each value once. Bits are grouped by their correlation over all values,
+    ``fingerprints`` holds each value once. Where it has a column ``grp``, pairs within one group are
+    left out; null is no group. Bits are grouped by their correlation over all values,
     each group of bits gets its own threshold (``allocate``), and values whose balls meet in a group
     are compared in full. Pairs are exact: none is lost, none is wrong.
     """
@@ -217,13 +222,14 @@ def hamming_links(fingerprints: DataFrame, max_bits: int) -> DataFrame:
 
 
 def probe(fingerprints: DataFrame, groups: list[list[int]], thresholds: list[int], max_bits: int) -> DataFrame:
-    sides = []
+    grouped, sides = "grp" in fingerprints.columns, []
     for side, name in ((0, "a"), (1, "b")):
+        carried = [F.col("grp").alias(f"grp_{name}")] * grouped
         rows = reduce(
             DataFrame.unionByName,
             [
-                fingerprints.select("fp", F.explode(F.array(*map(F.lit, _flips(g, radii(t)[side])))).alias("flip")).select(
-                    F.lit(i).cast("byte").alias("part"), F.col("fp").bitwiseAND(F.lit(_mask(g))).bitwiseXOR(F.col("flip")).alias("sig"), F.col("fp").alias(name)
+                fingerprints.select("*", F.explode(F.array(*map(F.lit, _flips(g, radii(t)[side])))).alias("flip")).select(
+                    F.lit(i).cast("byte").alias("part"), F.col("fp").bitwiseAND(F.lit(_mask(g))).bitwiseXOR(F.col("flip")).alias("sig"), F.col("fp").alias(name), *carried
                 )
                 for i, (g, t) in enumerate(zip(groups, thresholds))
                 if t >= 0
@@ -231,6 +237,8 @@ def probe(fingerprints: DataFrame, groups: list[list[int]], thresholds: list[int
         )
         sides.append(rows)
     near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits)
+    if grouped:
+        near &= F.coalesce(F.col("grp_a") != F.col("grp_b"), F.lit(True))
     return sides[0].join(sides[1], ["part", "sig"]).where(near).select("a", "b").distinct()
 
 
@@ -249,7 +257,10 @@ def verified(links: DataFrame, docs: DataFrame, values: DataFrame, width: int, s
     a, b = (sizes.select(F.col("fp").alias(x), F.col("shingles").alias(f"n_{x}")) for x in "ab")
     sized = keep(links.join(a, "a").join(b, "b").where(F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b")).select("a", "b"), "sized")
     involved = sized.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(sizes, "fp").select("fp", "least")
-    texts = docs.select("doc_id", "text").join(involved.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("least"))).select("fp", "text")
+    involved = keep(involved, "involved")
+    # Few ids go to the texts; many meet the texts in a shuffle.
+    involved = F.broadcast(involved) if involved.count() <= BROADCAST_ROWS else involved.hint("shuffle_hash")
+    texts = docs.select("doc_id", "text").join(involved, F.col("doc_id").eqNullSafe(F.col("least"))).select("fp", "text")
     sets = keep(texts.select("fp", shingle_set(F.col("text"), width).alias("set")).dropDuplicates(["fp"]), "shingles")
     with_a = sized.join(sets.select(F.col("fp").alias("a"), F.col("set").alias("set_a")), "a")
     with_b = with_a.join(sets.select(F.col("fp").alias("b"), F.col("set").alias("set_b")), "b")
@@ -257,6 +268,24 @@ def verified(links: DataFrame, docs: DataFrame, values: DataFrame, width: int, s
     return with_b.where(common >= similarity * (F.size("set_a") + F.size("set_b") - common)).select("a", "b")
 
 
+def _verified_components(docs: DataFrame, values: DataFrame, max_bits: int, width: int, similarity: float) -> DataFrame:
+    """Components of verified links, in passes of growing distance.
+
+    What a nearer pass has joined is not compared again, so a large group of near copies costs its
+    nearest links and not all its pairs; no component is lost by it.
+    """
+    links, joined, current = None, None, values.select("fp")
+    for bits in [b for b in PASSES if b < max_bits] + [max_bits]:
+        found = keep(verified(keep(hamming_links(current, bits), "near"), docs, values, width, similarity), "verified")
+        links = found if links is None else links.unionByName(found)
+        joined = keep(connected_components(links), "joined")
+        # A group's smallest value is not among the ids of its component.
+        smallest = joined.select(F.col("component").alias("id"), "component").distinct()
+        groups = joined.unionByName(smallest).select(F.col("id").alias("fp"), F.col("component").alias("grp"))
+        current = keep(values.select("fp").join(groups, "fp", "left"), "grouped")
+    return joined
+
+
 def simhash_groups(docs: DataFrame, max_bits: int = 4, width: int = 4, similarity: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: its id, its ``fingerprint`` (long) and ``component_id``, the smallest id reachable by links.
 
@@ -272,10 +301,10 @@ def simhash_groups(docs: DataFrame, max_bits: int = 4, width: int = 4, similarit
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     marked = keep(docs.select("doc_id", fingerprint_column(F.col("text"), width).alias("fp"), F.greatest(F.lit(1), word_count(F.col("text")) - (width - 1)).alias("shingles")), "fingerprints")
     values = keep(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min_by("shingles", "doc_id").alias("shingles")), "values")
-    links = hamming_links(values.select("fp"), max_bits)
-    if similarity is not None:
-        links = verified(keep(links, "near"), docs, values, width, similarity)
-    joined = connected_components(links)
+    if similarity is None:
+        joined = connected_components(hamming_links(values.select("fp"), max_bits))
+    else:
+        joined = _verified_components(docs, values, max_bits, width, similarity)
     of_value = values.join(joined.withColumnRenamed("id", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = of_value.groupBy("component").agg(F.min("least").alias("component_id"))
     of_value = of_value.join(least, "component").select("fp", "component_id")
