@@ -30,7 +30,7 @@ _SCRIPT_AT = np.array([SCRIPTS.index(s) for _, s in SCRIPT_RANGES])
 
 BUCKETS = 1 << 16
 #: Characters whose words are scored at once.
-BLOCK = 1 << 21
+BLOCK = 1 << 20
 #: Score a word loses in a language that does not use its script.
 WRONG_SCRIPT = 50.0
 
