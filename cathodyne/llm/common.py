@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cathodyne.plans.components import connected_components
 from cathodyne.sources.shared import keep, new_path, shared_dir
 
-__all__ = ["WORD", "column_free_of", "connected_components", "keep", "new_path", "shared_dir", "word_count"]
+__all__ = ["WORD", "column_free_of", "connected_components", "keep", "let", "new_path", "shared_dir", "word_count"]
 
 #: A word is a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -26,3 +28,8 @@ def column_free_of(df: DataFrame, stem: str) -> str:
 def word_count(text: Column) -> Column:
     """Number of words, 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once."""
+    return F.element_at(F.transform(F.array(value), body), 1)

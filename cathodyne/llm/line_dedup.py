@@ -7,18 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cathodyne.llm.common import connected_components, keep, new_path
+from cathodyne.llm.common import connected_components, keep, let, new_path
 
 
 #: Letters whose numbers tell lines apart before they are compared.
 LETTERS = "etaoinshrdlucmgp"
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is worked out once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def _segment(length: Column, i: Column, tau: int) -> tuple[Column, Column]:
     """Start (from 1) and size of segment ``i`` (from 1) of ``tau + 1`` even ones; the last ones take the remainder."""
     base, longer = F.floor(length / (tau + 1)).cast("int"), length % (tau + 1)
@@ -75,7 +70,7 @@ def _common(a: Column, b: Column, limit: Column, part: Callable[[Column, Column]
 
     def halve(acc: Column, _: Column) -> Column:
         mid = F.floor((acc["lo"] + acc["hi"] + 1) / 2).cast("int")
-        return _let(mid, lambda m: F.when(part(a, m) == part(b, m), F.struct(m.alias("lo"), acc["hi"].alias("hi"))).otherwise(F.struct(acc["lo"].alias("lo"), F.greatest(m - 1, acc["lo"]).alias("hi"))))
+        return let(mid, lambda m: F.when(part(a, m) == part(b, m), F.struct(m.alias("lo"), acc["hi"].alias("hi"))).otherwise(F.struct(acc["lo"].alias("lo"), F.greatest(m - 1, acc["lo"]).alias("hi"))))
 
     return F.when(limit <= 0, F.lit(0)).otherwise(F.aggregate(steps, zero, halve)["lo"])
 
@@ -87,7 +82,7 @@ def banded_distance(a: Column, b: Column, tau: int) -> Column:
     differences of a column are two words, and a column takes a handful of word operations.
     """
     chars = F.struct(F.split(a, "").alias("a"), F.split(b, "").alias("b"), F.length(a).alias("m"), F.length(b).alias("n"))
-    return _let(chars, lambda c: F.when(c["n"] == 0, c["m"]).when(c["m"] == 0, c["n"]).otherwise(_slide(c, tau)))
+    return let(chars, lambda c: F.when(c["n"] == 0, c["m"]).when(c["m"] == 0, c["n"]).otherwise(_slide(c, tau)))
 
 
 def _slide(c: Column, tau: int) -> Column:
@@ -112,8 +107,8 @@ def _slide(c: Column, tau: int) -> Column:
             move = F.when(j + tau <= m, F.when(d.bitwiseAND(F.lit(1 << (width - 1))) == 0, 1).otherwise(0)).otherwise(along)
             return F.struct(hn.bitwiseOR(down.bitwiseOR(hp).bitwiseXOR(full)).alias("vp"), down.bitwiseAND(hp).alias("vn"), (acc["cur"] + move).alias("cur"))
 
-        d0 = _let(matches(j), lambda x: (x.bitwiseAND(vp) + vp).bitwiseXOR(vp).bitwiseOR(x).bitwiseOR(vn).bitwiseAND(full))
-        return _let(d0, rest)
+        d0 = let(matches(j), lambda x: (x.bitwiseAND(vp) + vp).bitwiseXOR(vp).bitwiseOR(x).bitwiseOR(vn).bitwiseAND(full))
+        return let(d0, rest)
 
     start = F.struct(F.lit(((1 << (tau + 1)) - 1) << tau).cast("long").alias("vp"), F.lit(0).cast("long").alias("vn"), F.least(F.lit(tau), m).cast("int").alias("cur"))
     return F.aggregate(F.sequence(F.lit(1), c["n"]), start, column)["cur"]
@@ -133,13 +128,13 @@ def within(a: Column, b: Column, tau: int) -> Column:
                 s, t = q["u"], q["v"]
                 limit = F.least(F.length(s), F.length(t))
                 suffix = _common(s, t, limit, lambda z, k: F.substring(z, F.length(z) - k + 1, k))
-                return _let(suffix, lambda k: banded_distance(F.substring(s, F.lit(1), F.length(s) - k), F.substring(t, F.lit(1), F.length(t) - k), tau))
+                return let(suffix, lambda k: banded_distance(F.substring(s, F.lit(1), F.length(s) - k), F.substring(t, F.lit(1), F.length(t) - k), tau))
 
-            return _let(F.struct(u.alias("u"), v.alias("v")), trimmed)
+            return let(F.struct(u.alias("u"), v.alias("v")), trimmed)
 
-        return _let(prefix, behind)
+        return let(prefix, behind)
 
-    return (F.abs(F.length(a) - F.length(b)) <= tau) & (_let(F.struct(a.alias("x"), b.alias("y")), core) <= tau)
+    return (F.abs(F.length(a) - F.length(b)) <= tau) & (let(F.struct(a.alias("x"), b.alias("y")), core) <= tau)
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

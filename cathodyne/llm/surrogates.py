@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cathodyne.llm.common import column_free_of, keep
+from cathodyne.llm.common import column_free_of, keep, let
 
 # Titles by gender, given names by script and gender, syllables of surnames by script.
 FEMALE_TITLES = ["Mrs", "Ms", "Miss", "Frau", "Mme", "Mlle", "Sra", "Srta", "Signora", "Госпожа", "Κυρία"]
@@ -30,26 +30,30 @@ SYLLABLES = {
 _TITLES = "|".join([*FEMALE_TITLES, *MALE_TITLES, *OTHER_TITLES])
 _GIVEN = "|".join(n for names in GIVEN.values() for n in names)
 _CAPITAL = r"\p{Lu}[\p{L}'’-]+"
+_KEYS = "token|password|passwd|secret|api_key|apikey|api-key"
+_SECRET = rf"(?<![A-Za-z])(?i:{_KEYS})[\"']?\s{{0,2}}[=:]\s{{0,2}}[\"']?"
 #: What counts as an entity, in the order in which alternatives are tried.
-ENTITY = "|".join(
-    [
-        r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}",
-        r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?![\w]|\.\d)",
-        r"(?<![\w-])\d{4}([ -]?)\d{4}\1\d{4}\1\d{1,7}(?![\w-])",
-        r"(?<![\w.])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]\d{2,4}){1,4}(?!\w)",
-        r"(?<![\w.])\(?\d{3}\)?[ .-]\d{3}[ .-]\d{4}(?!\w)",
-        r"(?<=(?i:token|password|passwd|secret|api_key|apikey|api-key)[\"']?\s{0,2}[=:]\s{0,2}[\"']?)[A-Za-z0-9+/_=-]{8,}",
-        rf"(?<!\p{{L}})(?:{_TITLES})\.? {_CAPITAL}(?: {_CAPITAL})?",
-        rf"(?<!\p{{L}})(?:{_GIVEN}) {_CAPITAL}",
-    ]
-)
+ENTITY_PARTS = [
+    r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}",
+    r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?![\w]|\.\d)",
+    r"(?<![\w-])\d{4}([ -]?)\d{4}\1\d{4}\1\d{1,7}(?![\w-])",
+    r"(?<![\w.])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]\d{2,4}){1,4}(?!\w)",
+    r"(?<![\w.])\(?\d{3}\)?[ .-]\d{3}[ .-]\d{4}(?!\w)",
+    rf"{_SECRET}[A-Za-z0-9+/_=-]{{8,}}",
+    rf"(?<!\p{{L}})(?:{_TITLES})\.? {_CAPITAL}(?: {_CAPITAL})?",
+    rf"(?<!\p{{L}})(?:{_GIVEN}) {_CAPITAL}",
+]
+ENTITY = "|".join(ENTITY_PARTS)
+#: What every text with an entity holds; others are left alone.
+HINT = "|".join(["[0-9@]", rf"(?i:{_KEYS})", *ENTITY_PARTS[-2:]])
 KINDS = ["email", "ip", "card", "phone", "name", "secret"]
 
 
 def kind_of(match: Column) -> Column:
     digits = F.length(F.regexp_replace(match, r"\D", ""))
     return (
-        F.when(F.contains(match, F.lit("@")), "email")
+        F.when(match.rlike(f"^{_SECRET}"), "secret")
+        .when(F.contains(match, F.lit("@")), "email")
         .when(match.rlike(r"^(?:\d{1,3}\.){3}\d{1,3}$"), "ip")
         .when(match.rlike(r"^[\d -]+$") & digits.between(13, 19), "card")
         .when(match.rlike(r"^[+(]?\d[\d ().-]*$") & match.rlike(r"[ ().-]"), "phone")
@@ -89,6 +93,7 @@ def identities(match: Column) -> Column:
         F.when(kind == "name", F.when(given == "", F.array(last)).otherwise(F.array(first, last)))
         .when(kind.isin("card", "phone"), F.array(one(kind, digits)))
         .when(kind == "email", F.array(one(kind, F.lower(match))))
+        .when(kind == "secret", F.array(one(kind, F.regexp_replace(match, f"^{_SECRET}", ""))))
         .otherwise(F.array(one(kind, match)))
     )
 
@@ -132,6 +137,10 @@ def _luhn_sum(digits: Column) -> Column:
 def surrogate(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
     """The surrogate of a norm: a function of key, kind, norm and attempt alone."""
     h = F.sha2(F.concat_ws("|", F.lit(key), kind, norm, attempt.cast("string")), 256)
+    return let(F.struct(h.alias("h"), kind.alias("kind"), norm.alias("norm"), attempt.alias("attempt")), lambda x: _by_kind(x["h"], x["kind"], x["norm"], x["attempt"]))
+
+
+def _by_kind(h: Column, kind: Column, norm: Column, attempt: Column) -> Column:
     shaped = _shaped(norm, h)
     card = F.concat(F.substring(norm, 1, 1), F.substring(shaped, F.lit(2), F.length(norm) - 1))
     body = F.substring(card, F.lit(1), F.length(card) - 1)
@@ -184,16 +193,21 @@ def _render(match: Column, attempts: Column, key: str) -> Column:
         attempt = F.coalesce(F.element_at(attempts, F.concat_ws("|", identity["kind"], identity["norm"])), F.lit(0))
         return surrogate(identity["kind"], identity["norm"], attempt, key)
 
-    kind, names = kind_of(match), F.transform(identities(match), new)
+    return let(F.transform(identities(match), new), lambda names: _in_format(match, names))
+
+
+def _in_format(match: Column, names: Column) -> Column:
+    """The surrogates of a match in place of what they stand for."""
+    kind, title = kind_of(match), _name_parts(match)[0]
     first, last = F.element_at(names, 1), F.element_at(names, -1)
-    title = _name_parts(match)[0]
 
     def digit(c: Column, i: Column) -> Column:
         before = F.length(F.regexp_replace(F.substring(match, F.lit(1), i), r"\D", ""))
         return F.when(c.rlike("[0-9]"), F.substring(first, before + 1, F.lit(1))).otherwise(c)
 
     in_format = F.array_join(F.transform(F.split(match, ""), digit), "")
-    return F.when(kind == "name", F.concat(title, F.array_join(names, " "))).when(kind.isin("card", "phone"), in_format).otherwise(last)
+    before = F.regexp_extract(match, f"^{_SECRET}", 0)
+    return F.when(kind == "name", F.concat(title, F.array_join(names, " "))).when(kind == "secret", F.concat(before, last)).when(kind.isin("card", "phone"), in_format).otherwise(last)
 
 
 def _number(kinds: Column, kind: str) -> Column:
@@ -215,7 +229,9 @@ def replace_entities(docs: DataFrame, key: str, text_col: str = "text", counts_c
     if counts_col in docs.columns:
         raise ValueError(f"{counts_col} is a column already")
     found = column_free_of(docs, "matches")
-    matched = docs.withColumn(found, F.regexp_extract_all(F.col(text_col), F.lit(ENTITY), F.lit(0)))
+    none_found = F.when(F.col(text_col).isNotNull(), F.array().cast("array<string>"))
+    # Kept, so that texts are searched once and not again in each place that uses the matches.
+    matched = keep(docs.withColumn(found, F.when(F.col(text_col).rlike(HINT), F.regexp_extract_all(F.col(text_col), F.lit(ENTITY), F.lit(0))).otherwise(none_found)), "matched")
     entities = matched.select(F.explode(found).alias("m")).distinct().select(F.explode(identities(F.col("m"))).alias("x")).select("x.*").distinct()
     entities = keep(entities, "entities")
     tried = settle(entities, key)
