@@ -31,8 +31,10 @@ def _pgm(content: bytes) -> np.ndarray:
             at = content.index(b"\n", at)
             continue
         end = at
-        while not content[end : end + 1].isspace():
+        while end < len(content) and not content[end : end + 1].isspace():
             end += 1
+        if end == len(content):
+            raise ValueError("the header does not end")
         fields.append(int(content[at:end]))
         at = end
     width, height, most = fields

@@ -82,7 +82,7 @@ def flood(cells, diagonal, volume):
 
 @pytest.mark.parametrize(("diagonal", "volume"), [(False, False), (True, False), (False, True)])
 def test_labels_match_flood_fill(spark, diagonal, volume):
-    grid = np.random.default_rng(3).random((3, 12, 600)) < 0.45
+    grid = np.random.default_rng(3).random((2, 8, 300)) < 0.4
     cells = [tuple(map(int, c)) for c in np.argwhere(grid)]
     rows = spark.createDataFrame([("i", *c, 1.0) for c in cells], "image_id string, z int, y int, x int, value double")
     got = region_properties(label_runs(cell_runs(rows), diagonal, volume)).collect()
