@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cathodyne.llm.common import connected_components, keep, word_count
+from cathodyne.llm.common import connected_components, keep
 
 SEED = 42
 BITS = 64
@@ -83,6 +83,16 @@ def fingerprint_column(text: Column, width: int) -> Column:
     return F.pandas_udf(of, "long")(text)
 
 
+def shingle_profile(text: Column, width: int) -> Column:
+    """Struct of a text's fingerprint ``fp`` and its number of different shingles ``size``."""
+
+    def of(texts: pd.Series) -> pd.DataFrame:
+        rows = [(fingerprint(t, width), np.unique(_all_hashes(t, width)).size) for t in texts]
+        return pd.DataFrame(rows, columns=["fp", "size"]).astype("int64")
+
+    return F.pandas_udf(of, "fp long, size long")(text)
+
+
 def bit_statistics(fingerprints: DataFrame) -> tuple[int, np.ndarray]:
     """Number of fingerprints and, for each two bits, how many have both set. All rows count; 4,096 sums return."""
 
@@ -253,8 +263,9 @@ def shingle_set(text: Column, width: int) -> Column:
 
 def verified(links: DataFrame, docs: DataFrame, values: DataFrame, width: int, similarity: float) -> DataFrame:
     """Those pairs of fingerprints whose documents of least id have a Jaccard similarity of shingles of ``similarity`` or more."""
-    sizes = values.select("fp", "least", "shingles")
-    a, b = (sizes.select(F.col("fp").alias(x), F.col("shingles").alias(f"n_{x}")) for x in "ab")
+    sizes = values.select("fp", "least", "size")
+    # Of different shingles, as the similarity is: the lesser number over the greater one bounds it.
+    a, b = (sizes.select(F.col("fp").alias(x), F.col("size").alias(f"n_{x}")) for x in "ab")
     sized = keep(links.join(a, "a").join(b, "b").where(F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b")).select("a", "b"), "sized")
     involved = sized.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(sizes, "fp").select("fp", "least")
     involved = keep(involved, "involved")
@@ -299,8 +310,12 @@ def simhash_groups(docs: DataFrame, max_bits: int = 4, width: int = 4, similarit
     gives an empty one. Other columns of ``docs`` are not read.
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    marked = keep(docs.select("doc_id", fingerprint_column(F.col("text"), width).alias("fp"), F.greatest(F.lit(1), word_count(F.col("text")) - (width - 1)).alias("shingles")), "fingerprints")
-    values = keep(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min_by("shingles", "doc_id").alias("shingles")), "values")
+    if similarity is None:
+        marked = docs.select("doc_id", fingerprint_column(F.col("text"), width).alias("fp"), F.lit(0).alias("size"))
+    else:
+        marked = docs.select("doc_id", shingle_profile(F.col("text"), width).alias("profile")).select("doc_id", "profile.*")
+    marked = keep(marked, "fingerprints")
+    values = keep(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min_by("size", "doc_id").alias("size")), "values")
     if similarity is None:
         joined = connected_components(hamming_links(values.select("fp"), max_bits))
     else:

@@ -124,3 +124,12 @@ def test_verified_groups_keep_one_document(spark):
     assert by == {d: find(d) for d in text}
     kept = drop_near_duplicates(docs, groups)
     assert sorted(r.doc_id for r in kept.collect()) == sorted({find(d) for d in text})
+
+
+def test_a_copy_with_a_repeated_passage_is_a_copy(spark):
+    rng = random.Random(10)
+    words = [f"w{rng.randrange(500)}" for _ in range(150)]
+    rows = [(1, " ".join(words)), (2, " ".join(words + words[:70]))]
+    assert (plain(rows[0][1], 5) ^ plain(rows[1][1], 5)).bit_count() in range(1, 11)
+    groups = simhash_groups(spark.createDataFrame(rows, "doc_id long, text string"), max_bits=10, width=5, similarity=0.8)
+    assert {r.component_id for r in groups.collect()} == {1}
