@@ -133,3 +133,18 @@ def test_a_copy_with_a_repeated_passage_is_a_copy(spark):
     assert (plain(rows[0][1], 5) ^ plain(rows[1][1], 5)).bit_count() in range(1, 11)
     groups = simhash_groups(spark.createDataFrame(rows, "doc_id long, text string"), max_bits=10, width=5, similarity=0.8)
     assert {r.component_id for r in groups.collect()} == {1}
+
+
+def test_one_fingerprint_is_not_one_text(spark):
+    rng = random.Random(11)
+    other = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(190))
+    a, b, c, d = ("pad " * 260 + other() for _ in range(4))
+    assert len({plain(t, 5) for t in (a, b, c, d)}) == 1
+    near = b + " more"
+    rows = [(1, a), (2, b), (3, c), (4, near), (None, d), (None, c), (5, a), (6, "p q r s t u"), (6, "v w x y z o"), (6, "v w x y z o")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    groups = simhash_groups(docs, max_bits=10, width=5, similarity=0.8)
+    by = {(r.doc_id, r.text_key): r.component_id for r in groups.collect()}
+    assert sorted((d or 0, c or 0) for (d, _), c in by.items()) == [(0, 0), (0, 3), (1, 1), (2, 2), (3, 3), (4, 2), (5, 1), (6, 6), (6, 6)]
+    kept = sorted((r.doc_id or 0, r.text) for r in drop_near_duplicates(docs, groups).collect())
+    assert kept == sorted([(1, a), (2, b), (3, c), (0, d), (6, "p q r s t u"), (6, "v w x y z o")])
