@@ -303,7 +303,7 @@ def shared_bands(nodes: DataFrame) -> DataFrame:
     return rows.join(least, "band")
 
 
-def _verified_components(docs: DataFrame, nodes: DataFrame, max_bits: int, width: int, similarity: float) -> DataFrame:
+def _verified_components(docs: DataFrame, nodes: DataFrame, max_bits: int, width: int, similarity: float, any_distance: bool) -> DataFrame:
     """Components of verified links.
 
     First each node of a band is compared with the smallest one, which joins most of a large group of
@@ -313,6 +313,7 @@ def _verified_components(docs: DataFrame, nodes: DataFrame, max_bits: int, width
     of that fingerprint meet in their bands.
     """
     bands = keep(shared_bands(nodes), "bands")
+    near = F.lit(True) if any_distance else F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b"))) <= max_bits
     links, grouped = None, None
 
     def join(found: DataFrame) -> DataFrame:
@@ -328,7 +329,7 @@ def _verified_components(docs: DataFrame, nodes: DataFrame, max_bits: int, width
     prints = nodes.select("node", "fp")
     stars = bands.where("least < node").select(F.col("least").alias("a"), F.col("node").alias("b"), F.col("fp").alias("fp_b")).distinct()
     stars = stars.join(prints.select(F.col("node").alias("a"), F.col("fp").alias("fp_a")), "a")
-    join(stars.where(_near(max_bits)).select("a", "b"))
+    join(stars.where(near).select("a", "b"))
     values = keep(prints.groupBy("fp").agg(F.min("node").alias("node")), "values")
     a, b = (values.select(F.col("fp").alias(x), F.col("node").alias(f"node_{x}")) for x in "ab")
     for bits in [b for b in PASSES if b < max_bits] + [max_bits]:
@@ -339,20 +340,17 @@ def _verified_components(docs: DataFrame, nodes: DataFrame, max_bits: int, width
     split = members.groupBy("band").agg(F.min("grp").alias("low"), F.max("grp").alias("high")).where("low < high").select("band")
     members = keep(members.join(split, "band"), "members")
     a, b = (members.select("band", F.col("node").alias(x), F.col("fp").alias(f"fp_{x}"), F.col("grp").alias(f"grp_{x}")) for x in "ab")
-    return join(a.join(b, "band").where((F.col("a") < F.col("b")) & (F.col("grp_a") != F.col("grp_b")) & _near(max_bits)).select("a", "b").distinct())
+    return join(a.join(b, "band").where((F.col("a") < F.col("b")) & (F.col("grp_a") != F.col("grp_b")) & near).select("a", "b").distinct())
 
 
-def _near(max_bits: int) -> Column:
-    return F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b"))) <= max_bits
-
-
-def simhash_groups(docs: DataFrame, max_bits: int = 4, width: int = 4, similarity: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def simhash_groups(docs: DataFrame, max_bits: int = 4, width: int = 4, similarity: float | None = None, any_distance: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: its id, its ``fingerprint`` (long) and ``component_id``, the smallest id reachable by links.
 
     Documents link if their fingerprints differ in at most ``max_bits`` bits and, where a
     ``similarity`` is given, their shingles have at least that Jaccard similarity. Where many different
     texts have one fingerprint, all but one of them are found by bands of least hashes, which miss one
-    pair in 14,000 at a similarity of 0.8. ``text_key`` is a 64-bit hash of the text, and ``first`` is
+    pair in 14,000 at a similarity of 0.8. With ``any_distance``, the pairs of these bands link at that
+    similarity whatever their fingerprints. ``text_key`` is a 64-bit hash of the text, and ``first`` is
     true for the row of least id and key of its group, nulls last, and for rows that repeat it.
 
     Null and empty texts, and texts without words, have fingerprint 0 and are linked like any other.
@@ -368,7 +366,7 @@ def simhash_groups(docs: DataFrame, max_bits: int = 4, width: int = 4, similarit
     else:
         marked = keep(docs.select("doc_id", "text_key", shingle_profile(F.col("text"), width).alias("profile")).select("doc_id", "text_key", "profile.*"), "fingerprints")
         alike = marked.groupBy("node").agg(*[F.first(c).alias(c) for c in ("fp", "size", "bands")], F.min("text_key").alias("text_key"))
-        joined = _verified_components(docs, keep(alike, "nodes"), max_bits, width, similarity)
+        joined = _verified_components(docs, keep(alike, "nodes"), max_bits, width, similarity, any_distance)
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
     of_node = marked.groupBy("node").agg(F.min(place).alias("least")).join(joined.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = of_node.groupBy("component").agg(F.min("least").alias("least"))

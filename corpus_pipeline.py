@@ -15,7 +15,7 @@ from cathodyne.llm.simhash import drop_near_duplicates, simhash_groups
 
 #: Least share of a document's letters in its language.
 LEAST_SCORE = 0.5
-#: Bits in which fingerprints of five-word shingles may differ, and the similarity that confirms a pair.
+#: Bits of the passes over fingerprints of five-word shingles, and the similarity that confirms a pair of them or of bands.
 BITS, SHINGLE, SIMILARITY = 10, 5, 0.8
 
 
@@ -29,7 +29,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near copies."""
-    return drop_near_duplicates(docs, keep(simhash_groups(docs, max_bits=BITS, width=SHINGLE, similarity=SIMILARITY), "groups"))
+    return drop_near_duplicates(docs, keep(simhash_groups(docs, max_bits=BITS, width=SHINGLE, similarity=SIMILARITY, any_distance=True), "groups"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -62,3 +62,21 @@ def test_empty_corpus(spark, tables, tmp_path):
     spark.read.parquet(f"{tables}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     spark.read.parquet(f"{tables}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).isEmpty()
+
+
+def test_pairs_of_copies_at_the_promised_similarity_are_found(spark):
+    rng = random.Random(41)
+    words = [str(k) for k in range(10_000)]
+    shingles = lambda t: {tuple(w[i : i + 5]) for w in [t.split()] for i in range(len(w) - 4)}
+    rows, shares = [], []
+    for k in range(300):
+        text = [rng.choice(words) for _ in range(200)]
+        edited = list(text)
+        for at in rng.sample(range(5, 195, 10), k % 4 + 1):
+            edited[at] = "edited"
+        a, b = shingles(" ".join(text)), shingles(" ".join(edited))
+        shares.append(len(a & b) / len(a | b))
+        rows += [(2 * k, " ".join(text)), (2 * k + 1, " ".join(edited))]
+    assert min(shares) < 0.83 and all(s >= 0.8 for s in shares)
+    kept = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(0, 600, 2))
