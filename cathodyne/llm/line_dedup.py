@@ -173,32 +173,34 @@ def line_links(distinct_lines: DataFrame, tau: int) -> DataFrame:
     return both.where(within(F.col("line_a"), F.col("line_b"), tau)).select("a", "b")
 
 
-def line_classes(docs: DataFrame, tau: int = 2, min_chars: int = 32, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def line_classes(docs: DataFrame, tau: int = 2, min_chars: int = 32, exact_chars: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per line of each document: (id, line_no, n_chars, class_id, n_links, kept).
 
     Lines of at least ``min_chars`` characters link if they are within ``tau`` edits; a class is what
     links connect, and its first line by id and place is ``kept``. ``n_links`` counts the different
-    lines linked directly. Shorter lines repeat by nature: they are kept, in no class. Lines are known
-    by a 64-bit hash; of a billion different lines, about one pair in 37 such corpora shares one.
+    lines linked directly. Of shorter lines, those of at least ``exact_chars`` characters are in a class
+    with their exact repeats only; the rest, all shorter ones by default, are kept, in no class. Lines are
+    known by a 64-bit hash; of a billion different lines, about one pair in 37 such corpora shares one.
 
     A null text has no lines, an empty text one empty line. Null ids sort first. Rows that repeat an
     id and its text count as one place, so all of them are kept or none. Other columns are not read.
     """
     if min_chars <= 2 * tau:
         raise ValueError("min_chars must be above 2 tau, so that segments hold something")
+    least = min_chars if exact_chars is None else min(exact_chars, min_chars)
     lines = lines_of(docs, id_col, text_col)
-    long_lines = lines.where(F.length("line") >= min_chars)
+    classed = lines.where(F.length("line") >= least)
     place = F.struct("doc_id", "line_no")
-    known = long_lines.groupBy("h").agg(F.first("line").alias("line"), F.min(place).alias("first"), F.count("*").alias("rows"))
+    known = classed.groupBy("h").agg(F.first("line").alias("line"), F.min(place).alias("first"), F.count("*").alias("rows"))
     known = bucketed(known.withColumn("n", F.length("line")).withColumn("bag", letter_bag(F.col("line"))), "h")
-    links = keep(line_links(known.select("h", "line", "n", "bag"), tau), "line-links")
+    links = keep(line_links(known.where(F.col("n") >= min_chars).select("h", "line", "n", "bag"), tau), "line-links")
     degrees = links.select(F.explode(F.array("a", "b")).alias("h")).groupBy("h").agg(F.count("*").alias("n_links"))
     classes = connected_components(links).withColumnRenamed("id", "h")
     marked = known.select("h", "first", "rows").join(degrees, "h", "left").join(classes, "h", "left").withColumn("class_id", F.coalesce("component", "h"))
     marked = keep(marked.where("rows > 1 or n_links > 0").select("h", "first", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links")), "marked")
     firsts = marked.groupBy("class_id").agg(F.min("first").alias("class_first"))
     marked = marked.join(firsts, "class_id").select("h", "class_id", "n_links", "class_first")
-    narrow = lines.select("doc_id", "line_no", F.length("line").alias("n_chars"), F.when(F.length("line") >= min_chars, F.col("h")).alias("h"))
+    narrow = lines.select("doc_id", "line_no", F.length("line").alias("n_chars"), F.when(F.length("line") >= least, F.col("h")).alias("h"))
     placed = narrow.join(marked, "h", "left")
     is_first = F.col("doc_id").eqNullSafe(F.col("class_first.doc_id")) & (F.col("line_no") == F.col("class_first.line_no"))
     return placed.select(

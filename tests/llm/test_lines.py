@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from cathodyne.llm import queries
 from cathodyne.llm.line_dedup import bag_distance, letter_bag, line_classes, line_links, positions, within
 
 
@@ -104,3 +105,10 @@ def test_classes_of_lines(spark):
 
 def test_no_documents(spark):
     assert line_classes(spark.createDataFrame([], "doc_id long, text string")).isEmpty()
+
+
+def test_the_query_classes_short_lines(spark, tmp_path):
+    rows = [(1, "ab\nshort line\n\nab"), (2, "ab\nshort lime\n"), (3, "xy\nlonger than that"), (4, "az")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_lines, r.n_dropped, r.chars_dropped, r.n_links) for r in queries.op9_lines(spark, str(tmp_path)).collect()}
+    assert got == {1: (4, 1, 2, 1), 2: (3, 2, 12, 1), 3: (2, 0, 0, 0), 4: (1, 0, 0, 0)}
