@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
+from collections import Counter
 from collections.abc import Iterator, Sequence
 from difflib import SequenceMatcher
 
@@ -12,11 +14,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: What a line of a notice may hold; only documents with such a line are looked at further.
-CUE = r"(?i)licen[cs]e|copyright|creative commons|\bCC[ -](?:BY|0)|public domain|SPDX-|redistribut|free software|permission|without warrant"
+CUE = r"(?i)licen[cs]e|copyright|creative\W+commons|\bCC[\s-]+(?:BY|0)|public\W+domain|SPDX-|redistribut|free\W+software|permission|without\W+warrant"
 #: Lines without a cue that may lie between two of one block, and words of a block that are compared at once.
 GAP, BLOCK_WORDS = 2, 2000
-#: Templates whose wording is compared, by rank of reduction; least reduction and least share of a template's words.
-RANKED, LEAST_SAVED, COVERAGE = 6, 0.25, 0.8
+#: Least reduction of a template and least share of its words.
+LEAST_SAVED, COVERAGE = 0.25, 0.8
 
 FINDING = "struct<line_no:int,license:string,template:int,plain_size:int,saved:int,rank:int,coverage:double,differences:array<string>>"
 
@@ -29,6 +31,7 @@ class Templates:
     def __init__(self, templates: Sequence[tuple[str, str]]):
         self.names = [name for name, _ in templates]
         self.words = [words_of(text) for _, text in templates]
+        self.counts = [Counter(words) for words in self.words]
         self.plain = zstandard.ZstdCompressor(level=9, write_content_size=False)
         plain_texts = [spaced(text) for _, text in templates]
         self.alone = [len(self.plain.compress(text)) for text in plain_texts]
@@ -83,39 +86,81 @@ def blocks_of(text: str) -> Iterator[tuple[int, str]]:
             start = i + 1
 
 
-def scan(text: str, templates: Templates) -> list[dict]:
-    """Confirmed licences of a text; places that two templates claim go to the one with fewer differences."""
+def windows_of(text: str, spans: Sequence[tuple[int, int]], reach: int) -> Iterator[tuple[int, int]]:
+    """Ranges of words, given by their ``spans``, that hold all words within ``reach`` of a cue."""
+    starts, ends = [a for a, _ in spans], [b for _, b in spans]
+    low = high = 0
+    for cue in _CUE.finditer(text):
+        first, last = max(bisect_right(ends, cue.start()) - reach, 0), min(bisect_left(starts, cue.end()) + reach, len(spans))
+        if first > high:
+            if low < high:
+                yield low, high
+            low = first
+        high = last
+    if low < high:
+        yield low, high
+
+
+def _claims(text: str, spans: Sequence[tuple[int, int]], first: int, last: int, templates: Templates) -> list[dict]:
+    """Every template confirmed among the words from ``first`` to ``last``, at its best place."""
+    piece = text[spans[first][0] : spans[last - 1][1]]
+    words = words_of(piece)
+    there = Counter(words)
+    # Words that are there at all bound those in order, so that no other template can be confirmed.
+    able = {t for t, counts in enumerate(templates.counts) if (counts & there).total() >= COVERAGE * counts.total()}
+    if not able:
+        return []
+    size, ranked = templates.rank(piece)
     out = []
-    for line_no, block in blocks_of(text):
-        all_words = [(m.start(), m.end()) for m in _WORD.finditer(block)]
-        widest = max(map(len, templates.words), default=0) * 2
-        for at in range(0, max(len(all_words), 1), BLOCK_WORDS):
-            part = all_words[at : at + BLOCK_WORDS + widest]
-            if not part:
-                continue
-            piece = block[part[0][0] : part[-1][1]]
-            size, ranked = templates.rank(piece)
-            words, claims = words_of(piece), []
-            for rank, (saved, t) in enumerate(ranked[:RANKED], 1):
-                coverage, differences, place = wording(templates.words[t], words)
-                if coverage >= COVERAGE:
-                    claims.append((len(differences), -coverage * len(templates.words[t]), rank, saved, t, coverage, differences, place))
-            taken: list[tuple[int, int]] = []
-            for _, _, rank, saved, t, coverage, differences, place in sorted(claims, key=lambda c: c[:3]):
-                if all(place[1] <= a or b <= place[0] for a, b in taken):
-                    taken.append(place)
-                    row = line_no + block[: part[place[0]][0]].count("\n") if place[0] < len(part) else line_no
-                    out.append({"line_no": row, "license": templates.names[t], "template": t, "plain_size": size, "saved": saved, "rank": rank, "coverage": coverage, "differences": differences})
-    unique = {(f["line_no"], f["template"]): f for f in out}
-    return [unique[k] for k in sorted(unique)]
+    for rank, (saved, t) in enumerate(ranked, 1):
+        if t in able:
+            coverage, differences, (a, b) = wording(templates.words[t], words)
+            if coverage >= COVERAGE:
+                out.append({"place": (first + a, first + b), "license": templates.names[t], "template": t, "plain_size": size, "saved": saved, "rank": rank, "coverage": coverage, "differences": differences})
+    return out
+
+
+def scan(text: str, templates: Templates) -> list[dict]:
+    """Confirmed licences of a text; places that two templates claim go to the one with more words found, less its differences.
+
+    What is left beside the confirmed places is looked at again, until nothing more is confirmed.
+    """
+    spans = [(m.start(), m.end()) for m in _WORD.finditer(text)]
+    widest = max(map(len, templates.words), default=0) * 2
+    todo = []
+    for low, high in windows_of(text, spans, widest):
+        todo += [(at, min(at + BLOCK_WORDS + widest, high)) for at in range(low, high, BLOCK_WORDS)]
+    found: list[dict] = []
+    while todo:
+        claims = [c for first, last in todo for c in _claims(text, spans, first, last, templates)]
+        winners, taken = [], sorted(f["place"] for f in found)
+        for claim in sorted(claims, key=lambda c: (len(c["differences"]) - c["coverage"] * len(templates.words[c["template"]]), c["rank"], c["place"])):
+            a, b = claim["place"]
+            at = bisect_left(taken, (a, b))
+            if (at == 0 or taken[at - 1][1] <= a) and (at == len(taken) or b <= taken[at][0]):
+                taken.insert(at, (a, b))
+                winners.append(claim)
+        found += winners
+        # Pieces in which a place was confirmed are cut there.
+        rest = []
+        for first, last in todo:
+            inside = [(a, b) for a, b in taken if a < last and first < b]
+            if any(first < f["place"][1] and f["place"][0] < last for f in winners):
+                edges = [first, *(x for place in inside for x in place), last]
+                rest += [(a, b) for a, b in zip(edges[::2], edges[1::2]) if a < b]
+        todo = sorted(set(rest))
+    rows = []
+    for f in sorted(found, key=lambda f: f["place"]):
+        rows.append({"line_no": text.count("\n", 0, spans[f["place"][0]][0])} | {k: v for k, v in f.items() if k != "place"})
+    return sorted(rows, key=lambda f: (f["line_no"], f["template"]))
 
 
 def scan_licenses(docs: DataFrame, templates: Sequence[tuple[str, str]], text_col: str = "text", out_col: str = "licenses") -> DataFrame:
     """``docs`` with an array of the licences found in each: line, licence, template, sizes, rank, coverage, differences.
 
-    Lines with cues make candidate blocks. Each block is compressed alone and with each template as a
-    raw dictionary; the templates that shrink it most are compared word by word, and one counts if at
-    least ``COVERAGE`` of its words stand there in order. ``differences`` are the exact changes of wording.
+    Cues with the words around them, up to twice the longest template, make candidate blocks. Each block is
+    compressed alone and with each template as a raw dictionary; the templates that shrink it enough are
+    compared word by word, and one counts if at least ``COVERAGE`` of its words stand there in order. ``differences`` are the exact changes of wording.
 
     Null and empty texts, and texts without cues, get empty arrays. Repeated rows get equal arrays.
     Long blocks are compared in overlapping parts, whole. Other columns stay; ``out_col`` must be free.

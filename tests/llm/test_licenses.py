@@ -1,6 +1,7 @@
 """Operator 3 against known notices."""
 
 import random
+import textwrap
 
 import pytest
 from pyspark.sql import functions as F
@@ -65,3 +66,22 @@ def test_table_with_odd_rows(spark):
     assert got == [(-1, ["MIT"]), (1, ["MIT"]), (1, ["MIT"]), (2, []), (3, []), (4, []), (5, ["MIT", "Apache-2.0"]), (6, [])]
     assert scan_licenses(docs.limit(0), TEMPLATES).isEmpty()
     assert out.where((F.col("doc_id") == 1) & (F.col("licenses")[0]["saved"] <= 0)).isEmpty()
+
+
+@pytest.mark.parametrize("mark", ["", "# ", " * "])
+def test_wrapped_notices_are_whole(templates, mark):
+    rng = random.Random(33)
+    for name, text in TEMPLATES:
+        for width in (30, 45, 72):
+            notice = "\n".join(mark + line for line in textwrap.wrap(text, width, break_on_hyphens=False, break_long_words=False))
+            found = scan(f"{filler(rng, 30)}\n{notice}\n{filler(rng, 30)}", templates)
+            assert [(f["license"], f["line_no"], f["coverage"]) for f in found] == [(name, 1, 1.0)], (name, width, found)
+
+
+def test_adjacent_notices_are_all_found(templates):
+    rng = random.Random(34)
+    short = [(name, text) for name, text in TEMPLATES if len(words_of(text)) < 20]
+    for _ in range(60):
+        notices = rng.sample(short, 3) if rng.random() < 0.8 else [rng.choice(short)] * 3
+        found = scan("\n".join(text for _, text in notices), templates)
+        assert [f["license"] for f in found] == [name for name, _ in notices], (notices, found)
