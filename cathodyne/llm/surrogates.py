@@ -37,8 +37,9 @@ ENTITY_PARTS = [
     r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}",
     r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?![\w]|\.\d)",
     r"(?<![\w-])\d{4}([ -]?)\d{4}\1\d{4}\1\d{1,7}(?![\w-])",
+    r"(?<![\w.])\+\d(?:\)?[ .-]?\(?\d){7,14}(?!\w)",
     r"(?<![\w.])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]\d{2,4}){1,4}(?!\w)",
-    r"(?<![\w.])\(?\d{3}\)?[ .-]\d{3}[ .-]\d{4}(?!\w)",
+    r"(?<![\w.])\(?\d{3}(?:\)[ .-]?|[ .-])\d{3}[ .-]\d{4}(?!\w)",
     rf"{_SECRET}[A-Za-z0-9+/_=-]{{8,}}",
     rf"(?<!\p{{L}})(?:{_TITLES})\.? {_CAPITAL}(?: {_CAPITAL})?",
     rf"(?<!\p{{L}})(?:{_GIVEN}) {_CAPITAL}",
@@ -56,8 +57,9 @@ def kind_of(match: Column) -> Column:
         .when(F.contains(match, F.lit("@")), "email")
         .when(match.rlike(r"^(?:\d{1,3}\.){3}\d{1,3}$"), "ip")
         .when(match.rlike(r"^[\d -]+$") & digits.between(13, 19), "card")
-        .when(match.rlike(r"^[+(]?\d[\d ().-]*$") & match.rlike(r"[ ().-]"), "phone")
+        .when(match.rlike(r"^[+(]?\d[\d ().-]*$") & match.rlike(r"[+ ().-]"), "phone")
         .when(match.rlike(rf"^(?:(?:{_TITLES})\.?|(?:{_GIVEN})) "), "name")
+        .when(match.rlike(f"^{_CAPITAL}$"), "name")  # a surname by itself
         .otherwise("secret")
     )
 
@@ -69,6 +71,13 @@ def _name_parts(match: Column) -> tuple[Column, Column, Column]:
     return title, F.regexp_extract(rest, r"^(\S+) \S", 1), F.regexp_extract(rest, r"(\S+)$", 1)
 
 
+def _bare_surnames(found: Column) -> Column:
+    """What counts as an entity besides in a text with these matches: the surnames among them by themselves; null if there are none."""
+    surnames = F.array_distinct(F.transform(F.filter(found, lambda m: kind_of(m) == "name"), lambda m: _name_parts(m)[2]))
+    bare = F.concat(F.lit(r"|(?<![\p{L}\p{N}_'’-])(?:"), F.array_join(surnames, "|"), F.lit(r")(?![\p{L}\p{N}_-])"))
+    return F.when(F.size(surnames) > 0, bare)
+
+
 def _script(word: Column) -> Column:
     return F.when(word.rlike(r"\p{IsCyrillic}"), "cyrillic").when(word.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
 
@@ -219,7 +228,8 @@ def replace_entities(docs: DataFrame, key: str, text_col: str = "text", counts_c
 
     Emails, addresses, card and phone numbers, names and secrets get surrogates that depend on the key
     and on what they refer to: one thing has one surrogate in all texts and spellings, two things of a
-    kind never share one, and none is a real one of the corpus. Digits and punctuation keep their
+    kind never share one, and none is a real one of the corpus. A surname found in a text is also replaced
+    where it stands there by itself. Digits and punctuation keep their
     places, cards that satisfy the Luhn sum still do, names keep title, gender and script, emails their
     last label.
 
@@ -228,16 +238,24 @@ def replace_entities(docs: DataFrame, key: str, text_col: str = "text", counts_c
     """
     if counts_col in docs.columns:
         raise ValueError(f"{counts_col} is a column already")
-    found = column_free_of(docs, "matches")
+    found, entity = column_free_of(docs, "matches"), column_free_of(docs, "entity")
     none_found = F.when(F.col(text_col).isNotNull(), F.array().cast("array<string>"))
     # Kept, so that texts are searched once and not again in each place that uses the matches.
-    matched = keep(docs.withColumn(found, F.when(F.col(text_col).rlike(HINT), F.regexp_extract_all(F.col(text_col), F.lit(ENTITY), F.lit(0))).otherwise(none_found)), "matched")
+    once = F.when(F.col(text_col).rlike(HINT), F.regexp_extract_all(F.col(text_col), F.lit(ENTITY), F.lit(0))).otherwise(none_found)
+
+    def searched(matches: Column, bare: Column) -> Column:
+        # Texts that name somebody are searched again, for that surname wherever it stands.
+        again = F.regexp_extract_all(F.col(text_col), F.concat(F.lit(ENTITY), bare), F.lit(0))
+        return F.struct(F.when(bare.isNotNull(), again).otherwise(matches).alias("matches"), bare.alias("bare"))
+
+    matched = keep(docs.withColumn(found, let(once, lambda m: let(_bare_surnames(m), lambda bare: searched(m, bare)))), "matched")
+    matched = matched.withColumn(entity, F.concat(F.lit(ENTITY), F.col(found)["bare"])).withColumn(found, F.col(found)["matches"])
     entities = matched.select(F.explode(found).alias("m")).distinct().select(F.explode(identities(F.col("m"))).alias("x")).select("x.*").distinct()
     entities = keep(entities, "entities")
     tried = settle(entities, key)
 
     def rebuilt(attempts: Column) -> Column:
-        parts = F.split(F.col(text_col), ENTITY, -1)
+        parts = F.when(F.col(entity).isNull(), F.split(F.col(text_col), ENTITY, -1)).otherwise(F.split(F.col(text_col), F.col(entity), -1))
         new = F.concat(F.transform(found, lambda m: _render(m, attempts, key)), F.array(F.lit("")))
         return F.when(F.size(found) > 0, F.array_join(F.flatten(F.zip_with(parts, new, lambda p, s: F.array(p, s))), "")).otherwise(F.col(text_col))
 

@@ -96,3 +96,23 @@ def test_no_documents(spark):
     assert replace_entities(empty, "k").isEmpty()
     with pytest.raises(ValueError, match="pii_counts"):
         replace_entities(empty.withColumn("pii_counts", F.lit(1)), "k")
+
+
+def test_phones_of_other_formats(spark):
+    phones = ["+14155550123", "+91 98765 43210", "+33 1 23 45 67 89", "+49 30 12345678", "(415)555-0123", "+49 (30) 1234-5678", "(415) 555-0123", "415-555-0123"]
+    others = ["+1234567", "+12345678901234567890", "a+12345678b", "1+2 = 3", "415555-0123"]
+    docs = spark.createDataFrame([(k, f"call {p}, now") for k, p in enumerate(phones + others)], "doc_id long, text string")
+    out = {r.doc_id: r for r in replace_entities(docs, "k").collect()}
+    for k, p in enumerate(phones):
+        assert p not in out[k].text and out[k].pii_counts["phone"] == 1 and re.sub(r"\d", "0", out[k].text) == re.sub(r"\d", "0", f"call {p}, now"), p
+    assert [out[len(phones) + k].text for k in range(len(others))] == [f"call {p}, now" for p in others]
+
+
+def test_later_mentions_of_a_surname(spark):
+    text = "Smith's day: Mr John Smith came. Then Smith said so to Dr. Иванова, and Иванова to Smith. Smithson and Blacksmith stay, smith too."
+    docs = spark.createDataFrame([(1, text), (2, "Smith alone is nobody found here.")], "doc_id long, text string")
+    out = {r.doc_id: r for r in replace_entities(docs, "k").collect()}
+    m = re.fullmatch(r"(\w+)'s day: Mr (\w+) (\w+) came\. Then (\w+) said so to Dr\. (\w+), and (\w+) to (\w+)\. Smithson and Blacksmith stay, smith too\.", out[1].text)
+    a, given, b, c, d, e, f = m.groups()
+    assert a == b == c == f != "Smith" and d == e != "Иванова" and given != "John"
+    assert out[1].pii_counts["name"] == 6 and out[2].text == "Smith alone is nobody found here."
