@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cathodyne.sources.shared import keep
+from cathodyne.sources.shared import discard, keep
 
 
 def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -24,14 +24,19 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
     )
     rounds: list[DataFrame] = []
     while not edges.isEmpty():
-        hooks = edges.groupBy("hi").agg(F.min("lo").alias("root")).withColumnRenamed("hi", "id")
-        hooks = _flatten(keep(hooks, "hooks"))
+        first = edges.groupBy("hi").agg(F.min("lo").alias("root")).withColumnRenamed("hi", "id")
+        first = keep(first, "hooks")
+        hooks = _flatten(first)
         rounds.append(hooks)
+        high = hooks.join(first.withColumnRenamed("root", "hook"), "id").select(F.col("id").alias("hi"), F.col("root").alias("hi_root"), "hook")
+        # A hub's links are the hooks of its neighbours; gone here, they do not meet at the hub.
+        moved = edges.join(high, "hi").where("lo != hook").select("lo", "hi_root").distinct()
         low = hooks.select(F.col("id").alias("lo"), F.col("root").alias("lo_root"))
-        high = hooks.select(F.col("id").alias("hi"), F.col("root").alias("hi_root"))
-        moved = edges.join(high, "hi").join(low, "lo", "left")
+        moved = moved.join(low, "lo", "left")
         p, q = F.coalesce("lo_root", "lo"), F.col("hi_root")
-        edges = keep(moved.select(F.least(p, q).alias("lo"), F.greatest(p, q).alias("hi")).where("lo < hi").distinct(), "links")
+        rest = keep(moved.select(F.least(p, q).alias("lo"), F.greatest(p, q).alias("hi")).where("lo < hi").distinct(), "links")
+        discard(edges)
+        edges = rest
     if not rounds:
         return edges.select(F.col("hi").alias("id"), F.col("lo").alias("component"))
     labels = rounds[0]
@@ -43,11 +48,14 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
 
 def _flatten(hooks: DataFrame) -> DataFrame:
     """Follows hooks (id, root), always to smaller ids, until each root hooks on to nothing."""
+    given = hooks
     while True:
         up = hooks.select(F.col("id").alias("root"), F.col("root").alias("next"))
         once = hooks.join(up, "root", "left").select("id", F.coalesce("next", "root").alias("root"))
         twice = once.join(up, "root", "left").select("id", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved"))
         stepped = keep(twice, "hooks")
-        hooks = stepped.select("id", "root")
+        if hooks is not given:
+            discard(hooks)
+        hooks = stepped
         if stepped.where("moved").isEmpty():
-            return hooks
+            return hooks.select("id", "root")

@@ -32,4 +32,14 @@ def keep(df: DataFrame, name: str = "step") -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back: a cut in the lineage that outlives executors."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    kept = df.sparkSession.read.schema(df.schema).parquet(path)
+    kept.kept_path = path
+    return kept
+
+
+def discard(kept: DataFrame) -> None:
+    """Deletes the files of a table from ``keep`` once what was made of it is kept as well; leaves others alone."""
+    if path := getattr(kept, "kept_path", None):
+        spark = kept.sparkSession
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
