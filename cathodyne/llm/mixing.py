@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cathodyne.llm.common import WORD, keep, word_count
+from cathodyne.llm.common import WORD, column_free_of, keep, word_count
 
 
 def prefix_sums(df: DataFrame, order: Sequence[Column], values: dict[str, str]) -> DataFrame:
@@ -63,20 +63,27 @@ def source_targets(sizes: DataFrame, weights: Sequence[int], max_epochs: int) ->
     return ranked.select("source", "source_size", "source_start", target.alias("target"))
 
 
+def mix_key(seed: str, doc_id: Column, text: Column) -> Column:
+    """The hash-random key of a document; only rows that repeat an id and its text share one."""
+    text = F.coalesce(text, F.lit(""))
+    return F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(doc_id.cast("string"), F.lit("")), F.lit("|"), F.md5(text)))
+
+
 def mix_sources(
     docs: DataFrame, weights: Sequence[int] = (5, 2, 1), max_epochs: int = 3, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source"
 ) -> DataFrame:
-    """How much of each document a mix by source takes: rows (doc_id, source, size, source_size, target, epochs, cut, taken).
+    """How much of each document a mix by source takes: rows (doc_id, source, key, size, source_size, target, epochs, cut, taken).
 
     Sizes are words. Each document gets a hash-random key; documents are range-sorted by source and
     key, and distributed prefix sums tell where a source's budget, its target to the nearest word,
     runs out. ``taken`` is ``epochs`` whole passes plus ``cut`` words of the pass that ends early, so
-    a source's ``taken`` add up to its budget exactly. Null texts have size 0, a null source is a
-    source of its own, null ids and repeated rows count like any others, an empty table gives an
-    empty one. Extra columns are not read.
+    a source's ``taken`` add up to its budget exactly.
+
+    Null texts have size 0, a null source is a source of its own, null ids and repeated rows count like
+    any others, an empty table gives an empty one. Ties of key, which only rows of one id and text
+    have, are cut in any order, as they are alike. Long texts count whole. Extra columns are not read.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    key = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit("|"), F.md5(text)))
+    key = mix_key(seed, F.col(id_col), F.col(text_col))
     sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), key.alias("key"))
     sized = keep(sized, "sized")
     targets = keep(source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, max_epochs), "targets")
@@ -89,26 +96,46 @@ def mix_sources(
     rest = budget - F.col("epochs") * F.col("source_size") - (F.col("before") - F.col("source_start"))
     joined = joined.withColumn("cut", F.greatest(F.lit(0), F.least(F.col("size"), rest)).cast("long"))
     taken = F.col("epochs") * F.col("size") + F.col("cut")
-    return joined.select(F.col("doc_id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "epochs", "cut", taken.alias("taken"))
+    return joined.select(F.col("doc_id").alias(id_col), F.col("source").alias(source_col), "key", "size", "source_size", "target", "epochs", "cut", taken.alias("taken"))
+
+
+def mix_ends(mix: DataFrame, source_col: str = "source") -> DataFrame:
+    """Where each source's last pass ends: rows (source, epochs, last_key, last_cut), one per source.
+
+    Documents of a smaller key are taken once more, that of ``last_key`` by ``last_cut`` words, the others not.
+    Rows that share the last key share its words evenly.
+    """
+    by_key = mix.groupBy(F.col(source_col).alias("source"), "key").agg(F.max("epochs").alias("epochs"), F.sum("cut").alias("cut"), F.sum("size").alias("size"), F.count("*").alias("rows"))
+    last = F.max(F.when(F.col("cut") > 0, F.struct("key", "cut", "size", "rows")))
+    ends = by_key.groupBy("source").agg(F.max("epochs").alias("epochs"), last.alias("last"))
+    cut = F.when(F.col("last.cut") < F.col("last.size"), F.floor(F.col("last.cut") / F.col("last.rows"))).otherwise(F.lit(-1))
+    return ends.select("source", "epochs", F.col("last.key").alias("last_key"), cut.cast("long").alias("last_cut"))
 
 
-def apply_mix(docs: DataFrame, mix: DataFrame, text_col: str = "text", id_col: str = "doc_id", chars_col: str | None = None) -> DataFrame:
-    """The mixed documents themselves: each as often as its epochs say, and once more cut to its ``cut`` words.
+def apply_mix(docs: DataFrame, mix: DataFrame, seed: str = "mix", text_col: str = "text", id_col: str = "doc_id", source_col: str = "source", chars_col: str | None = None) -> DataFrame:
+    """The mixed documents themselves: each as often as its source's epochs say, and once more as far as its budget goes.
 
-    A pass that takes all of a document keeps its text as it is; a cut copy has its words joined by
-    single spaces, and its length in ``chars_col``. Rows that share an id share the largest of their
-    decisions.
+    A source is decided by its epochs and the key at which its last pass ends, so one row per source
+    meets the documents and no text is shuffled for it. A whole pass keeps a text as it is; a cut copy has its words
+    joined by single spaces, and its length in ``chars_col``. Texts without words are taken once.
+    Columns of ``docs`` stay, whatever their names.
     """
-    words = F.struct("epochs", F.when(F.col("cut") == F.col("size"), 1).otherwise(0).alias("last"), F.when(F.col("cut") < F.col("size"), F.col("cut")).otherwise(0).alias("cut"))
-    by_id = mix.where("taken > 0 or size = 0").groupBy(F.col(id_col).alias("mix_id")).agg(F.max(words).alias("m"))
-    parts = F.concat(F.array_repeat(F.lit(0).cast("long"), (F.col("m.epochs") + F.col("m.last")).cast("int")), F.when(F.col("m.cut") > 0, F.array("m.cut")).otherwise(F.array().cast("array<long>")))
-    copies = by_id.select("mix_id", parts.alias("mix_parts"))
-    taken = docs.join(copies, F.col(id_col).eqNullSafe(F.col("mix_id"))).withColumn("mix_part", F.explode("mix_parts"))
+    names = {c: column_free_of(docs, c) for c in ("mix_source", "mix_epochs", "mix_last", "mix_cut", "mix_part", "mix_key")}
+    ends = mix_ends(mix, source_col).toDF(*[names[c] for c in ("mix_source", "mix_epochs", "mix_last", "mix_cut")])
+    source, epochs, last, cut, part, key = (F.col(n) for n in names.values())
+    # The key is worked out before the join, as it hashes the text.
+    keyed = docs.withColumn(names["mix_key"], mix_key(seed, F.col(id_col), F.col(text_col)))
+    placed = keyed.join(ends, F.col(source_col).eqNullSafe(source))
+    whole = epochs + F.when(last.isNotNull() & ((key < last) | ((key == last) & (cut < 0))), 1).otherwise(0)
+    none = ~F.coalesce(F.col(text_col).rlike(WORD), F.lit(False))
+    copies = F.array_repeat(F.lit(-1).cast("long"), F.when(none, 1).otherwise(whole).cast("int"))
+    parts = F.when((key == last) & (cut > 0) & ~none, F.concat(copies, F.array(cut))).otherwise(copies)
+    taken = placed.withColumn(names["mix_part"], F.explode(parts))
     found = F.regexp_extract_all(F.col(text_col), F.lit(WORD), F.lit(0))
-    cut_text = F.array_join(F.slice(found, F.lit(1), F.greatest(F.col("mix_part"), F.lit(1)).cast("int")), " ")
-    taken = taken.withColumn(text_col, F.when(F.col("mix_part") == 0, F.col(text_col)).otherwise(cut_text))
+    cut_text = F.array_join(F.slice(found, F.lit(1), F.greatest(part, F.lit(1)).cast("int")), " ")
+    taken = taken.withColumn(text_col, F.when(part < 0, F.col(text_col)).otherwise(cut_text))
     if chars_col:
-        taken = taken.withColumn(chars_col, F.when(F.col("mix_part") == 0, F.col(chars_col)).otherwise(F.length(text_col)))
+        taken = taken.withColumn(chars_col, F.when(part < 0, F.col(chars_col)).otherwise(F.length(text_col)))
     return taken.select(*docs.columns)
 
 

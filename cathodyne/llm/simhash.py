@@ -12,6 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cathodyne.llm.buckets import UNIT_LOAD, UNIT_ROWS, bucket_links, unite
 from cathodyne.llm.common import column_free_of, connected_components, keep
 
 SEED = 42
@@ -20,10 +21,14 @@ BITS = 64
 ROW_COST = 30.0
 #: Pairs of two longs that are sent to every task at most.
 BROADCAST_ROWS = 500_000
-#: Bits of the passes before the last, where links are verified.
-PASSES = (4, 7)
+#: Most signatures of a bucket whose pairs a join gives.
+CROWD = 300
 #: Bands of least hashes and the hashes of each: at a similarity of 0.8 one pair in 14,000 shares no band.
 BANDS, ROWS = 24, 5
+#: Blocks of a connected set of texts that are compared with one another; a larger set is compared bucket by bucket.
+MOST_BLOCKS = 8
+#: Rows and cells of a tile of pairs.
+TILE, CELLS = 512, 1 << 22
 #: Bytes of text whose words are held at once.
 BLOCK = 1 << 20
 
@@ -232,12 +237,11 @@ def _same_in_part(fingerprints: DataFrame, groups: list[list[int]]) -> list[floa
 
 
 def hamming_links(fingerprints: DataFrame, max_bits: int) -> DataFrame:
-    """Pairs (a, b), a < b, of different values of the long column ``fp`` that differ in at most ``max_bits`` bits.
+    """Links (a, b) between different values of the long column ``fp``, which holds each value once.
 
-    ``fingerprints`` holds each value once. Where it has a column ``grp``, pairs within one group are
-    left out; null is no group. Bits are grouped by their correlation over all values,
-    each group of bits gets its own threshold (``allocate``), and values whose balls meet in a group
-    are compared in full. Pairs are exact: none is lost, none is wrong.
+    Their components are those of all pairs that differ in at most ``max_bits`` bits. Bits are grouped by
+    their correlation over all values, each group of bits gets its own threshold (``allocate``), and
+    values whose balls meet in a group are compared in full: none that should link is lost.
     """
     n, both = bit_statistics(fingerprints)
     plans = []
@@ -249,25 +253,75 @@ def hamming_links(fingerprints: DataFrame, max_bits: int) -> DataFrame:
     return probe(fingerprints, groups, thresholds, max_bits)
 
 
-def probe(fingerprints: DataFrame, groups: list[list[int]], thresholds: list[int], max_bits: int) -> DataFrame:
-    grouped, sides = "grp" in fingerprints.columns, []
-    for side, name in ((0, "a"), (1, "b")):
-        carried = [F.col("grp").alias(f"grp_{name}")] * grouped
-        rows = reduce(
-            DataFrame.unionByName,
-            [
-                fingerprints.select("*", F.explode(F.array(*map(F.lit, _flips(g, radii(t)[side])))).alias("flip")).select(
-                    F.lit(i).cast("byte").alias("part"), F.col("fp").bitwiseAND(F.lit(_mask(g))).bitwiseXOR(F.col("flip")).alias("sig"), F.col("fp").alias(name), *carried
-                )
-                for i, (g, t) in enumerate(zip(groups, thresholds))
-                if t >= 0
-            ],
-        )
-        sides.append(rows)
-    near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits)
-    if grouped:
-        near &= F.coalesce(F.col("grp_a") != F.col("grp_b"), F.lit(True))
-    return sides[0].join(sides[1], ["part", "sig"]).where(near).select("a", "b").distinct()
+def probe(fingerprints: DataFrame, groups: list[list[int]], thresholds: list[int], max_bits: int, crowd: int = CROWD) -> DataFrame:
+    """The links by given groups of bits and thresholds.
+
+    A bucket of at most ``crowd`` signatures gives its pairs in a join. A larger one, as many near
+    copies make it, is linked in blocks, so that it gives a row per member and not per pair.
+    """
+    parts = []
+    for i, (g, t) in enumerate(zip(groups, thresholds)):
+        if t >= 0:
+            around, own = radii(t)
+            flips = [F.struct(F.lit(x).alias("flip"), F.lit((x % (1 << 64)).bit_count() <= own).alias("own")) for x in _flips(g, around)]
+            value = F.col("fp").bitwiseAND(F.lit(_mask(g))).bitwiseXOR(F.col("x.flip"))
+            parts.append(fingerprints.select("fp", F.explode(F.array(*flips)).alias("x")).select(F.xxhash64(F.lit(i), value).alias("bucket"), F.col("fp").alias("node"), "x.own"))
+    rows = reduce(DataFrame.unionByName, parts)
+    crowded = keep(rows.groupBy("bucket").count().where(F.col("count") > crowd).select("bucket"), "crowded")
+    near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits
+    few = rows.join(crowded, "bucket", "left_anti") if (some := not crowded.isEmpty()) else rows
+    pairs = few.select("bucket", F.col("node").alias("a")).join(few.where("own").select("bucket", F.col("node").alias("b")), "bucket")
+    pairs = pairs.where((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
+    if not some:
+        return pairs
+    members = rows.join(crowded, "bucket", "left_semi").select("bucket", "node", F.lit(1).alias("load"))
+    return pairs.unionByName(bucket_links(members, lambda unit, root: unite_near(unit["node"].to_numpy(), root, max_bits)))
+
+
+def unite_near(values: np.ndarray, root: np.ndarray, max_bits: int) -> None:
+    """Unites, in ``root``, all values within ``max_bits`` bits of one another."""
+    values = values.view(np.uint64)
+    for a in range(0, len(values), TILE):
+        p, q = np.nonzero(np.bitwise_count(values[a : a + TILE, None] ^ values[None, a:]) <= max_bits)
+        unite(root, p + a, q + a)
+
+
+def unite_alike(sets: list[np.ndarray], root: np.ndarray, similarity: float) -> None:
+    """Unites, in ``root``, all sets of hashes with at least that Jaccard similarity.
+
+    Sets are counted into cells by the low bits of their hashes; the product of two rows of cells is
+    at least the size of what they share, so it leaves out pairs exactly. The others are intersected.
+    """
+    sizes = np.array([len(s) for s in sets])
+    order = np.argsort(sizes, kind="stable")
+    hashes = [np.asarray(sets[k], np.int64) for k in order]
+    sizes = sizes[order]
+
+    def cells(a: int, b: int, width: int) -> np.ndarray:
+        at = np.concatenate([(h & (width - 1)) + k * width for k, h in enumerate(hashes[a:b])])
+        return np.bincount(at, minlength=(b - a) * width).reshape(b - a, width).astype(np.float32)
+
+    def alike(p: int, q: int) -> bool:
+        a, b = hashes[position[p]], hashes[position[q]]
+        common = np.intersect1d(a, b, assume_unique=True).size
+        return common >= similarity * (a.size + b.size - common)
+
+    position = np.argsort(order)
+    a = 0
+    while a < len(sizes):
+        width = 1 << max(10, min(20, int(16 * sizes[a]).bit_length()))
+        b = min(a + max(1, min(TILE, CELLS // width)), int(np.searchsorted(sizes, 4 * max(1, sizes[a]), "right")))
+        left, c = cells(a, b, width), a
+        while c < len(sizes) and sizes[c] * similarity <= sizes[b - 1]:
+            d = min(len(sizes), c + max(1, min(TILE, CELLS // width)))
+            bound = left @ cells(c, d, width).T
+            p, q = np.nonzero(bound * (1 + similarity) >= similarity * (sizes[a:b, None] + sizes[None, c:d]) - 1e-3)
+            first = np.argsort(-bound[p, q], kind="stable")  # the likeliest first, so that few need the test
+            p, q = p[first] + a, q[first] + c
+            later = p < q
+            unite(root, order[p[later]], order[q[later]], alike)
+            c = d
+        a = b
 
 
 def shingle_set(text: Column, width: int) -> Column:
@@ -279,94 +333,66 @@ def shingle_set(text: Column, width: int) -> Column:
     return F.pandas_udf(of, "array<long>")(text)
 
 
-def verified(links: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, similarity: float) -> DataFrame:
-    """Those pairs of nodes that have a Jaccard similarity of shingles of ``similarity`` or more."""
-    # Of different shingles, as the similarity is: the lesser number over the greater one bounds it.
-    a, b = (nodes.select(F.col("node").alias(x), F.col("size").alias(f"n_{x}")) for x in "ab")
-    sized = keep(links.join(a, "a").join(b, "b").where(F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b")).select("a", "b"), "sized")
-    involved = sized.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "text_key"), "node")
-    involved = keep(involved, "involved")
+def shingle_sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
+    """Rows (node, set) of the given (node, text_key), from one text of that key each."""
     # Few keys go to the texts; many meet the texts in a shuffle.
-    involved = F.broadcast(involved) if involved.count() <= BROADCAST_ROWS else involved.hint("shuffle_hash")
-    texts = docs.select("text_key", "text").join(involved, "text_key").select("node", "text").dropDuplicates(["node"])
-    sets = keep(texts.select("node", shingle_set(F.col("text"), width).alias("set")), "shingles")
-    with_a = sized.join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a")
-    with_b = with_a.join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b")
-    common = F.size(F.array_intersect("set_a", "set_b"))
-    return with_b.where(common >= similarity * (F.size("set_a") + F.size("set_b") - common)).select("a", "b")
-
-
-def shared_bands(nodes: DataFrame) -> DataFrame:
-    """Rows (band, node, fp, least) of the bands that two nodes or more share; ``least`` is the smallest node of a band."""
-    rows = nodes.select(F.posexplode("bands").alias("at", "key"), "node", "fp").select(F.xxhash64("at", "key").alias("band"), "node", "fp")
-    least = rows.groupBy("band").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("band", "least")
-    return rows.join(least, "band")
-
-
-def _verified_components(docs: DataFrame, nodes: DataFrame, max_bits: int, width: int, similarity: float, any_distance: bool) -> DataFrame:
-    """Components of verified links.
-
-    First each node of a band is compared with the smallest one, which joins most of a large group of
-    near copies by as many links as it has members. Then come fingerprints, in passes of growing
-    distance, and at last all pairs that share a band. What an earlier pass has joined is not compared
-    again; no component is lost by it. One node stands for its fingerprint in the passes; the others
-    of that fingerprint meet in their bands.
+    nodes = F.broadcast(nodes) if nodes.count() <= BROADCAST_ROWS else nodes.hint("shuffle_hash")
+    texts = docs.select("text_key", "text").join(nodes, "text_key").select("node", "text").dropDuplicates(["node"])
+    return texts.select("node", shingle_set(F.col("text"), width).alias("set"))
+
+
+def verified_links(docs: DataFrame, nodes: DataFrame, max_bits: int, width: int, similarity: float) -> DataFrame:
+    """Links (a, b) whose components are those of all pairs of that similarity that share a bucket.
+
+    Buckets are the components of fingerprints within ``max_bits`` bits and the bands of least
+    hashes. What buckets connect is compared at once, so that a text's shingles travel to one place;
+    only where that is more than ``MOST_BLOCKS`` blocks hold, each bucket is compared by itself.
     """
-    bands = keep(shared_bands(nodes), "bands")
-    near = F.lit(True) if any_distance else F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b"))) <= max_bits
-    links, grouped = None, None
-
-    def join(found: DataFrame) -> DataFrame:
-        nonlocal links, grouped
-        found = keep(verified(keep(found, "near"), docs, nodes, width, similarity), "verified")
-        links = found if links is None else links.unionByName(found)
-        joined = keep(connected_components(links), "joined")
-        # A group's smallest node is not among the ids of its component.
-        smallest = joined.select(F.col("component").alias("id"), "component").distinct()
-        grouped = keep(joined.unionByName(smallest).select(F.col("id").alias("node"), F.col("component").alias("grp")), "grouped")
-        return joined
-
-    prints = nodes.select("node", "fp")
-    stars = bands.where("least < node").select(F.col("least").alias("a"), F.col("node").alias("b"), F.col("fp").alias("fp_b")).distinct()
-    stars = stars.join(prints.select(F.col("node").alias("a"), F.col("fp").alias("fp_a")), "a")
-    join(stars.where(near).select("a", "b"))
-    values = keep(prints.groupBy("fp").agg(F.min("node").alias("node")), "values")
-    a, b = (values.select(F.col("fp").alias(x), F.col("node").alias(f"node_{x}")) for x in "ab")
-    for bits in [b for b in PASSES if b < max_bits] + [max_bits]:
-        current = keep(values.join(grouped, "node", "left").select("fp", "grp"), "current")
-        found = hamming_links(current, bits).join(a, "a").join(b, "b")
-        join(found.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")))
-    members = bands.join(grouped, "node", "left").select("band", "node", "fp", F.coalesce("grp", "node").alias("grp"))
-    split = members.groupBy("band").agg(F.min("grp").alias("low"), F.max("grp").alias("high")).where("low < high").select("band")
-    members = keep(members.join(split, "band"), "members")
-    a, b = (members.select("band", F.col("node").alias(x), F.col("fp").alias(f"fp_{x}"), F.col("grp").alias(f"grp_{x}")) for x in "ab")
-    return join(a.join(b, "band").where((F.col("a") < F.col("b")) & (F.col("grp_a") != F.col("grp_b")) & near).select("a", "b").distinct())
-
-
-def simhash_groups(docs: DataFrame, max_bits: int = 4, width: int = 4, similarity: float | None = None, any_distance: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    joined = connected_components(hamming_links(keep(nodes.select("fp").distinct(), "values"), max_bits)).withColumnRenamed("id", "fp")
+    of_print = nodes.select("fp", "node").join(joined, "fp", "left").select(F.xxhash64(F.lit("fp"), F.coalesce("component", "fp")).alias("bucket"), "node")
+    of_band = nodes.select(F.posexplode("bands").alias("at", "key"), "node").select(F.xxhash64("at", "key").alias("bucket"), "node")
+    rows = of_print.unionByName(of_band)
+    shared = rows.groupBy("bucket").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("bucket", "least")
+    members = keep(rows.join(shared, "bucket"), "members")
+    reach = connected_components(members.where("least < node").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct())
+    # A component's smallest node is not among the ids.
+    reach = reach.unionByName(reach.select(F.col("component").alias("id"), "component").distinct())
+    reach = keep(reach.withColumnRenamed("id", "node").join(nodes.select("node", "text_key", F.col("size").alias("load")), "node"), "reach")
+    large = reach.groupBy("component").agg(F.count("*").alias("n"), F.sum("load").alias("load"))
+    large = keep(large.where((F.col("n") > MOST_BLOCKS * UNIT_ROWS) | (F.col("load") > MOST_BLOCKS * UNIT_LOAD)).select("component"), "large")
+    sets = keep(shingle_sets(docs, reach.select("node", "text_key"), width), "shingles")
+    apart = reach.join(large, "component", "left_anti").select(F.col("component").alias("bucket"), "node", "load")
+    if not large.isEmpty():
+        apart = apart.unionByName(members.join(reach.join(large, "component", "left_semi"), "node").select("bucket", "node", "load"))
+    return bucket_links(apart, lambda unit, root: unite_alike(list(unit["set"]), root, similarity), payload=sets)
+
+
+def simhash_groups(docs: DataFrame, max_bits: int = 4, width: int = 4, similarity: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: its id, its ``fingerprint`` (long) and ``component_id``, the smallest id reachable by links.
 
-    Documents link if their fingerprints differ in at most ``max_bits`` bits and, where a
-    ``similarity`` is given, their shingles have at least that Jaccard similarity. Where many different
-    texts have one fingerprint, all but one of them are found by bands of least hashes, which miss one
-    pair in 14,000 at a similarity of 0.8. With ``any_distance``, the pairs of these bands link at that
-    similarity whatever their fingerprints. ``text_key`` is a 64-bit hash of the text, and ``first`` is
-    true for the row of least id and key of its group, nulls last, and for rows that repeat it.
+    Without a ``similarity`` documents link if their fingerprints differ in at most ``max_bits`` bits.
+    With one, they link if their shingles have at least that Jaccard similarity, and fingerprints
+    within ``max_bits`` bits are candidates, as are texts that share one of 24 bands of 5 least
+    hashes, which miss one pair in 14,000 at a similarity of 0.8. ``text_key`` is a 64-bit hash of the
+    text, and ``first`` is true for the row of least id and key of its group, nulls last, and for rows
+    that repeat it.
 
     Null and empty texts, and texts without words, have fingerprint 0 and are linked like any other.
-    Fewer words than ``width`` make one shingle. Repeated rows give repeated rows; a null id keeps its
-    row and takes part, but is nobody's component unless a group has only null ids. An empty table
-    gives an empty one. Other columns of ``docs`` are not read.
+    Fewer words than ``width`` make one shingle. Texts of any length are read whole, in blocks. Repeated
+    rows give repeated rows; a null id keeps its row and takes part, but is nobody's component unless a
+    group has only null ids. Ties of ids go to the smaller ``text_key``. An empty table gives an empty
+    one. Other columns of ``docs``, whatever their names, are not read.
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_key"))
     if similarity is None:
         fp = fingerprint_column(F.col("text"), width)
         marked = keep(docs.select("doc_id", "text_key", fp.alias("fp")).withColumn("node", F.col("fp")), "fingerprints")
-        joined = connected_components(hamming_links(keep(marked.select("fp").distinct(), "values"), max_bits))
+        links = hamming_links(keep(marked.select("fp").distinct(), "values"), max_bits)
     else:
         marked = keep(docs.select("doc_id", "text_key", shingle_profile(F.col("text"), width).alias("profile")).select("doc_id", "text_key", "profile.*"), "fingerprints")
         alike = marked.groupBy("node").agg(*[F.first(c).alias(c) for c in ("fp", "size", "bands")], F.min("text_key").alias("text_key"))
-        joined = _verified_components(docs, keep(alike, "nodes"), max_bits, width, similarity, any_distance)
+        links = verified_links(docs, keep(alike, "nodes"), max_bits, width, similarity)
+    joined = connected_components(links)
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
     of_node = marked.groupBy("node").agg(F.min(place).alias("least")).join(joined.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = of_node.groupBy("component").agg(F.min("least").alias("least"))
@@ -376,11 +402,15 @@ def simhash_groups(docs: DataFrame, max_bits: int = 4, width: int = 4, similarit
 
 
 def drop_near_duplicates(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The first document of each group, and of rows that repeat its id and text only one."""
-    key = column_free_of(docs, "text_key")
-    others = groups.where(~F.col("first")).select(F.col(id_col).alias("other_id"), F.col("text_key").alias("other_key")).distinct()
+    """The first document of each group, and of rows that repeat its id and text only one.
+
+    Documents are known by id and text together, so rows that share an id, or have none, are kept and
+    dropped by what they say. Columns of ``docs`` stay, whatever their names.
+    """
+    key, other_id, other_key = (column_free_of(docs, c) for c in ("text_key", "other_id", "other_key"))
+    others = groups.where(~F.col("first")).select(F.col(id_col).alias(other_id), F.col("text_key").alias(other_key)).distinct()
     keyed = docs.withColumn(key, F.xxhash64(text_col))
-    kept = keyed.join(others, F.col(id_col).eqNullSafe(F.col("other_id")) & (F.col(key) == F.col("other_key")), "left_anti")
+    kept = keyed.join(others, F.col(id_col).eqNullSafe(F.col(other_id)) & (F.col(key) == F.col(other_key)), "left_anti")
     if not groups.groupBy(id_col, "text_key").count().where("count > 1").isEmpty():
         kept = kept.dropDuplicates([id_col, key])
     return kept.drop(key)

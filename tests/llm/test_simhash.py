@@ -7,8 +7,8 @@ import numpy as np
 import pytest
 import xxhash
 
-from cathodyne.llm import simhash
-from cathodyne.llm.simhash import allocate, drop_near_duplicates, fingerprint, hamming_links, partition_bits, probe, simhash_groups
+from cathodyne.llm import buckets, simhash
+from cathodyne.llm.simhash import allocate, drop_near_duplicates, fingerprint, hamming_links, partition_bits, probe, simhash_groups, unite_alike
 
 
 def plain(text, width):
@@ -42,21 +42,60 @@ def test_fingerprints(monkeypatch, block):
             assert fingerprint(t, width) % (1 << 64) == plain(t, width)
 
 
+def joined(pairs):
+    """Smallest value reachable of each linked value."""
+    parent = {}
+
+    def find(x):
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        x, y = sorted((find(a), find(b)))
+        parent[y] = x
+    return {x: find(x) for x in parent}
+
+
 @pytest.mark.parametrize("bits", [1, 4, 10])
-def test_links_are_all_pairs(spark, bits):
+def test_links_have_the_components_of_all_pairs(spark, monkeypatch, bits):
     rng = random.Random(bits)
     values = set()
     for _ in range(40):
         base = rng.getrandbits(64) & rng.getrandbits(64)
         values |= {base ^ sum(1 << j for j in rng.sample(range(64), rng.randint(0, 12))) for _ in range(6)}
     values = sorted(simhash._signed(v) for v in values)
-    want = {(a, b) for i, a in enumerate(values) for b in values[i + 1 :] if ((a ^ b) % (1 << 64)).bit_count() <= bits}
+    near = lambda a, b: ((a ^ b) % (1 << 64)).bit_count() <= bits
+    want = joined((a, b) for i, a in enumerate(values) for b in values[i + 1 :] if near(a, b))
     df = spark.createDataFrame([(v,) for v in values], "fp long")
-    assert {tuple(r) for r in hamming_links(df, bits).collect()} == want
+    links = lambda found: [tuple(r) for r in found.collect()]
+    assert joined(links(hamming_links(df, bits))) == want
     groups = [list(range(k, 64, 3)) for k in range(3)]
     for thresholds in ([3, 3, 2], [2, 3, 3]) if bits == 10 else ([bits - 2, 0, 0],) if bits > 2 else ([-1, 0, 0],):
         assert sum(thresholds) >= bits - 2
-        assert {tuple(r) for r in probe(df, groups, thresholds, bits).collect()} == want
+        assert joined(links(probe(df, groups, thresholds, bits))) == want
+    # Crowded buckets, in one block and in many.
+    assert joined(links(probe(df, groups, [2, 3, 3], bits, crowd=3))) == want
+    blocks = lambda members, link: buckets.bucket_links(members, link, most_rows=7)
+    monkeypatch.setattr(simhash, "bucket_links", blocks)
+    assert joined(links(probe(df, groups, [2, 3, 3], bits, crowd=3))) == want
+
+
+def test_sets_are_united_as_all_pairs_are():
+    rng = np.random.default_rng(3)
+    sets = [np.zeros(0, np.int64), np.array([5])]
+    for size in (1, 4, 9, 60, 300, 2500):
+        base = rng.integers(-(2**63), 2**63 - 1, size)
+        for _ in range(25):
+            s = np.concatenate([base[rng.random(size) > rng.choice([0, 0.05, 0.12, 0.4])], rng.integers(-(2**63), 2**63 - 1, rng.integers(0, size // 8 + 1))])
+            sets.append(np.unique(s))
+    rng.shuffle(sets)
+    root = np.arange(len(sets))
+    unite_alike(sets, root, 0.8)
+    alike = lambda a, b: len(set(a) & set(b)) >= 0.8 * len(set(a) | set(b))
+    want = joined((i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if alike(sets[i].tolist(), sets[j].tolist()))
+    assert root.tolist() == [want.get(k, k) for k in range(len(sets))]
 
 
 def test_bits_are_grouped_and_thresholds_add_up():
@@ -92,46 +131,46 @@ def test_groups_of_documents(spark):
     assert simhash_groups(docs.limit(0)).isEmpty()
 
 
-def test_verified_groups_keep_one_document(spark):
+@pytest.mark.parametrize("blocks", [8, 0])
+def test_verified_groups_keep_one_document(spark, monkeypatch, blocks):
+    monkeypatch.setattr(simhash, "MOST_BLOCKS", blocks)
+    small = lambda members, link, payload=None: buckets.bucket_links(members, link, payload, most_rows=1000 if blocks else 5)
+    monkeypatch.setattr(simhash, "bucket_links", small)
     rng = random.Random(9)
     shingles = lambda t: {tuple(w[i : i + 5]) for w in [t.split()] for i in range(max(1, len(w) - 4))}
     rows = []
     for k in range(30):
         words = [f"w{rng.randrange(500)}" for _ in range(150)]
         rows.append((len(rows), " ".join(words)))
-        for edits in (1, 3, 12):
+        for edits in (1, 2, 3, 12):
             copy = list(words)
             for _ in range(edits):
                 copy[rng.randrange(150)] = f"n{rng.randrange(99)}"
             rows.append((len(rows), " ".join(copy)))
     rows.append((0, rows[0][1]))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    groups = simhash_groups(docs, max_bits=10, width=5, similarity=0.8)
+    groups = simhash_groups(docs, max_bits=4, width=5, similarity=0.8)
     by = {r.doc_id: r.component_id for r in groups.collect()}
-    prints = {d: plain(t, 5) for d, t in rows}
-    parent = {d: d for d, _ in rows}
     text = dict(rows)
-
-    def find(x):
-        return x if parent[x] == x else find(parent[x])
-
-    for a in text:
-        for b in text:
-            s, t = shingles(text[a]), shingles(text[b])
-            if a < b and (prints[a] ^ prints[b]).bit_count() <= 10 and len(s & t) >= 0.8 * len(s | t):
-                x, y = sorted((find(a), find(b)))
-                parent[y] = x
-    assert by == {d: find(d) for d in text}
+    alike = lambda s, t: len(s & t) >= 0.8 * len(s | t)
+    want = joined((a, b) for a in text for b in text if a < b and alike(shingles(text[a]), shingles(text[b])))
+    assert by == {d: want.get(d, d) for d in text}
     kept = drop_near_duplicates(docs, groups)
-    assert sorted(r.doc_id for r in kept.collect()) == sorted({find(d) for d in text})
+    assert sorted(r.doc_id for r in kept.collect()) == sorted({want.get(d, d) for d in text})
+
+
+def test_columns_of_any_name_stay(spark):
+    rows = [(1, "a b c d e f", "x", "y", 1), (2, "a b c d e f", "x", "y", 2), (None, "g", "x", "y", 3), (None, "g h", None, "y", 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, other_id string, text_key string, other_key int")
+    kept = drop_near_duplicates(docs, simhash_groups(docs, max_bits=4, width=5, similarity=0.8))
+    assert kept.columns == docs.columns and sorted(r.other_key for r in kept.collect()) == [1, 3, 4]
 
 
 def test_a_copy_with_a_repeated_passage_is_a_copy(spark):
     rng = random.Random(10)
     words = [f"w{rng.randrange(500)}" for _ in range(150)]
     rows = [(1, " ".join(words)), (2, " ".join(words + words[:70]))]
-    assert (plain(rows[0][1], 5) ^ plain(rows[1][1], 5)).bit_count() in range(1, 11)
-    groups = simhash_groups(spark.createDataFrame(rows, "doc_id long, text string"), max_bits=10, width=5, similarity=0.8)
+    groups = simhash_groups(spark.createDataFrame(rows, "doc_id long, text string"), max_bits=4, width=5, similarity=0.8)
     assert {r.component_id for r in groups.collect()} == {1}
 
 
@@ -143,7 +182,7 @@ def test_one_fingerprint_is_not_one_text(spark):
     near = b + " more"
     rows = [(1, a), (2, b), (3, c), (4, near), (None, d), (None, c), (5, a), (6, "p q r s t u"), (6, "v w x y z o"), (6, "v w x y z o")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    groups = simhash_groups(docs, max_bits=10, width=5, similarity=0.8)
+    groups = simhash_groups(docs, max_bits=4, width=5, similarity=0.8)
     by = {(r.doc_id, r.text_key): r.component_id for r in groups.collect()}
     assert sorted((d or 0, c or 0) for (d, _), c in by.items()) == [(0, 0), (0, 3), (1, 1), (2, 2), (3, 3), (4, 2), (5, 1), (6, 6), (6, 6)]
     kept = sorted((r.doc_id or 0, r.text) for r in drop_near_duplicates(docs, groups).collect())
