@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cathodyne.llm.common import keep
+from cathodyne.llm.common import column_free_of, keep
 from cathodyne.llm.decontaminate import find_leaks
 from cathodyne.llm.language import identify, train
 from cathodyne.llm.mixing import apply_mix, mix_sources
@@ -15,36 +15,63 @@ from cathodyne.llm.simhash import drop_near_duplicates, simhash_groups
 
 #: Least share of a document's letters in its language.
 LEAST_SCORE = 0.5
-#: Bits of the passes over fingerprints of five-word shingles, and the similarity that confirms a pair of them or of bands.
-BITS, SHINGLE, SIMILARITY = 10, 5, 0.8
+#: Bits within which fingerprints of shingles are candidates, words of a shingle, and the similarity that confirms a pair.
+BITS, SHINGLE, SIMILARITY = 4, 5, 0.8
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a language of their own; fills in missing labels."""
+    """Drops documents without a language of their own; fills in missing labels.
+
+    Null, empty and letterless texts have none and go. Repeated rows have equal languages and stay; null
+    ids are no matter. Texts are scored whole, ties go to the language that sorts first. An empty
+    table, or one without labels, gives an empty one. Other columns stay, whatever their names.
+    """
     model = train(docs.where(F.crc32(F.col("doc_id").cast("string")) % 3 != 1))
-    found = docs.withColumn("found_language", identify(F.col("text"), model))
-    kept = found.where((F.col("found_language.lang") != "und") & (F.col("found_language.score") >= LEAST_SCORE))
-    return kept.withColumn("lang", F.coalesce("lang", "found_language.lang")).select(*docs.columns)
+    name = column_free_of(docs, "found_language")
+    found = docs.withColumn(name, identify(F.col("text"), model))
+    kept = found.where((F.col(name)["lang"] != "und") & (F.col(name)["score"] >= LEAST_SCORE))
+    return kept.withColumn("lang", F.coalesce("lang", F.col(name)["lang"])).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near copies."""
-    return drop_near_duplicates(docs, keep(simhash_groups(docs, max_bits=BITS, width=SHINGLE, similarity=SIMILARITY, any_distance=True), "groups"))
+    """Keeps one document of each group of near copies: that of least id, nulls last, then of least text key.
+
+    Null and empty texts are one group. Rows that repeat an id and its text are one document; rows that
+    share an id, or have none, are told apart by their texts. Texts are compared whole. An empty table
+    gives an empty one. Other columns stay, whatever their names.
+    """
+    return drop_near_duplicates(docs, keep(simhash_groups(docs, max_bits=BITS, width=SHINGLE, similarity=SIMILARITY), "groups"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a benchmark item."""
-    found = find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), out_col="found_leaks")
-    return found.where(F.size("found_leaks") == 0).select(*docs.columns)
+    """Drops documents that hold a benchmark item, wherever in their texts.
+
+    Null and empty texts hold none. Repeated rows fare alike, null ids are no matter, and an item's ties
+    within a text change nothing. An empty table gives an empty one, an empty benchmark drops nothing.
+    Other columns stay, whatever their names.
+    """
+    name = column_free_of(docs, "found_leaks")
+    found = find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), out_col=name)
+    return found.where(F.size(name) == 0).select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats, keeps, cuts and drops documents so that sources meet their targets."""
+    """Repeats, keeps, cuts and drops documents so that sources meet their targets.
+
+    A null source is a source of its own. Texts without words, null ones too, are taken once. Rows that
+    share an id are decided each by itself; rows that repeat an id and its text are decided alike, and
+    share the words where a budget ends among them. Long texts may be cut where a budget ends. An empty
+    table gives an empty one. Other columns stay, whatever their names.
+    """
     return apply_mix(docs, keep(mix_sources(docs), "mix"), chars_col="n_chars")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packed rows of token ids."""
+    """Packed rows of token ids, with nothing lost; see ``pack_tokens``.
+
+    Null and empty texts are one end token, null ids stay null, repeated rows are packed each, long
+    texts are split over rows, ties of length go by order. An empty table gives no rows. Other columns are not read.
+    """
     return pack_tokens(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), width=2048)
 
 
