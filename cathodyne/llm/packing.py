@@ -100,8 +100,9 @@ def pack_tokens(docs: DataFrame, model_path: str, width: int = 2048, id_col: str
     ``position_ids`` that start anew with each segment, ``cu_seqlens`` from 0 to ``n_tokens``, and for
     each segment its document and its place in the document's ids. ``pack_id`` is unique.
 
-    Null and empty texts are one end token; null ids stay null; repeated rows are packed again; an
-    empty table gives no rows; other columns are not read.
+    Null and empty texts are one end token; null ids stay null; repeated rows are packed again; texts
+    of any length, runs of millions of blanks or letters too, are cut into as many pieces as they
+    need; pieces of one length go in the order of the input; an empty table gives no rows; other columns are not read.
     """
     model = file_bytes(model_path)
 

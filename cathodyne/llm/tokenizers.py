@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from array import array
 from importlib.metadata import version
 
@@ -13,6 +14,10 @@ import numpy as np
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+#: Unicode's white space, as the pattern means it, in runs that the pattern's look-ahead can't walk back over.
+LONG_BLANK = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]{1000,}")
+
+
 def file_bytes(path: str) -> bytes:
     with open(path, "rb") as f:
         return f.read()
@@ -24,6 +29,17 @@ def version_digest(path: str, model: bytes) -> str:
     return f"{hashlib.sha256(model).hexdigest()}-{library}-{version(library)}"
 
 
+def _by_ranks(e, text: str) -> list[int]:
+    """Ids of a text. By the pattern a run of blanks is one piece, but for its last blank where something follows; long runs are cut out so."""
+    ids, at = [], 0
+    for run in LONG_BLANK.finditer(text):
+        end = run.end() - (run.end() < len(text))
+        ids += e.encode_ordinary(text[at : run.start()])
+        ids += e._encode_single_piece(text[run.start() : end])
+        at = end
+    return ids + e.encode_ordinary(text[at:])
+
+
 class Encoder:
     """Token ids of whole texts without begin, end or added special tokens, by the suffix of the file's name.
 
@@ -55,7 +71,7 @@ class Encoder:
             e = tiktoken.Encoding("ranks", pat_str=BYTE_PATTERN, mergeable_ranks=ranks, special_tokens={})
             self.size = max(ranks.values()) + 2
             self.end = self.size - 1
-            self.encode = lambda texts: [e.encode_ordinary(t) for t in texts]
+            self.encode = lambda texts: [_by_ranks(e, t) for t in texts]
             self.decode = e.decode
         self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
 

@@ -96,3 +96,29 @@ def test_cache_is_used_and_grows(spark, tmp_path):
 
 def test_counts_of_nothing(spark, tmp_path):
     assert count_tokens(spark.createDataFrame([], "doc_id long, text string"), PIECES, str(tmp_path / "c")).isEmpty()
+
+
+def test_long_runs_of_blanks_have_the_librarys_ids():
+    e, model = Encoder(BYTES, file_bytes(BYTES)), file_bytes(BYTES)
+    import base64
+
+    import tiktoken
+
+    from cathodyne.llm.tokenizers import BYTE_PATTERN
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, model.splitlines())}
+    plain = tiktoken.Encoding("plain", pat_str=BYTE_PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rng = random.Random(3)
+    for _ in range(60):
+        pieces = [rng.choice(["x", "ab 1", "!", " y", "\x1c"]) if rng.random() < 0.5 else "".join(rng.choice(" \n\t　") for _ in range(rng.choice([3, 999, 1000, 1001, 5000]))) for _ in range(6)]
+        text = "".join(pieces)
+        assert e.encode([text])[0] == plain.encode_ordinary(text)
+
+
+@pytest.mark.parametrize("text", [" " * 10_000_000, "a\n" + "\n" * 10_000_000 + "b", "abc" * 3_000_000], ids=["spaces", "newlines", "letters"])
+def test_huge_texts_pack_without_loss(spark, text):
+    e = Encoder(BYTES, file_bytes(BYTES))
+    rows = pack_tokens(spark.createDataFrame([(1, text)], "doc_id long, text string"), BYTES, width=2048).collect()
+    pieces = {start: np.frombuffer(r.input_ids, e.dtype)[a:b] for r in rows for start, a, b in zip(r.doc_starts, r.cu_seqlens, r.cu_seqlens[1:])}
+    ids = np.concatenate([pieces[k] for k in sorted(pieces)])
+    assert e.decode(ids[:-1].tolist()) == text and ids[-1] == e.end
