@@ -46,8 +46,8 @@ class LanguageModel:
 
 @cache
 def _letters() -> np.ndarray:
-    """For each code point, whether it is a letter or a mark."""
-    return np.array([unicodedata.category(chr(c))[0] in "LM" for c in range(0x110000)])
+    """For each code point 2 for a letter, 1 for a mark, else 0."""
+    return np.array([" ML".find(unicodedata.category(chr(c))[0]) for c in range(0x110000)]).clip(0).astype(np.int8)
 
 
 def _codes(text: str) -> np.ndarray:
@@ -58,8 +58,10 @@ def _codes(text: str) -> np.ndarray:
 
 
 def _words(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of runs of letters, and the trigram bucket of each letter, word edges as zero."""
-    letter = _letters()[codes]
+    """Starts and ends of words, and the trigram bucket of each letter, word edges as zero. Marks go on a word, but start none."""
+    kind, at = _letters()[codes], np.arange(len(codes))
+    before = [np.maximum.accumulate(np.where(kind == k, at, -1)) if len(at) else at for k in (2, 0)]
+    letter = (kind == 2) | ((kind == 1) & (before[0] > before[1]))
     edges = np.diff(np.concatenate(([False], letter, [False])).astype(np.int8))
     x = np.where(letter, codes, 0).astype(np.uint64)
     before, after = np.concatenate(([0], x[:-1])), np.concatenate((x[1:], [0]))
@@ -220,8 +222,9 @@ def identify(text: Column, model: LanguageModel, penalty: float = 12.0) -> Colum
     The script of a word, told by ranges of code points, narrows its languages to those that use the
     script; trigrams score the word in each; Viterbi with a switching penalty labels the words.
     ``lang`` is the label with most letters, ``score`` its share of the letters, ``spans`` the runs of
-    one label. Null, empty and letterless texts are ``und`` with score 0 and no spans. Ties go to the
-    language that sorts first.
+    one label. Null and empty texts and those without letters, of marks alone too, are ``und`` with score
+    0 and no spans. Ties go to the language that sorts first. Texts are read whole, in blocks; repeated
+    rows get equal structs, an empty table gives none. Other columns are not read.
     """
 
     @F.arrow_udf("struct<lang:string,score:double,spans:array<struct<start:int,end:int,lang:string>>>")

@@ -86,3 +86,9 @@ def test_sample_has_a_bound(spark):
     rows = [(k, "the and of", "en") for k in range(4000)]
     m = train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), max_rows=100)
     assert m.languages == ["en"]
+
+
+def test_marks_go_on_words_but_start_none(model):
+    got = label_texts(["́", "́̂ 12", "été con", "́que los"], model, 12.0)
+    assert [r[:2] for r in got[:2]] == [("und", 0.0)] * 2 and all(r[0] in WORDS for r in got[2:])
+    assert got[3][2][0][0] == 1
