@@ -116,12 +116,13 @@ def apply_mix(docs: DataFrame, mix: DataFrame, seed: str = "mix", text_col: str
     """The mixed documents themselves: each as often as its source's epochs say, and once more as far as its budget goes.
 
     A source is decided by its epochs and the key at which its last pass ends, so one row per source
-    meets the documents and no text is shuffled for it. A whole pass keeps a text as it is; a cut copy has its words
+    meets the documents; as long as that table is small, no text is shuffled for it. A whole pass keeps a text as it is; a cut copy has its words
     joined by single spaces, and its length in ``chars_col``. Texts without words are taken once.
     Columns of ``docs`` stay, whatever their names.
     """
     names = {c: column_free_of(docs, c) for c in ("mix_source", "mix_epochs", "mix_last", "mix_cut", "mix_part", "mix_key")}
-    ends = mix_ends(mix, source_col).toDF(*[names[c] for c in ("mix_source", "mix_epochs", "mix_last", "mix_cut")])
+    # Kept, so that its size is known: a small table goes to the documents, which then stay where they are.
+    ends = keep(mix_ends(mix, source_col), "ends").toDF(*[names[c] for c in ("mix_source", "mix_epochs", "mix_last", "mix_cut")])
     source, epochs, last, cut, part, key = (F.col(n) for n in names.values())
     # The key is worked out before the join, as it hashes the text.
     keyed = docs.withColumn(names["mix_key"], mix_key(seed, F.col(id_col), F.col(text_col)))

@@ -409,6 +409,7 @@ def drop_near_duplicates(docs: DataFrame, groups: DataFrame, id_col: str = "doc_
     """
     key, other_id, other_key = (column_free_of(docs, c) for c in ("text_key", "other_id", "other_key"))
     others = groups.where(~F.col("first")).select(F.col(id_col).alias(other_id), F.col("text_key").alias(other_key)).distinct()
+    others = keep(others, "others")  # so that its size is known when it meets the texts
     keyed = docs.withColumn(key, F.xxhash64(text_col))
     kept = keyed.join(others, F.col(id_col).eqNullSafe(F.col(other_id)) & (F.col(key) == F.col(other_key)), "left_anti")
     if not groups.groupBy(id_col, "text_key").count().where("count > 1").isEmpty():
