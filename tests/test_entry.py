@@ -1,4 +1,8 @@
 import os
+import shutil
+import subprocess
+import sys
+from pathlib import Path
 
 import duckdb
 import pytest
@@ -14,6 +18,17 @@ def test_registry_is_consistent():
     assert set(QUERIES) <= set(entry.queries())
 
 
+@pytest.mark.parametrize("gone", [["cathodyne/llm"], ["cathodyne/llm", "corpus_pipeline.py"], ["corpus_pipeline.py"]])
+def test_registry_without_optional_parts(tmp_path, gone):
+    root = Path(entry.__file__).parent
+    copy = tmp_path / "copy"
+    shutil.copytree(root, copy, ignore=lambda d, names: [n for n in names if os.path.relpath(os.path.join(d, n), root) in [*gone, ".git", "tests"] or n == "__pycache__"])
+    code = "import __spark_entry__ as e; q = e.queries(); assert set(e.oracle_sql()) <= set(q); print(*sorted(q))"
+    names = subprocess.run([sys.executable, "-c", code], cwd=copy, capture_output=True, text=True, check=True).stdout.split()
+    assert set(QUERIES) <= set(names) and "pipeline" not in names
+    assert any(n.startswith("op") for n in names) == (gone == ["corpus_pipeline.py"] and os.path.isdir(root / "cathodyne/llm"))
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the given tables")
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_queries_match_sql(spark, name):
