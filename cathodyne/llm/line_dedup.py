@@ -138,9 +138,9 @@ def within(a: Column, b: Column, tau: int) -> Column:
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows (doc_id, line_no, line, h): lines between line feeds, without white space at the ends, and their 64-bit hash."""
+    """Rows (doc_id, line_no, line, h): lines between line feeds, without ASCII white space at the ends, and their 64-bit hash."""
     exploded = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(F.col(text_col), "\n")).alias("line_no", "line"))
-    return exploded.select("doc_id", "line_no", F.trim("line").alias("line")).withColumn("h", F.xxhash64("line"))
+    return exploded.select("doc_id", "line_no", F.trim("line", F.lit(" \t\r\x0b\x0c")).alias("line")).withColumn("h", F.xxhash64("line"))
 
 
 def bucketed(df: DataFrame, key: str) -> DataFrame:
