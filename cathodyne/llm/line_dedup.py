@@ -11,7 +11,7 @@ from cathodyne.llm.common import connected_components, keep, let, new_path
 
 
 #: Letters whose numbers tell lines apart before they are compared.
-LETTERS = "etaoinshrdlucmgp"
+LETTERS = "etaoinsr"
 
 
 def _segment(length: Column, i: Column, tau: int) -> tuple[Column, Column]:
@@ -38,19 +38,19 @@ def positions(tau: int, own: bool) -> list[tuple[int, int, int]]:
 
 
 def letter_bag(line: Column) -> Column:
-    """How often each of 16 letters occurs, modulo 16, four bits each."""
-    counts = [(F.length(line) - F.length(F.replace(line, F.lit(c)))).cast("long") for c in LETTERS]
-    return sum((F.shiftleft(c.bitwiseAND(F.lit(15)), 4 * k) for k, c in enumerate(counts[1:], 1)), counts[0].bitwiseAND(F.lit(15)))
+    """How often each of 8 letters occurs, modulo 256, eight bits each."""
+    counts = [(F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c)))).cast("long") for c in LETTERS]
+    return sum((F.shiftleft(c.bitwiseAND(F.lit(255)), 8 * k) for k, c in enumerate(counts[1:], 1)), counts[0].bitwiseAND(F.lit(255)))
 
 
 def bag_distance(a: Column, b: Column) -> Column:
     """Least sum of differences between the counts of two bags: an edit changes it by two at most."""
 
     def apart(k: int) -> Column:
-        d = F.abs(F.shiftrightunsigned(a, 4 * k).bitwiseAND(F.lit(15)) - F.shiftrightunsigned(b, 4 * k).bitwiseAND(F.lit(15)))
-        return F.least(d, F.lit(16) - d)
+        d = F.abs(F.shiftrightunsigned(a, 8 * k).bitwiseAND(F.lit(255)) - F.shiftrightunsigned(b, 8 * k).bitwiseAND(F.lit(255)))
+        return F.least(d, F.lit(256) - d)
 
-    return sum((apart(k) for k in range(1, 16)), apart(0))
+    return sum((apart(k) for k in range(1, 8)), apart(0))
 
 
 def keys(lines: DataFrame, tau: int, own: bool, name: str) -> DataFrame:
@@ -183,7 +183,9 @@ def line_classes(docs: DataFrame, tau: int = 2, min_chars: int = 32, exact_chars
     known by a 64-bit hash; of a billion different lines, about one pair in 37 such corpora shares one.
 
     A null text has no lines, an empty text one empty line. Null ids sort first. Rows that repeat an
-    id and its text count as one place, so all of them are kept or none. Other columns are not read.
+    id and its text count as one place, so all of them are kept or none; of other ties the place that
+    sorts first is kept. Lines of any length are read and compared whole. An empty table gives an empty
+    one. Other columns are not read.
     """
     if min_chars <= 2 * tau:
         raise ValueError("min_chars must be above 2 tau, so that segments hold something")
