@@ -38,6 +38,8 @@ def _pgm(content: bytes) -> np.ndarray:
         fields.append(int(content[at:end]))
         at = end
     width, height, most = fields
+    if width < 1 or height < 1 or not 0 < most < 1 << 16:
+        raise ValueError("no such image")
     dtype = ">u2" if most > 255 else "u1"
     return np.frombuffer(content, dtype, width * height, at + 1).reshape(height, width)
 
@@ -50,31 +52,27 @@ def _png(content: bytes) -> np.ndarray:
         head = struct.unpack(">IIBBBBB", body) if kind == b"IHDR" else head
         data += body if kind == b"IDAT" else b""
         at += size + 12
+    if head is None:
+        raise ValueError("no header")
     width, height, depth, colour, _, _, interlaced = head
     if depth not in (8, 16) or colour or interlaced:
         raise ValueError("not a plain grey PNG")
     step = depth // 8
-    lines = np.frombuffer(zlib.decompress(data), np.uint8).reshape(height, 1 + width * step).astype(np.int64)
-    out = np.zeros((height + 1, width * step), np.int64)
-    for y, line in enumerate(lines):
-        kind, x, up = line[0], line[1:], out[y]
-        if kind == 0:
-            row = x
-        elif kind == 1:
-            row = x.reshape(-1, step).cumsum(0).ravel()
-        elif kind == 2:
-            row = x + up
-        else:
-            row = np.zeros_like(x)
-            for i in range(len(x)):
-                left, corner = (row[i - step], up[i - step]) if i >= step else (0, 0)
-                if kind == 3:
-                    guess = (left + up[i]) // 2
-                else:
-                    guess = min((left, up[i], corner), key=lambda v, p=left + up[i] - corner: abs(p - v))
-                row[i] = (x[i] + guess) & 255
-        out[y + 1] = row & 255
-    return np.ascontiguousarray(out[1:].astype(np.uint8)).view(">u2" if step == 2 else np.uint8)
+    lines = np.frombuffer(zlib.decompress(data), np.uint8).reshape(height, 1 + width * step)
+    kinds, x = lines[:, 0], lines[:, 1:].reshape(height, width, step).astype(np.int16)
+    if kinds.max(initial=0) > 4:
+        raise ValueError("an unknown filter")
+    # A pixel needs those left, above and at the corner, so all pixels of a diagonal are worked out at once.
+    out = np.zeros((height + 1, width + 1, step), np.int16)
+    for d in range(height + width - 1):
+        y = np.arange(max(0, d - width + 1), min(height, d + 1))
+        c = d - y
+        left, up, corner = out[y + 1, c], out[y, c + 1], out[y, c]
+        by_left, by_up, by_corner = abs(up - corner), abs(left - corner), abs(left + up - 2 * corner)
+        nearest = np.where((by_left <= by_up) & (by_left <= by_corner), left, np.where(by_up <= by_corner, up, corner))
+        guess = np.choose(kinds[y][:, None], [np.zeros_like(left), left, up, (left + up) // 2, nearest])
+        out[y + 1, c + 1] = (x[y, c] + guess) & 255
+    return np.ascontiguousarray(out[1:, 1:].astype(np.uint8)).reshape(height, width * step).view(">u2" if step == 2 else np.uint8)
 
 
 def _tiff(content: bytes) -> np.ndarray:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cathodyne.plans.defects import defects_of
 from cathodyne.operators.regions import cell_runs, label_runs, region_properties, summarise
 
 #: Columns of a raster, and the least quantity of a lit cell.
@@ -16,10 +17,12 @@ WIDTH, LEVEL = 128, 40.0
 def raster(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lit cells of one frame per return flag and ship year: rows are days of the year, columns parts modulo ``WIDTH``."""
     items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_returnflag", "l_shipdate", "l_partkey", "l_quantity")
+    # The greatest quantity of a cell reaches the level if any does, so the filter goes down to the scan.
+    items = items.where(F.col("l_quantity") >= LEVEL)
     cells = items.groupBy(
         F.col("l_returnflag").alias("image_id"), F.year("l_shipdate").alias("z"), F.dayofyear("l_shipdate").alias("y"), (F.col("l_partkey") % WIDTH).cast("int").alias("x")
     ).agg(F.max("l_quantity").alias("value"))
-    return cells.where(F.col("value") >= LEVEL)
+    return cells
 
 
 def raster_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,11 +47,17 @@ def raster_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summarise(_regions(spark, sf_dir), "image_id")
 
 
+def raster_defects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The years of a return flag as slices of one volume: regions of two cells or more, corners included, and their classes."""
+    return defects_of(cell_runs(raster(spark, sf_dir)), min_area=2, diagonal=True, volume=True)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "raster_threshold": raster_threshold,
     "raster_runs": raster_runs,
     "raster_regions": raster_regions,
     "raster_summary": raster_summary,
+    "raster_defects": raster_defects,
 }
 
 _CELLS = f"""cells as (
@@ -71,6 +80,25 @@ regions as (
          sum((r.x1 - r.x0 + 1) * r.y)::double as sum_y, sum((r.x0 + r.x1) * (r.x1 - r.x0 + 1) / 2)::double as sum_x, sum(r.value) as total
   from runs r join seeds s using (image_id, z, y, x0) group by 1, 2, 3)"""
 
+_VOLUMES = """links as (
+  select a.image_id, a.z as az, a.y as ay, a.x0 as ax, b.z as bz, b.y as by_, b.x0 as bx
+  from runs a join runs b on a.image_id = b.image_id and a.x0 <= b.x1 + 1 and b.x0 <= a.x1 + 1
+   and ((a.z = b.z and abs(a.y - b.y) = 1) or (abs(a.z - b.z) = 1 and a.y = b.y))),
+reach as (
+  select image_id, z, y, x0, z as rz, y as ry, x0 as rx from runs
+  union
+  select r.image_id, r.z, r.y, r.x0, l.bz, l.by_, l.bx from reach r join links l on l.image_id = r.image_id and l.az = r.rz and l.ay = r.ry and l.ax = r.rx),
+seeds as (select image_id, z, y, x0, min((rz, ry, rx)) as seed from reach group by all),
+sums as (
+  select r.image_id, s.seed[1]::int as seed_z, s.seed[2]::int as seed_y, s.seed[3]::int as seed_x, sum(r.x1 - r.x0 + 1)::bigint as area,
+         min(r.z) as z0, max(r.z) as z1, min(r.y) as y0, max(r.y) as y1, min(r.x0) as x0, max(r.x1) as x1,
+         sum((r.x1 - r.x0 + 1) * r.y)::double as sum_y, sum((r.x0 + r.x1) * (r.x1 - r.x0 + 1) / 2)::double as sum_x, sum(r.value) as total
+  from runs r join seeds s using (image_id, z, y, x0) group by 1, 2, 3, 4),
+measured as (
+  select *, greatest(y1 - y0, x1 - x0) + 1 as longest, least(y1 - y0, x1 - x0) + 1 as shortest,
+         area / ((z1 - z0 + 1) * (y1 - y0 + 1) * (x1 - x0 + 1))::double as fill
+  from sums where area >= 2)"""
+
 ORACLE_SQL: dict[str, str] = {
     "raster_threshold": f"with {_CELLS} select image_id, z, count(*) as n_cells, sum(value) as total from cells group by all",
     "raster_runs": f"with {_CELLS}, {_RUNS} select image_id, z, y, x0, x1, value from runs",
@@ -79,4 +107,8 @@ ORACLE_SQL: dict[str, str] = {
                area / ((y1 - y0 + 1) * (x1 - x0 + 1))::double as fill from regions""",
     "raster_summary": f"""with recursive {_CELLS}, {_RUNS}, {_REGIONS}
         select image_id, count(*) as n_regions, sum(area)::bigint as total_area, max(area) as largest_area, avg(area) as mean_area from regions group by image_id""",
+    "raster_defects": f"""with recursive {_CELLS}, {_RUNS}, {_VOLUMES}
+        select image_id, seed_z, seed_y, seed_x, area, z0, z1, y0, y1, x0, x1, sum_y / area as centre_y, sum_x / area as centre_x, total / area as mean_value, fill,
+               case when longest >= 4 * shortest or (fill < 0.25 and longest >= 8) then 'crack' when fill >= 0.5 then 'pore' else 'other' end as defect
+        from measured""",
 }

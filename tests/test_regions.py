@@ -55,6 +55,11 @@ def test_decoder_refuses_others():
         assert decode_grey(content) is None
 
 
+@pytest.mark.parametrize("content", [b"\x89PNG\r\n\x1a\n", b"P5 -1 4 255\n1234", b"P5 2 2 0\n1234", b"P5 2 2 70000\n12345678", b"P5 0 2 255\n"])
+def test_broken_headers_are_refused(content):
+    assert decode_grey(content) is None
+
+
 def test_otsu_and_runs():
     p = np.array([[10, 10, 200, 200], [11, 200, 10, 200]])
     assert otsu(p) == 11
