@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cathodyne.plans.components import connected_components
-from cathodyne.sources.shared import keep, new_path, shared_dir
+from cathodyne.sources.shared import discard, keep, new_path, shared_dir
 
-__all__ = ["WORD", "column_free_of", "connected_components", "keep", "let", "new_path", "shared_dir", "word_count"]
+__all__ = ["WORD", "column_free_of", "connected_components", "discard", "keep", "let", "new_path", "shared_dir", "word_count"]
 
 #: A word is a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"

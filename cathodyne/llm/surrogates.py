@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cathodyne.llm.common import column_free_of, keep, let
+from cathodyne.llm.common import column_free_of, discard, keep, let
 
 # Titles by gender, given names by script and gender, syllables of surnames by script.
 FEMALE_TITLES = ["Mrs", "Ms", "Miss", "Frau", "Mme", "Mlle", "Sra", "Srta", "Signora", "Госпожа", "Κυρία"]
@@ -30,6 +30,8 @@ SYLLABLES = {
 _TITLES = "|".join([*FEMALE_TITLES, *MALE_TITLES, *OTHER_TITLES])
 _GIVEN = "|".join(n for names in GIVEN.values() for n in names)
 _CAPITAL = r"\p{Lu}[\p{L}'’-]+"
+#: First letters, tested before anything else of an alternative is.
+_FIRST = "(?=[" + "".join(sorted({w[0] for w in [*FEMALE_TITLES, *MALE_TITLES, *OTHER_TITLES, *[n for names in GIVEN.values() for n in names]]})) + "])"
 _KEYS = "token|password|passwd|secret|api_key|apikey|api-key"
 _SECRET = rf"(?<![A-Za-z])(?i:{_KEYS})[\"']?\s{{0,2}}[=:]\s{{0,2}}[\"']?"
 #: What counts as an entity, in the order in which alternatives are tried.
@@ -41,12 +43,17 @@ ENTITY_PARTS = [
     r"(?<![\w.])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]\d{2,4}){1,4}(?!\w)",
     r"(?<![\w.])\(?\d{3}(?:\)[ .-]?|[ .-])\d{3}[ .-]\d{4}(?!\w)",
     rf"{_SECRET}[A-Za-z0-9+/_=-]{{8,}}",
-    rf"(?<!\p{{L}})(?:{_TITLES})\.? {_CAPITAL}(?: {_CAPITAL})?",
-    rf"(?<!\p{{L}})(?:{_GIVEN}) {_CAPITAL}",
+    r"(?<![\w.+])0\d{2,4}[ -]\d{3,4}[ -]\d{3,4}(?!\w)",
+    r"(?<![A-Za-z0-9_-])(?:sk|pk|ghp|gho|xox[abp]|AKIA)[_-]?(?=[A-Za-z]{0,30}\d)[A-Za-z0-9]{16,}(?![A-Za-z0-9])",
+    r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    rf"{_FIRST}(?<!\p{{L}})(?:{_TITLES})\.? {_CAPITAL}(?: {_CAPITAL})?",
+    rf"{_FIRST}(?<!\p{{L}})(?:{_GIVEN}) {_CAPITAL}",
 ]
 ENTITY = "|".join(ENTITY_PARTS)
 #: What every text with an entity holds; others are left alone.
-HINT = "|".join(["[0-9@]", rf"(?i:{_KEYS})", *ENTITY_PARTS[-2:]])
+HINT = "|".join(["[0-9@]", rf"(?=[tpsaTPSA])(?i:{_KEYS})", *ENTITY_PARTS[-2:]])
+#: Surrogates tried in an entity's own format; after these, longer ones.
+TRIES = 8
 KINDS = ["email", "ip", "card", "phone", "name", "secret"]
 
 
@@ -160,7 +167,10 @@ def _by_kind(h: Column, kind: Column, norm: Column, attempt: Column) -> Column:
     ip = F.array_join(F.array(*[(_byte(h, F.lit(i)) % 254 + 1).cast("string") for i in range(4)]), ".")
     ending = F.regexp_extract(norm, r"\.[a-z]{2,24}$", 0)
     email = F.concat(_shaped(F.substring(norm, F.lit(1), F.length(norm) - F.length(ending)), h), ending)
-    out = F.when(kind == "ip", ip).when(kind == "card", card).when(kind == "phone", phone).when(kind == "email", email).when(kind == "secret", shaped)
+    # A format that has run out gives way: sixteen digits more tell its surrogates apart.
+    more = F.when(attempt > TRIES, F.translate(F.substring(h, 1, 16), "abcdef", "012345")).otherwise("")
+    ip = F.when(attempt > TRIES, F.concat(ip, F.lit("."), more)).otherwise(ip)
+    out = F.when(kind == "ip", ip).when(kind == "card", F.concat(card, more)).when(kind == "phone", F.concat(phone, more)).when(kind == "email", F.concat(more, email)).when(kind == "secret", F.concat(shaped, more))
     for script, syllables in SYLLABLES.items():
         surname = F.initcap(F.concat(*[_pick(syllables, _byte(h, F.lit(i))) for i in range(3)], _more(attempt, lambda i, s=syllables: _pick(s, _byte(h, i)))))
         out = out.when(kind == f"surname-{script}", surname)
@@ -180,9 +190,12 @@ def settle(entities: DataFrame, key: str) -> DataFrame:
 
     ``entities`` has each (kind, norm) once. A surrogate must differ from those of all others of its
     kind and from all real norms of it. Where it does not, the smallest norm keeps it, unless it is
-    real, and the others try again, until no two agree.
+    real, and the others try again, until no two agree. After ``TRIES`` rounds surrogates get longer, so
+    a format that is full, such as that of the shortest emails, does not go on for ever.
     """
-    current = entities.select("kind", "norm", F.lit(0).alias("attempt"))
+    # Few bytes, much to work out: dealt out by number.
+    parts = 4 * entities.sparkSession.sparkContext.defaultParallelism
+    current = entities.select("kind", "norm", F.lit(0).alias("attempt")).repartition(parts, "kind", "norm")
     while True:
         with_s = keep(current.withColumn("s", F.lower(surrogate(F.col("kind"), F.col("norm"), F.col("attempt"), key))), "surrogates")
         shared = with_s.groupBy("kind", "s").agg(F.min("norm").alias("holder"), F.count("*").alias("n")).where("n > 1").select("kind", "s", "holder")
@@ -192,7 +205,8 @@ def settle(entities: DataFrame, key: str) -> DataFrame:
         judged = keep(judged.select("kind", "norm", "attempt", again.alias("again")), "judged")
         if judged.where("again").isEmpty():
             return judged.where("attempt > 0").select("kind", "norm", "attempt")
-        current = judged.select("kind", "norm", (F.col("attempt") + F.col("again").cast("int")).alias("attempt"))
+        discard(with_s)
+        current = judged.repartition(parts, "kind", "norm").select("kind", "norm", (F.col("attempt") + F.col("again").cast("int")).alias("attempt"))
 
 
 def _render(match: Column, attempts: Column, key: str) -> Column:
@@ -215,6 +229,8 @@ def _in_format(match: Column, names: Column) -> Column:
         return F.when(c.rlike("[0-9]"), F.substring(first, before + 1, F.lit(1))).otherwise(c)
 
     in_format = F.array_join(F.transform(F.split(match, ""), digit), "")
+    # What is longer than the format follows it.
+    in_format = F.concat(in_format, F.substring(first, F.length(F.regexp_replace(match, r"\D", "")) + 1, F.length(first)))
     before = F.regexp_extract(match, f"^{_SECRET}", 0)
     return F.when(kind == "name", F.concat(title, F.array_join(names, " "))).when(kind == "secret", F.concat(before, last)).when(kind.isin("card", "phone"), in_format).otherwise(last)
 
@@ -231,10 +247,11 @@ def replace_entities(docs: DataFrame, key: str, text_col: str = "text", counts_c
     kind never share one, and none is a real one of the corpus. A surname found in a text is also replaced
     where it stands there by itself. Digits and punctuation keep their
     places, cards that satisfy the Luhn sum still do, names keep title, gender and script, emails their
-    last label.
+    last label. Only where a format has run out of surrogates do they get longer.
 
-    Null texts stay null with no counts; texts without entities stay as they are. Repeated rows get
-    equal texts. All other columns stay, whatever their names; ``counts_col`` must be free.
+    Null texts stay null with no counts; empty ones and those without entities stay as they are. Texts are
+    searched whole. Repeated rows get equal texts. Where two entities of a kind tie for a surrogate, the one that sorts first
+    has it. An empty table gives an empty one. All other columns stay, whatever their names; ``counts_col`` must be free.
     """
     if counts_col in docs.columns:
         raise ValueError(f"{counts_col} is a column already")

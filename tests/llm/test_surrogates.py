@@ -116,3 +116,20 @@ def test_later_mentions_of_a_surname(spark):
     a, given, b, c, d, e, f = m.groups()
     assert a == b == c == f != "Smith" and d == e != "Иванова" and given != "John"
     assert out[1].pii_counts["name"] == 6 and out[2].text == "Smith alone is nobody found here."
+
+
+def test_a_full_format_gets_longer_surrogates(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = [(k, f"{a}@{b}.de wrote") for k, (a, b) in enumerate((a, b) for a in letters for b in letters)]
+    out = replace_entities(spark.createDataFrame(rows, "doc_id long, text string"), key="k").collect()
+    new = [r.text.split()[0] for r in out]
+    assert len(set(new)) == len(rows) and not set(new) & {t.split()[0] for _, t in rows}
+    assert all(e.endswith(".de") and "@" in e for e in new)
+
+
+def test_more_formats(spark):
+    texts = ["call 020 7946 0958.", "iban DE89370400440532013000, and GB29 NWBK 6016 1331 9268 19", "key sk-abcdefghijklmnop1234 here", "on 2024-05-06 at 10 12 14 AB12 in 0123"]
+    out = replace_entities(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), key="k").orderBy("doc_id").collect()
+    changed = [[a != b for a, b in zip(t.split(" "), r.text.split(" "))] for t, r in zip(texts, out)]
+    assert changed[0] == [False, True, True, True] and changed[1][1] and any(changed[1][4:]) and changed[2] == [False, True, False] and not any(changed[3])
+    assert all(len(t) == len(r.text) for t, r in zip(texts, out))
