@@ -107,6 +107,24 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_simhash": op10_simhash,
 }
 
+VECTORS_SQL = """
+with recursive usable as (
+  select vec_id, label, embedding::double[] as v from embeddings
+  where label is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links as (
+  select a.vec_id as a, b.vec_id as b from usable a join usable b
+  on a.label = b.label and a.vec_id <> b.vec_id and len(a.v) = len(b.v) and list_cosine_similarity(a.v, b.v) >= 0.98),
+reach as (
+  select vec_id, vec_id as other from embeddings
+  union
+  select r.vec_id, l.b from reach r join links l on l.a = r.other),
+components as (select vec_id, min(other) as component_id from reach group by vec_id),
+degrees as (select a as vec_id, count(*) as n_links from links group by a)
+select c.vec_id, coalesce(d.n_links, 0)::bigint as n_links, c.component_id, c.vec_id = c.component_id as kept, 1.0::double as recall
+from components c left join degrees d using (vec_id)
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op2_mix": MIX_SQL,
+    "op8_vectors": VECTORS_SQL,
 }
