@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cathodyne.llm.common import connected_components, keep, let, new_path
+from cathodyne.llm.common import connected_components, discard, keep, let, new_path
 
 
 #: Letters whose numbers tell lines apart before they are compared.
@@ -148,8 +148,9 @@ def bucketed(df: DataFrame, key: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, "bucketed")
     name = path.rpartition("/")[2].replace("-", "_")
-    df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).option("path", path).saveAsTable(name)
+    df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).option("path", path).option("compression", "zstd").saveAsTable(name)
     out = spark.table(name)
+    out.kept_path = path
     spark.sql(f"drop table {name}")  # the entry, not the files
     return out
 
@@ -194,12 +195,13 @@ def line_classes(docs: DataFrame, tau: int = 2, min_chars: int = 32, exact_chars
     classed = lines.where(F.length("line") >= least)
     place = F.struct("doc_id", "line_no")
     known = classed.groupBy("h").agg(F.first("line").alias("line"), F.min(place).alias("first"), F.count("*").alias("rows"))
-    known = bucketed(known.withColumn("n", F.length("line")).withColumn("bag", letter_bag(F.col("line"))), "h")
+    known = table = bucketed(known.withColumn("n", F.length("line")).withColumn("bag", letter_bag(F.col("line"))), "h")
     links = keep(line_links(known.where(F.col("n") >= min_chars).select("h", "line", "n", "bag"), tau), "line-links")
     degrees = links.select(F.explode(F.array("a", "b")).alias("h")).groupBy("h").agg(F.count("*").alias("n_links"))
     classes = connected_components(links).withColumnRenamed("id", "h")
     marked = known.select("h", "first", "rows").join(degrees, "h", "left").join(classes, "h", "left").withColumn("class_id", F.coalesce("component", "h"))
     marked = keep(marked.where("rows > 1 or n_links > 0").select("h", "first", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links")), "marked")
+    discard(table)
     firsts = marked.groupBy("class_id").agg(F.min("first").alias("class_first"))
     marked = marked.join(firsts, "class_id").select("h", "class_id", "n_links", "class_first")
     narrow = lines.select("doc_id", "line_no", F.length("line").alias("n_chars"), F.when(F.length("line") >= least, F.col("h")).alias("h"))
