@@ -30,8 +30,6 @@ SYLLABLES = {
 _TITLES = "|".join([*FEMALE_TITLES, *MALE_TITLES, *OTHER_TITLES])
 _GIVEN = "|".join(n for names in GIVEN.values() for n in names)
 _CAPITAL = r"\p{Lu}[\p{L}'’-]+"
-#: First letters, tested before anything else of an alternative is.
-_FIRST = "(?=[" + "".join(sorted({w[0] for w in [*FEMALE_TITLES, *MALE_TITLES, *OTHER_TITLES, *[n for names in GIVEN.values() for n in names]]})) + "])"
 _KEYS = "token|password|passwd|secret|api_key|apikey|api-key"
 _SECRET = rf"(?<![A-Za-z])(?i:{_KEYS})[\"']?\s{{0,2}}[=:]\s{{0,2}}[\"']?"
 #: What counts as an entity, in the order in which alternatives are tried.
@@ -44,14 +42,14 @@ ENTITY_PARTS = [
     r"(?<![\w.])\(?\d{3}(?:\)[ .-]?|[ .-])\d{3}[ .-]\d{4}(?!\w)",
     rf"{_SECRET}[A-Za-z0-9+/_=-]{{8,}}",
     r"(?<![\w.+])0\d{2,4}[ -]\d{3,4}[ -]\d{3,4}(?!\w)",
-    r"(?<![A-Za-z0-9_-])(?:sk|pk|ghp|gho|xox[abp]|AKIA)[_-]?(?=[A-Za-z]{0,30}\d)[A-Za-z0-9]{16,}(?![A-Za-z0-9])",
+    r"(?<![A-Za-z0-9_-])(?:(?:sk|pk|ghp|gho|xox[abp])[_-]?(?=[A-Za-z]{0,30}\d)[A-Za-z0-9]{16,}|AKIA[0-9A-Z]{16})(?![A-Za-z0-9])",
     r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    rf"{_FIRST}(?<!\p{{L}})(?:{_TITLES})\.? {_CAPITAL}(?: {_CAPITAL})?",
-    rf"{_FIRST}(?<!\p{{L}})(?:{_GIVEN}) {_CAPITAL}",
+    rf"(?<!\p{{L}})(?:{_TITLES})\.? {_CAPITAL}(?: {_CAPITAL})?",
+    rf"(?<!\p{{L}})(?:{_GIVEN}) {_CAPITAL}",
 ]
 ENTITY = "|".join(ENTITY_PARTS)
 #: What every text with an entity holds; others are left alone.
-HINT = "|".join(["[0-9@]", rf"(?=[tpsaTPSA])(?i:{_KEYS})", *ENTITY_PARTS[-2:]])
+HINT = "|".join(["[0-9@]", "AKIA", rf"(?i:{_KEYS})", *ENTITY_PARTS[-2:]])
 #: Surrogates tried in an entity's own format; after these, longer ones.
 TRIES = 8
 KINDS = ["email", "ip", "card", "phone", "name", "secret"]
@@ -60,7 +58,7 @@ KINDS = ["email", "ip", "card", "phone", "name", "secret"]
 def kind_of(match: Column) -> Column:
     digits = F.length(F.regexp_replace(match, r"\D", ""))
     return (
-        F.when(match.rlike(f"^{_SECRET}"), "secret")
+        F.when(match.rlike(f"^{_SECRET}|^AKIA[0-9A-Z]{{16}}$"), "secret")
         .when(F.contains(match, F.lit("@")), "email")
         .when(match.rlike(r"^(?:\d{1,3}\.){3}\d{1,3}$"), "ip")
         .when(match.rlike(r"^[\d -]+$") & digits.between(13, 19), "card")
