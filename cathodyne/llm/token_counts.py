@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,16 +13,17 @@ from cathodyne.llm.tokenizers import Encoder, file_bytes, version_digest
 
 #: Texts encoded in one call.
 ENCODE_ROWS = 64
+#: A text that more than one row in so many has is counted by broadcast: there are fewer than this of them.
+OFTEN = 1000
 
 CACHE_SCHEMA = "digest binary, tokenizer string, n_tokens long"
 
 
 def read_cache(spark: SparkSession, path: str, tokenizer: str) -> DataFrame:
-    """Counts of one tokenizer version, a row per digest. A cache that isn't there is empty."""
-    try:
-        cache = spark.read.schema(CACHE_SCHEMA).parquet(path)
-    except AnalysisException:
-        cache = spark.createDataFrame([], CACHE_SCHEMA)
+    """Counts of one tokenizer version, a row per digest. A cache that isn't there is empty; one that cannot be read is an error."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+    cache = spark.read.schema(CACHE_SCHEMA).parquet(path) if there else spark.createDataFrame([], CACHE_SCHEMA)
     return cache.where(F.col("tokenizer") == tokenizer).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
 
 
@@ -59,6 +59,12 @@ def count_tokens(docs: DataFrame, model_path: str, cache_path: str, limit: int =
 
     counted = texts.mapInArrow(encode, "digest binary, n_tokens long").groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     counted.select("digest", F.lit(tokenizer).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache_path)
-    known = read_cache(spark, cache_path, tokenizer)
-    out = marked.join(known, "digest")
+    out = _with_counts(marked, read_cache(spark, cache_path, tokenizer))
     return out.select(F.col("doc_id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+
+
+def _with_counts(marked: DataFrame, known: DataFrame) -> DataFrame:
+    """``marked`` with the counts of its digests. Rows of the digests that many rows share do not meet in one task."""
+    often = marked.groupBy("digest").count().where(F.col("count") > marked.count() / OFTEN).select("digest")
+    often = F.broadcast(keep(often.join(known, "digest"), "often"))  # fewer than OFTEN rows
+    return marked.join(often, "digest").unionByName(marked.join(often, "digest", "left_anti").join(known, "digest"))

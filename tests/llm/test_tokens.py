@@ -122,3 +122,19 @@ def test_huge_texts_pack_without_loss(spark, text):
     pieces = {start: np.frombuffer(r.input_ids, e.dtype)[a:b] for r in rows for start, a, b in zip(r.doc_starts, r.cu_seqlens, r.cu_seqlens[1:])}
     ids = np.concatenate([pieces[k] for k in sorted(pieces)])
     assert e.decode(ids[:-1].tolist()) == text and ids[-1] == e.end
+
+
+def test_copies_and_single_texts_are_all_counted(spark, tmp_path):
+    rows = [(k, f"text {k}") for k in range(1200)] + [(k, "a copy") for k in range(1200, 1500)] + [(None, "a copy")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = count_tokens(docs, PIECES, str(tmp_path / "cache")).collect()
+    e = Encoder(PIECES, file_bytes(PIECES))
+    want = [(d is None, d or 0, len(t), len(e.encode([t])[0])) for d, t in rows]
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.n_bytes, r.n_tokens) for r in got) == sorted(want)
+
+
+def test_a_broken_cache_is_an_error(spark, tmp_path):
+    (tmp_path / "cache").mkdir()
+    (tmp_path / "cache" / "part.parquet").write_text("not parquet")
+    with pytest.raises(Exception):
+        read_cache(spark, str(tmp_path / "cache"), "any").collect()
