@@ -17,7 +17,7 @@ def decode_grey(content: bytes) -> np.ndarray | None:
             return _png(content)
         if content[:4] in (b"II*\0", b"MM\0*"):
             return _tiff(content)
-    except (ValueError, IndexError, KeyError, struct.error, zlib.error):
+    except (ValueError, IndexError, KeyError, OverflowError, struct.error, zlib.error):
         pass
     return None
 

@@ -55,7 +55,7 @@ def test_decoder_refuses_others():
         assert decode_grey(content) is None
 
 
-@pytest.mark.parametrize("content", [b"\x89PNG\r\n\x1a\n", b"P5 -1 4 255\n1234", b"P5 2 2 0\n1234", b"P5 2 2 70000\n12345678", b"P5 0 2 255\n"])
+@pytest.mark.parametrize("content", [b"\x89PNG\r\n\x1a\n", b"P5 -1 4 255\n1234", b"P5 2 2 0\n1234", b"P5 2 2 70000\n12345678", b"P5 0 2 255\n", b"P5 99999999999999999999 9 255\n1", b"P5 4294967296 4294967296 255\n1"])
 def test_broken_headers_are_refused(content):
     assert decode_grey(content) is None
 
