@@ -20,6 +20,7 @@ from cathodyne.llm.simhash import simhash_groups
 from cathodyne.llm.surrogates import KINDS, replace_entities
 from cathodyne.llm.token_counts import count_tokens
 from cathodyne.llm.vector_dedup import audit_recall, near_vectors
+from cathodyne.llm.whitening import whiten
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -94,6 +95,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op12_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(_table(spark, sf_dir, "embeddings"), components=16)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack": op1_pack,
     "op2_mix": op2_mix,
@@ -105,6 +110,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_vectors": op8_vectors,
     "op9_lines": op9_lines,
     "op10_simhash": op10_simhash,
+    "op12_whiten": op12_whiten,
 }
 
 VECTORS_SQL = """
