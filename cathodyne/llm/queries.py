@@ -16,6 +16,7 @@ from cathodyne.llm.licenses import scan_licenses
 from cathodyne.llm.line_dedup import line_classes
 from cathodyne.llm.mixing import MIX_SQL, mix_sources
 from cathodyne.llm.packing import pack_tokens
+from cathodyne.llm.passages import PASSAGES_SQL, remove_passages
 from cathodyne.llm.simhash import simhash_groups
 from cathodyne.llm.surrogates import KINDS, replace_entities
 from cathodyne.llm.token_counts import count_tokens
@@ -99,6 +100,10 @@ def op12_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(_table(spark, sf_dir, "embeddings"), components=16)
 
 
+def op13_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_passages(_table(spark, sf_dir, "documents"), width=50, texts=False).drop("kept_text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack": op1_pack,
     "op2_mix": op2_mix,
@@ -111,6 +116,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_lines": op9_lines,
     "op10_simhash": op10_simhash,
     "op12_whiten": op12_whiten,
+    "op13_passages": op13_passages,
 }
 
 VECTORS_SQL = """
@@ -133,4 +139,5 @@ from components c left join degrees d using (vec_id)
 ORACLE_SQL: dict[str, str] = {
     "op2_mix": MIX_SQL,
     "op8_vectors": VECTORS_SQL,
+    "op13_passages": PASSAGES_SQL,
 }
