@@ -18,6 +18,7 @@ from cathodyne.llm.mixing import MIX_SQL, mix_sources
 from cathodyne.llm.packing import pack_tokens
 from cathodyne.llm.passages import PASSAGES_SQL, remove_passages
 from cathodyne.llm.simhash import simhash_groups
+from cathodyne.llm.spelling import spelling_variants
 from cathodyne.llm.surrogates import KINDS, replace_entities
 from cathodyne.llm.token_counts import count_tokens
 from cathodyne.llm.vector_dedup import audit_recall, near_vectors
@@ -96,6 +97,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(_table(spark, sf_dir, "documents"), min_chars=7, min_count=2, ratio=10, every=31)
+
+
 def op12_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(_table(spark, sf_dir, "embeddings"), components=16)
 
@@ -115,6 +120,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_vectors": op8_vectors,
     "op9_lines": op9_lines,
     "op10_simhash": op10_simhash,
+    "op11_spelling": op11_spelling,
     "op12_whiten": op12_whiten,
     "op13_passages": op13_passages,
 }
