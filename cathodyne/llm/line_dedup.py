@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cathodyne.llm.common import connected_components, discard, keep, let, new_path
+from cathodyne.llm.common import bucketed, connected_components, discard, keep, let
 
 
 #: Letters whose numbers tell lines apart before they are compared.
@@ -143,18 +143,6 @@ def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return exploded.select("doc_id", "line_no", F.trim("line", F.lit(" \t\r\x0b\x0c")).alias("line")).withColumn("h", F.xxhash64("line"))
 
 
-def bucketed(df: DataFrame, key: str) -> DataFrame:
-    """``df`` as a table in the shared folder that is dealt out by ``key``: joins on it shuffle the other side only."""
-    spark = df.sparkSession
-    path = new_path(spark, "bucketed")
-    name = path.rpartition("/")[2].replace("-", "_")
-    df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).option("path", path).option("compression", "zstd").saveAsTable(name)
-    out = spark.table(name)
-    out.kept_path = path
-    spark.sql(f"drop table {name}")  # the entry, not the files
-    return out
-
-
 def line_links(distinct_lines: DataFrame, tau: int) -> DataFrame:
     """Pairs (a, b), a < b, of hashes of different lines within ``tau`` edits; ``distinct_lines`` has (h, line, n, bag), a row per line.
 

@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cathodyne.llm.common import discard, keep
+from cathodyne.llm.common import bucketed, discard, keep
 
 #: Words of a phrase. Of each window's phrases the one of least hash stands for it.
 PHRASE = 10
@@ -229,12 +229,11 @@ def remove_passages(docs: DataFrame, width: int = 50, id_col: str = "doc_id", te
     one. Other columns are not read.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    dealt = keep(rows.mapInArrow(_blocks, "doc_id long, text string, block long"), "dealt")
+    # Dealt out by block once, so that the texts are not shuffled to meet what is found.
+    dealt = bucketed(rows.mapInArrow(_blocks, "doc_id long, text string, block long"), "block", rows_together=True)
     phrases = keep(_recurring(phrases_of(dealt, width), "phrase").select("block", "phrase"), "phrases")
-    windows = keep(windows_of(dealt, phrases, width), "windows")
+    confirmed = keep(_recurring(windows_of(dealt, phrases, width), "h").where("owner < most").select("block", "h", "owner"), "confirmed")
     discard(phrases)
-    confirmed = keep(_recurring(windows, "h").where("owner < most").select("block", "h", "owner"), "confirmed")
-    discard(windows)
 
     def of(part: pa.Table, own: pa.Table) -> pa.Table:
         schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept_text", pa.string())])
@@ -255,7 +254,10 @@ def remove_passages(docs: DataFrame, width: int = 50, id_col: str = "doc_id", te
         return pa.table([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
     result = dealt.groupBy("block").cogroup(confirmed.groupBy("block")).applyInArrow(of, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
-    return result.withColumnRenamed("doc_id", id_col)
+    kept = keep(result.withColumnRenamed("doc_id", id_col), "kept-texts")
+    discard(dealt)
+    discard(confirmed)
+    return kept
 
 
 def _pieces(t: Text, stays: np.ndarray) -> Iterator[bytes]:
