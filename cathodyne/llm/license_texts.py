@@ -1,4 +1,4 @@
-"""Wordings of licence notices that are looked for: fixed values, as their publishers word them."""
+"""Wordings of licence notices that are looked for: fixed values, written from memory and not held against a published copy."""
 
 #: (licence, wording)
 TEMPLATES: list[tuple[str, str]] = [

@@ -15,10 +15,13 @@ from pyspark.sql import functions as F
 
 #: What a line of a notice may hold; only documents with such a line are looked at further.
 CUE = r"(?i)licen[cs]e|copyright|creative\W+commons|\bCC[\s-]+(?:BY|0)|public\W+domain|SPDX-|redistribut|free\W+software|permission|without\W+warrant"
-#: Lines without a cue that may lie between two of one block, and words of a block that are compared at once.
-GAP, BLOCK_WORDS = 2, 2000
-#: Least reduction of a template and least share of its words.
-LEAST_SAVED, COVERAGE = 0.25, 0.8
+#: Least reduction, as a share of what the template takes by itself, and least share of a template's words.
+LEAST_SAVED, COVERAGE = 0.1, 0.8
+
+#: Level of compression. Below 12 a short block is at times stored as it is though a template would shrink it.
+LEVEL = 12
+#: Bytes on either side of a template in its dictionary; no text has them, as texts have single spaces.
+MARGIN = b"\n" * 16
 
 FINDING = "struct<line_no:int,license:string,template:int,plain_size:int,saved:int,rank:int,coverage:double,differences:array<string>>"
 
@@ -32,22 +35,31 @@ class Templates:
         self.names = [name for name, _ in templates]
         self.words = [words_of(text) for _, text in templates]
         self.counts = [Counter(words) for words in self.words]
-        self.plain = zstandard.ZstdCompressor(level=9, write_content_size=False)
+        # Templates of about one length are looked for in blocks of their own.
+        by_reach: dict[int, list[int]] = {}
+        for t, words in enumerate(self.words):
+            by_reach.setdefault(max(8, 1 << (len(words) - 1).bit_length()), []).append(t)
+        self.classes = sorted(by_reach.items())
+        # Any dictionary takes some bytes, so what a template saves is measured against one that says nothing.
+        self.plain = _with_dictionary(b"")
         plain_texts = [spaced(text) for _, text in templates]
         self.alone = [len(self.plain.compress(text)) for text in plain_texts]
-        self.with_template = []
-        for text in plain_texts:
-            dictionary = zstandard.ZstdCompressionDict(text, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            self.with_template.append(zstandard.ZstdCompressor(level=9, dict_data=dictionary, write_content_size=False))
+        self.with_template = [_with_dictionary(text) for text in plain_texts]
 
-    def rank(self, block: str) -> tuple[int, list[tuple[int, int]]]:
+    def rank(self, block: str, among: Sequence[int]) -> tuple[int, list[tuple[int, int]]]:
         """Compressed size of a block, and (saved, template) of those templates that save enough, most first."""
         raw = spaced(block)
         size = len(self.plain.compress(raw))
-        saved = [(size - len(c.compress(raw)), t) for t, c in enumerate(self.with_template)]
+        saved = [(size - len(self.with_template[t].compress(raw)), t) for t in among]
         return size, sorted(((s, t) for s, t in saved if s >= LEAST_SAVED * min(self.alone[t], size)), key=lambda x: (-x[0], x[1]))
 
 
+def _with_dictionary(text: bytes) -> zstandard.ZstdCompressor:
+    """A compressor with a raw dictionary. Matches begin neither at a dictionary's first byte nor in its last few, so it has margins."""
+    dictionary = zstandard.ZstdCompressionDict(MARGIN + text + MARGIN, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    return zstandard.ZstdCompressor(level=LEVEL, dict_data=dictionary, write_content_size=False)
+
+
 def spaced(text: str) -> bytes:
     """What is compressed: lower case, single spaces."""
     return " ".join(text.lower().split()).encode("utf-8", "replace")
@@ -74,43 +86,36 @@ def wording(template: list[str], block: list[str]) -> tuple[float, list[str], tu
     return same / len(template), ops, place
 
 
-def blocks_of(text: str) -> Iterator[tuple[int, str]]:
-    """Runs of lines with cues, at most ``GAP`` others between them, and the lines next to them: the number of the first line, and the text."""
-    lines = text.split("\n")
-    cues = [k for k, line in enumerate(lines) if _CUE.search(line)]
-    start = 0
-    for i, k in enumerate(cues):
-        if i + 1 == len(cues) or cues[i + 1] - k > GAP + 1:
-            first = max(cues[start] - 1, 0)
-            yield first, "\n".join(lines[first : k + 2])
-            start = i + 1
+def cues_of(text: str, spans: Sequence[tuple[int, int]]) -> list[tuple[int, int]]:
+    """First word and the one behind the last of each cue, by the words' ``spans``."""
+    starts, ends = [a for a, _ in spans], [b for _, b in spans]
+    return [(bisect_right(ends, cue.start()), bisect_left(starts, cue.end())) for cue in _CUE.finditer(text)]
 
 
-def windows_of(text: str, spans: Sequence[tuple[int, int]], reach: int) -> Iterator[tuple[int, int]]:
-    """Ranges of words, given by their ``spans``, that hold all words within ``reach`` of a cue."""
-    starts, ends = [a for a, _ in spans], [b for _, b in spans]
-    low = high = 0
-    for cue in _CUE.finditer(text):
-        first, last = max(bisect_right(ends, cue.start()) - reach, 0), min(bisect_left(starts, cue.end()) + reach, len(spans))
-        if first > high:
-            if low < high:
-                yield low, high
-            low = first
-        high = last
-    if low < high:
-        yield low, high
-
-
-def _claims(text: str, spans: Sequence[tuple[int, int]], first: int, last: int, templates: Templates) -> list[dict]:
+def blocks_of(cues: Sequence[tuple[int, int]], reach: int, n: int) -> Iterator[tuple[int, int]]:
+    """Ranges of the ``n`` words that hold all words within ``reach`` of a cue, each about three times that at most.
+
+    Whatever has ``reach`` words or fewer and a cue among them lies in one of the blocks as a whole.
+    """
+    k = 0
+    while k < len(cues):
+        first, last = cues[k]
+        while k < len(cues) and cues[k][0] - first <= reach:
+            last = max(last, cues[k][1])
+            k += 1
+        yield max(first - reach, 0), min(last + reach, n)
+
+
+def _claims(text: str, spans: Sequence[tuple[int, int]], first: int, last: int, templates: Templates, among: Sequence[int]) -> list[dict]:
     """Every template confirmed among the words from ``first`` to ``last``, at its best place."""
     piece = text[spans[first][0] : spans[last - 1][1]]
     words = words_of(piece)
     there = Counter(words)
     # Words that are there at all bound those in order, so that no other template can be confirmed.
-    able = {t for t, counts in enumerate(templates.counts) if (counts & there).total() >= COVERAGE * counts.total()}
+    able = {t for t in among if sum(min(n, there[w]) for w, n in templates.counts[t].items()) >= COVERAGE * len(templates.words[t])}
     if not able:
         return []
-    size, ranked = templates.rank(piece)
+    size, ranked = templates.rank(piece, among)
     out = []
     for rank, (saved, t) in enumerate(ranked, 1):
         if t in able:
@@ -126,44 +131,51 @@ def scan(text: str, templates: Templates) -> list[dict]:
     What is left beside the confirmed places is looked at again, until nothing more is confirmed.
     """
     spans = [(m.start(), m.end()) for m in _WORD.finditer(text)]
-    widest = max(map(len, templates.words), default=0) * 2
-    todo = []
-    for low, high in windows_of(text, spans, widest):
-        todo += [(at, min(at + BLOCK_WORDS + widest, high)) for at in range(low, high, BLOCK_WORDS)]
+    cues = cues_of(text, spans)
+    todo = [(first, last, k) for k, (reach, _) in enumerate(templates.classes) for first, last in blocks_of(cues, reach, len(spans)) if first < last]
     found: list[dict] = []
     while todo:
-        claims = [c for first, last in todo for c in _claims(text, spans, first, last, templates)]
+        claims = [(c, block) for block in todo for c in _claims(text, spans, *block[:2], templates, templates.classes[block[2]][1])]
         winners, taken = [], sorted(f["place"] for f in found)
-        for claim in sorted(claims, key=lambda c: (len(c["differences"]) - c["coverage"] * len(templates.words[c["template"]]), c["rank"], c["place"])):
+        for claim, _ in sorted(claims, key=lambda c: (len(c[0]["differences"]) - c[0]["coverage"] * len(templates.words[c[0]["template"]]), c[0]["rank"], c[0]["place"])):
             a, b = claim["place"]
             at = bisect_left(taken, (a, b))
             if (at == 0 or taken[at - 1][1] <= a) and (at == len(taken) or b <= taken[at][0]):
                 taken.insert(at, (a, b))
                 winners.append(claim)
         found += winners
-        # Pieces in which a place was confirmed are cut there.
-        rest = []
-        for first, last in todo:
-            inside = [(a, b) for a, b in taken if a < last and first < b]
-            if any(first < f["place"][1] and f["place"][0] < last for f in winners):
-                edges = [first, *(x for place in inside for x in place), last]
-                rest += [(a, b) for a, b in zip(edges[::2], edges[1::2]) if a < b]
-        todo = sorted(set(rest))
+        # Blocks whose claims met a taken place, their own or another's, are cut at what is taken and looked at again.
+        rest, again = set(), {block for c, block in claims if _meets(taken, *c["place"])}
+        for first, last, k in again:
+            edges = [first, *(min(max(x, first), last) for place in taken[_from(taken, first) :] if place[0] < last for x in place), last]
+            rest |= {(a, b, k) for a, b in zip(edges[::2], edges[1::2]) if a < b and (a, b) != (first, last)}
+        todo = sorted(rest)
     rows = []
     for f in sorted(found, key=lambda f: f["place"]):
         rows.append({"line_no": text.count("\n", 0, spans[f["place"][0]][0])} | {k: v for k, v in f.items() if k != "place"})
     return sorted(rows, key=lambda f: (f["line_no"], f["template"]))
 
 
+def _from(taken: Sequence[tuple[int, int]], first: int) -> int:
+    """The first of the places, which do not overlap, that ends behind ``first``."""
+    return bisect_right(taken, first, key=lambda place: place[1])
+
+
+def _meets(taken: Sequence[tuple[int, int]], a: int, b: int) -> bool:
+    at = _from(taken, a)
+    return at < len(taken) and taken[at][0] < b
+
+
 def scan_licenses(docs: DataFrame, templates: Sequence[tuple[str, str]], text_col: str = "text", out_col: str = "licenses") -> DataFrame:
     """``docs`` with an array of the licences found in each: line, licence, template, sizes, rank, coverage, differences.
 
-    Cues with the words around them, up to twice the longest template, make candidate blocks. Each block is
-    compressed alone and with each template as a raw dictionary; the templates that shrink it enough are
+    Cues with the words around them make candidate blocks, of a few times a template's length: short
+    templates are looked for in short blocks, so that what one saves shows in any text. Each block is
+    compressed alone and with each template of the length as a raw dictionary; the templates that shrink it are
     compared word by word, and one counts if at least ``COVERAGE`` of its words stand there in order. ``differences`` are the exact changes of wording.
 
     Null and empty texts, and texts without cues, get empty arrays. Repeated rows get equal arrays.
-    Long blocks are compared in overlapping parts, whole. Other columns stay; ``out_col`` must be free.
+    Texts of any length are looked at whole. Ties go to the better rank, then the first place. Other columns stay; ``out_col`` must be free.
     """
     if out_col in docs.columns:
         raise ValueError(f"{out_col} is a column already")

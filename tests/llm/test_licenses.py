@@ -1,5 +1,6 @@
 """Operator 3 against known notices."""
 
+import os
 import random
 import textwrap
 
@@ -8,6 +9,9 @@ from pyspark.sql import functions as F
 
 from cathodyne.llm.license_texts import TEMPLATES
 from cathodyne.llm.licenses import Templates, blocks_of, scan, scan_licenses, wording, words_of
+from cathodyne.llm.queries import QUERIES
+
+DATA = "/root/testdata/sf0.01"
 
 
 @pytest.fixture(scope="module")
@@ -48,10 +52,43 @@ def test_clean_text_has_no_licence(templates):
     assert scan(filler(rng, 500) + " copyright of permission and licence\nfree software", templates) == []
 
 
-def test_blocks():
-    text = "z\na\nlicense\nb\nc\ncopyright\nd\ne\nf\nlicensed"
-    assert list(blocks_of(text)) == [(1, "a\nlicense\nb\nc\ncopyright\nd"), (8, "f\nlicensed")]
-    assert list(blocks_of("no cue\nhere")) == [] and list(blocks_of("license")) == [(0, "license")]
+def test_every_cue_lies_in_a_block_with_its_neighbours():
+    rng = random.Random(35)
+    for _ in range(200):
+        n, reach = rng.randint(1, 300), rng.choice([8, 16, 64])
+        cues = sorted((a, min(a + rng.randint(1, 2), n)) for a in rng.sample(range(n), rng.randint(0, min(n, 40))))
+        blocks = list(blocks_of(cues, reach, n))
+        assert all(any(f <= max(a - reach, 0) and min(b + reach, n) <= l for f, l in blocks) for a, b in cues)
+        assert all(l - f <= 3 * reach + 3 for f, l in blocks)
+
+
+def verbatim(text, templates):
+    """Licences whose wording stands in a text word for word, but for places within a longer such wording."""
+    words, places = words_of(text), []
+    for name, t in zip(templates.names, templates.words):
+        places += [(i, i + len(t), name) for i in range(len(words) - len(t) + 1) if words[i] == t[0] and words[i : i + len(t)] == t]
+    return {name for a, b, name in places if not any(c <= a and b <= d and d - c > b - a for c, d, _ in places)}
+
+
+@pytest.mark.parametrize("n", [10, 100, 400, 2000, 10_000])
+def test_notices_in_prose_of_any_length(templates, n):
+    rng = random.Random(36 + n)
+    for name, text in TEMPLATES if n < 2000 else rng.sample(TEMPLATES, 12):
+        whole = f"{filler(rng, n)} {text} {filler(rng, n)}"
+        assert [(f["license"], f["coverage"]) for f in scan(whole, templates)] == [(name, 1.0)]
+
+
+def test_a_notice_on_every_line(templates):
+    found = scan("\n".join(["Released under the MIT License."] * 300), templates)
+    assert [(f["license"], f["line_no"]) for f in found] == [("MIT", k) for k in range(300)]
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the given tables")
+def test_query_finds_what_a_word_scan_finds(spark, templates):
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    got = {(r.doc_id, r.license) for r in QUERIES["op3_licenses"](spark, DATA).collect()}
+    want = {(d, name) for d, t in docs.items() for name in verbatim(t or "", templates)}
+    assert want <= got and len(want) > 20
 
 
 def test_table_with_odd_rows(spark):
