@@ -26,7 +26,7 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
     while not edges.isEmpty():
         first = edges.groupBy("hi").agg(F.min("lo").alias("root")).withColumnRenamed("hi", "id")
         first = keep(first, "hooks")
-        hooks = _flatten(first)
+        hooks = flatten(first)
         rounds.append(hooks)
         high = hooks.join(first.withColumnRenamed("root", "hook"), "id").select(F.col("id").alias("hi"), F.col("root").alias("hi_root"), "hook")
         # A hub's links are the hooks of its neighbours; gone here, they do not meet at the hub.
@@ -39,15 +39,20 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
         edges = rest
     if not rounds:
         return edges.select(F.col("hi").alias("id"), F.col("lo").alias("component"))
+    return follow(rounds).withColumnRenamed("root", "component")
+
+
+def follow(rounds: list[DataFrame]) -> DataFrame:
+    """Rows (id, root) of all rounds of hooks, each id with its root of the last round; a round hooks roots of those before."""
     labels = rounds[0]
     for hooks in rounds[1:]:
         later = hooks.select(F.col("id").alias("root"), F.col("root").alias("next"))
         labels = labels.join(later, "root", "left").select("id", F.coalesce("next", "root").alias("root")).unionByName(hooks)
-    return labels.select("id", F.col("root").alias("component"))
+    return labels
 
 
-def _flatten(hooks: DataFrame) -> DataFrame:
-    """Follows hooks (id, root), always to smaller ids, until each root hooks on to nothing."""
+def flatten(hooks: DataFrame) -> DataFrame:
+    """Follows hooks (id, root), which make no circles, until each root hooks on to nothing."""
     given = hooks
     while True:
         up = hooks.select(F.col("id").alias("root"), F.col("root").alias("next"))

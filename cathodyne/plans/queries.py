@@ -7,8 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cathodyne.plans.defects import defects_of
+from cathodyne.operators.depth import cell_depths, region_depths
+from cathodyne.operators.fields import above_neighbourhood, box_sums, dense
+from cathodyne.operators.parting import flood, part_areas, peaks
 from cathodyne.operators.regions import cell_runs, label_runs, region_properties, summarise
+from cathodyne.operators.tree import region_tree
+from cathodyne.plans.defects import defects_of
+from cathodyne.sources.shared import keep
 
 #: Columns of a raster, and the least quantity of a lit cell.
 WIDTH, LEVEL = 128, 40.0
@@ -52,12 +57,60 @@ def raster_defects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return defects_of(cell_runs(raster(spark, sf_dir)), min_area=2, diagonal=True, volume=True)
 
 
+#: Rows and columns of a field, days of a row, and the cells around each that its sum takes in.
+FIELD_HEIGHT, FIELD_WIDTH, FIELD_DAYS, RADIUS = 61, 32, 6, 2
+#: Least sum of a lit cell of a field, steps of a level of the tree, and levels.
+FIELD_LIT, FIELD_STEP, FIELD_LEVELS = 8, 2, 9
+#: Cells within which a peak is alone, and its least squared depth.
+REACH, LEAST_PEAK = 2, 2
+
+
+def field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every cell of one frame per supplier: the number of its items by days of the year and parts modulo ``FIELD_WIDTH``."""
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_suppkey", "l_shipdate", "l_partkey")
+    y = F.floor((F.dayofyear("l_shipdate") - 1) / FIELD_DAYS).cast("int")
+    at = [F.col("l_suppkey").cast("string").alias("image_id"), F.lit(0).alias("z"), y.alias("y"), (F.col("l_partkey") % FIELD_WIDTH).cast("int").alias("x")]
+    cells = keep(items.groupBy(*at).agg(F.count("*").alias("value")), "field")
+    return dense(cells, cells.select("image_id", "z").distinct(), FIELD_HEIGHT, FIELD_WIDTH)
+
+
+def _lit_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lit = box_sums(field(spark, sf_dir), RADIUS).where(F.col("box") >= FIELD_LIT)
+    return label_runs(cell_runs(lit.select("image_id", "z", "y", "x", F.col("box").cast("double").alias("value"))))
+
+
+def raster_local(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells of the fields above the mean of their neighbourhood."""
+    return above_neighbourhood(field(spark, sf_dir), RADIUS, FIELD_HEIGHT, FIELD_WIDTH).select("image_id", "y", "x", "value", "box")
+
+
+def raster_depths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions of the smoothed fields, with their deepest cells."""
+    return region_depths(cell_depths(_lit_runs(spark, sf_dir))).drop("seed_z", "deep_z")
+
+
+def raster_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same regions, parted where they have several deep cells."""
+    cells = keep(cell_depths(_lit_runs(spark, sf_dir)), "depths")
+    return part_areas(flood(cells, peaks(cells, REACH, LEAST_PEAK))).drop("z")
+
+
+def raster_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tree of the smoothed fields' regions over all levels."""
+    level = F.floor(F.col("box") / FIELD_STEP).cast("int")
+    return region_tree(box_sums(field(spark, sf_dir), RADIUS).select("image_id", "y", "x", level.alias("level")), FIELD_LEVELS)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "raster_threshold": raster_threshold,
     "raster_runs": raster_runs,
     "raster_regions": raster_regions,
     "raster_summary": raster_summary,
     "raster_defects": raster_defects,
+    "raster_local": raster_local,
+    "raster_depths": raster_depths,
+    "raster_parts": raster_parts,
+    "raster_tree": raster_tree,
 }
 
 _CELLS = f"""cells as (
@@ -99,6 +152,68 @@ measured as (
          area / ((z1 - z0 + 1) * (y1 - y0 + 1) * (x1 - x0 + 1))::double as fill
   from sums where area >= 2)"""
 
+_FIELD = f"""items as (
+  select l_suppkey::varchar as image_id, ((dayofyear(l_shipdate) - 1) // {FIELD_DAYS})::int as y, (l_partkey % {FIELD_WIDTH})::int as x, count(*) as value
+  from lineitem group by all),
+grid as (select image_id, a.y::int as y, b.x::int as x from (select distinct image_id from items), range({FIELD_HEIGHT}) a(y), range({FIELD_WIDTH}) b(x)),
+boxes as (
+  select g.image_id, g.y, g.x, coalesce(sum(i.value), 0)::bigint as box, coalesce(sum(i.value) filter (i.y = g.y and i.x = g.x), 0)::bigint as value
+  from grid g left join items i on i.image_id = g.image_id and abs(i.y - g.y) <= {RADIUS} and abs(i.x - g.x) <= {RADIUS} group by all)"""
+_LIT = f"""lit as (select image_id, y, x, image_id::bigint * 2048 + y * {FIELD_WIDTH} + x as id from boxes where box >= {FIELD_LIT}),
+ahead as (
+  select a.id as a, b.id as b, 0 as down from lit a join lit b on a.image_id = b.image_id and a.y = b.y and a.x + 1 = b.x
+  union all
+  select a.id, b.id, 1 from lit a join lit b on a.image_id = b.image_id and a.y + 1 = b.y and a.x = b.x),
+links as materialized (select a, b, a as first, down from ahead union all select b, a, a, down from ahead),
+labels(id, label) using key (id) as (
+  select id, id from lit
+  union
+  select b, low from (select l.b, min(n.label) as low from labels n join links l on l.a = n.id group by l.b) s join recurring.labels r on r.id = s.b where low < r.label),
+unlit as (select image_id, y, x from boxes where box < {FIELD_LIT}),
+depths as materialized (
+  select any_value(n.label) as label, n.id, any_value(l.image_id) as image_id, any_value(l.y) as y, any_value(l.x) as x,
+         least(coalesce(min((l.y - u.y) * (l.y - u.y) + (l.x - u.x) * (l.x - u.x)), 1000000000), any_value(least(l.y + 1, {FIELD_HEIGHT} - l.y)) ** 2, any_value(least(l.x + 1, {FIELD_WIDTH} - l.x)) ** 2)::bigint as depth2
+  from labels n join lit l using (id) left join unlit u using (image_id) group by n.id)"""
+#: A label or peak as row and column.
+_Y, _X = f"(({{0}} % 2048) // {FIELD_WIDTH})", f"({{0}} % {FIELD_WIDTH})"
+_PARTS = f"""peaks as materialized (
+  select p.label, p.id from depths p left join depths o
+  on o.label = p.label and abs(o.y - p.y) <= {REACH} and abs(o.x - p.x) <= {REACH} and (o.depth2 > p.depth2 or (o.depth2 = p.depth2 and o.id < p.id))
+  where p.depth2 >= {LEAST_PEAK} and o.id is null
+  union
+  select label, arg_min(id, (-depth2, id)) from depths group by label),
+edges as materialized (
+  select p.label, l.a, l.b, ((4096 - least(p.depth2, q.depth2)) * 2048 + l.first % 2048) * 2 + l.down as place
+  from links l join depths p on p.id = l.a join depths q on q.id = l.b where p.label in (select label from peaks group by label having count(*) > 1)),
+flooded(id, label, peak) using key (id) as (
+  select id, label, id from peaks
+  union
+  select arg_min(e.b, e.place), e.label, arg_min(f.peak, e.place)
+  from recurring.flooded f join edges e on e.a = f.id anti join recurring.flooded g on g.id = e.b
+  group by e.label),
+parted as (
+  select d.image_id, d.label, d.depth2, coalesce(f.peak, p.id) as peak from depths d left join flooded f using (id)
+  left join (select label, min(id) as id from peaks group by label having count(*) = 1) p on p.label = d.label)"""
+_TREE = f"""cells as (select image_id, y, x, least(box // {FIELD_STEP}, {FIELD_LEVELS}) as level from boxes),
+lit as materialized (
+  select image_id, z, y, x, (image_id::bigint * 16 + z) * 2048 + y * {FIELD_WIDTH} + x as id
+  from (select image_id, unnest(range(1, level + 1)) as z, y, x from cells where level > 0)),
+ahead as (
+  select a.id as a, b.id as b from lit a join lit b on a.image_id = b.image_id and a.z = b.z and a.y = b.y and a.x + 1 = b.x
+  union all
+  select a.id, b.id from lit a join lit b on a.image_id = b.image_id and a.z = b.z and a.y + 1 = b.y and a.x = b.x),
+links as materialized (select a, b from ahead union all select b, a from ahead),
+labels(id, label) using key (id) as (
+  select id, id from lit
+  union
+  select b, low from (select l.b, min(n.label) as low from labels n join links l on l.a = n.id group by l.b) s join recurring.labels r on r.id = s.b where low < r.label),
+sets as (select label, count(*) as area, label // 2048 // 16 as image, (label // 2048) % 16 as z, label % 2048 as c from labels group by label),
+nodes as (select image, c, area, max(z) as level, min(z) as base from sets group by all),
+lower_sets as (
+  select n.image, n.c, n.area, n.level, n.base, s.c as parent, s.area as parent_area, (s.area - n.area) / n.area as growth
+  from nodes n left join labels l on l.id = (n.image * 16 + n.base - 1) * 2048 + n.c left join sets s on s.label = l.label),
+children as (select image, parent, parent_area, min(growth) as child_growth, count(*) as n_children from lower_sets where parent is not null group by all)"""
+
 ORACLE_SQL: dict[str, str] = {
     "raster_threshold": f"with {_CELLS} select image_id, z, count(*) as n_cells, sum(value) as total from cells group by all",
     "raster_runs": f"with {_CELLS}, {_RUNS} select image_id, z, y, x0, x1, value from runs",
@@ -111,4 +226,18 @@ ORACLE_SQL: dict[str, str] = {
         select image_id, seed_z, seed_y, seed_x, area, z0, z1, y0, y1, x0, x1, sum_y / area as centre_y, sum_x / area as centre_x, total / area as mean_value, fill,
                case when longest >= 4 * shortest or (fill < 0.25 and longest >= 8) then 'crack' when fill >= 0.5 then 'pore' else 'other' end as defect
         from measured""",
+    "raster_local": f"""with {_FIELD} select image_id, y, x, value, box from boxes
+        where value * (least(y + {RADIUS}, {FIELD_HEIGHT - 1}) - greatest(y - {RADIUS}, 0) + 1) * (least(x + {RADIUS}, {FIELD_WIDTH - 1}) - greatest(x - {RADIUS}, 0) + 1) > box""",
+    "raster_depths": f"""with recursive {_FIELD}, {_LIT}
+        select any_value(image_id) as image_id, {_Y.format("label")} as seed_y, {_X.format("label")} as seed_x, count(*) as area, max(depth2) as depth2,
+               arg_min(y, (-depth2, id)) as deep_y, arg_min(x, (-depth2, id)) as deep_x from depths group by label""",
+    "raster_parts": f"""with recursive {_FIELD}, {_LIT}, {_PARTS}
+        select any_value(image_id) as image_id, {_Y.format("label")} as seed_y, {_X.format("label")} as seed_x, {_Y.format("peak")} as peak_y, {_X.format("peak")} as peak_x,
+               max(depth2) as depth2, count(*) as area, count(*) over (partition by label) as n_parts from parted group by label, peak""",
+    "raster_tree": f"""with recursive {_FIELD}, {_TREE}
+        select a.image::varchar as image_id, a.level, a.base, {_Y.format("a.c")} as seed_y, {_X.format("a.c")} as seed_x, a.area, p.level as parent_level,
+               {_Y.format("a.parent")} as parent_y, {_X.format("a.parent")} as parent_x, a.parent_area, a.growth, coalesce(c.n_children, 0) as n_children,
+               (a.growth is not null and a.area >= 2 and a.growth <= coalesce(p.growth, a.growth) and a.growth <= coalesce(c.child_growth, a.growth)) as stable
+        from lower_sets a left join lower_sets p on p.image = a.image and p.c = a.parent and p.area = a.parent_area
+        left join children c on c.image = a.image and c.parent = a.c and c.parent_area = a.area""",
 }
