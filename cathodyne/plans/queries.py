@@ -60,7 +60,7 @@ def raster_defects(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Rows and columns of a field, days of a row, and the cells around each that its sum takes in.
 FIELD_HEIGHT, FIELD_WIDTH, FIELD_DAYS, RADIUS = 61, 32, 6, 2
 #: Least sum of a lit cell of a field, steps of a level of the tree, and levels.
-FIELD_LIT, FIELD_STEP, FIELD_LEVELS = 8, 2, 9
+FIELD_LIT, FIELD_STEP, FIELD_LEVELS = 9, 2, 9
 #: Cells within which a peak is alone, and its least squared depth.
 REACH, LEAST_PEAK = 2, 2
 
