@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cathodyne.llm.common import keep, new_path
+from cathodyne.llm.common import new_path
 from cathodyne.llm.decontaminate import find_leaks
 from cathodyne.llm.language import identify, train
 from cathodyne.llm.license_texts import TEMPLATES
@@ -21,7 +21,7 @@ from cathodyne.llm.simhash import simhash_groups
 from cathodyne.llm.spelling import spelling_variants
 from cathodyne.llm.surrogates import KINDS, replace_entities
 from cathodyne.llm.token_counts import count_tokens
-from cathodyne.llm.vector_dedup import audit_recall, near_vectors
+from cathodyne.llm.vector_dedup import audited_vectors
 from cathodyne.llm.whitening import whiten
 
 
@@ -74,13 +74,8 @@ def op7_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """With ``recall``, which the audit measures on the rows whose id is divisible by 20; below 0.9 the result is refused."""
-    vectors = _table(spark, sf_dir, "embeddings")
-    out = keep(near_vectors(vectors, threshold=0.98), "near-vectors")
-    recall = audit_recall(vectors, out, threshold=0.98)
-    if recall < 0.9:
-        raise RuntimeError(f"recall of the graph search is {recall:.3f}")
-    return out.withColumn("recall", F.lit(recall))
+    """With ``recall``, which the audit measures on the rows whose id is divisible by 20."""
+    return audited_vectors(_table(spark, sf_dir, "embeddings"), threshold=0.98)
 
 
 def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

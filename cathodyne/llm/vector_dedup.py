@@ -111,15 +111,16 @@ def connect(x: np.ndarray, edges: np.ndarray, start: int) -> np.ndarray:
     return edges
 
 
-def range_search(x: np.ndarray, edges: np.ndarray, start: int, query: int, threshold: float) -> np.ndarray:
-    """Nodes found with cosine to ``query`` of at least ``threshold``.
+def range_search(x: np.ndarray, edges: np.ndarray, start: int, query: int | np.ndarray, threshold: float) -> np.ndarray:
+    """Nodes found with cosine to ``query``, a node or a unit vector, of at least ``threshold``.
 
     A greedy beam walks from ``start`` towards the query; once it stands still, every node within the
     slack of the threshold is expanded, until that finds no more.
     """
     cos = np.full(len(x), -2.0)
     done = np.zeros(len(x), bool)
-    cos[start] = x[start] @ x[query]
+    asked = query if isinstance(query, np.ndarray) else x[query]
+    cos[start] = x[start] @ asked
     seen = [start]
     front = np.array([start])
     while len(front):
@@ -127,7 +128,7 @@ def range_search(x: np.ndarray, edges: np.ndarray, start: int, query: int, thres
         ahead = np.unique(edges[front])
         ahead = ahead[(ahead >= 0) & (cos[ahead] < -1.5)]
         if len(ahead):
-            cos[ahead] = x[ahead] @ x[query]
+            cos[ahead] = x[ahead] @ asked
             seen.extend(ahead.tolist())
         known = np.array(seen)
         best = known[np.argpartition(-cos[known], BEAM)[:BEAM]] if len(known) > BEAM else known
@@ -146,18 +147,24 @@ def _build(unit: pd.DataFrame) -> pd.DataFrame:
 
 
 def _search(threshold: float):
+    """Looks for the links of a unit's nodes by its graph, or, where it has guests, for theirs only."""
+
     def search(unit: pd.DataFrame) -> pd.DataFrame:
         unit = unit.sort_values("node", ignore_index=True)
-        x, nodes = _unit_rows(unit["vec"]), unit["node"].to_numpy()
-        lists = [np.unique(np.searchsorted(nodes, e[np.isin(e, nodes)])) for e in unit["edges"]]
-        edges = np.full((len(x), max(1, max(map(len, lists)))), -1)
-        for k, e in enumerate(lists):
-            edges[k, : len(e)] = e
-        start = medoid(x)
-        edges = connect(x, edges, start)
+        x, nodes, guest = _unit_rows(unit["vec"]), unit["node"].to_numpy(), unit["guest"].to_numpy(bool)
+        here, i, j, block, home, second = unit["shard"].iloc[0], unit["i"].iloc[0], unit["j"].iloc[0], *(unit[c].to_numpy() for c in ("block", "home", "second"))
+        index = np.flatnonzero(~guest)
         linked = np.zeros((len(x), len(x)), bool)
-        for q in range(len(x)):
-            linked[q, range_search(x, edges, start, q, threshold - 1e-9)] = True
+        if len(index):
+            own = nodes[index]
+            lists = [np.unique(np.searchsorted(own, e[np.isin(e, own)])) for e in unit["edges"].iloc[index]]
+            edges = np.full((len(index), max(1, max(map(len, lists)))), -1)
+            for k, e in enumerate(lists):
+                edges[k, : len(e)] = e
+            start = medoid(x[index])
+            edges = connect(x[index], edges, start)
+            for q in np.flatnonzero(guest) if guest.any() else index:
+                linked[q, index[range_search(x[index], edges, start, x[q], threshold - 1e-9)]] = True
         linked |= linked.T
         np.fill_diagonal(linked, False)
         # The exact test, in double precision on the vectors as they are.
@@ -168,13 +175,11 @@ def _search(threshold: float):
         for s in range(0, len(a), 1 << 16):
             p, q = a[s : s + (1 << 16)], b[s : s + (1 << 16)]
             linked[p, q] = (raw[p] * raw[q]).sum(1) / (norms[p] * norms[q]) >= threshold
-        # A pair counts in one unit of each shard that both are in; of two such shards, see near_vectors.
-        first, other, block = (unit[c].to_numpy() for c in ("shard_a", "shard_b", "block"))
-        here, i, j = unit["shard"].iloc[0], unit["i"].iloc[0], unit["j"].iloc[0]
-        second = np.where(first == here, other, first)  # the other shard of each
-        shared = (second[:, None] == second[None, :]) & (second != here)[:, None]
-        counted = linked & (True if i == j else block[:, None] != block[None, :])
-        copies = unit["copies"].to_numpy()
+        if i != j and not guest.any():  # pairs within a block are those of another unit
+            linked &= block[:, None] != block[None, :]
+        # A node counts its links to nodes whose nearest centroid is this shard's, so each link counts once.
+        links = (linked & (home == here)[None, :]) @ unit["copies"].to_numpy()
+        reach = [np.unique(np.concatenate([home[row], second[row]])) for row in linked]
         root = np.arange(len(x))
         for k in range(len(x)):  # spanning links: to the smallest node of the unit's component
             if root[k] == k:
@@ -182,23 +187,29 @@ def _search(threshold: float):
                 while len(front):
                     front = np.flatnonzero(linked[front].any(0) & (root > k) & (np.arange(len(x)) > k))
                     root[front] = k
-        return pd.DataFrame({"node": nodes, "shard": here, "alone": (counted & ~shared) @ copies, "shared": (counted & shared) @ copies, "root": nodes[root]})
+        return pd.DataFrame({"node": nodes, "links": np.where(guest | ~guest.any(), links, 0), "root": nodes[root], "reach": reach})
 
     return search
 
 
-def near_vectors(vectors: DataFrame, threshold: float = 0.98, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
+_FOUND = "node long, links long, root long, reach array<int>"
+
+
+def near_vectors(vectors: DataFrame, threshold: float = 0.98, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", whole: bool = False) -> DataFrame:
     """One row per vector: (id, n_links, component_id, kept). Vectors of one label link at a cosine of ``threshold`` or more.
 
     Equal vectors of one label are one node. Each node joins the shards of its two nearest centroids;
     shards get robust-pruned graphs, a node's neighbours from all its shards are united, and a
     range-expanding greedy search from the shard's medoid looks for each node's links, which are then
-    tested in double precision. A shard above ``BLOCK`` nodes is dealt out in blocks, every two of
-    which make a unit of their own, so no unit grows with the data and no two nodes of a shard fail
-    to meet.
+    tested in double precision. Walks go on across shards: a node asks, as a guest, every further shard
+    that a node linked to it belongs to, round by round until no link leads anywhere new. So a cloud that
+    centroids cut is walked through, and where nothing is near nobody travels. A node counts the
+    links to nodes whose nearest centroid is that of the shard, so each counts once.
 
-    A pair of vectors that lie in the same two shards is looked for in both; a vector's ``n_links`` takes
-    the shard that found more of them. Recall is measured by ``audit_recall``.
+    A shard above ``BLOCK`` nodes is dealt out in blocks, every two of
+    which make a unit of their own, so no unit grows with the data and no two nodes of a shard fail
+    to meet; guests meet every block. With ``whole`` all nodes of a label are in one shard, so that all its blocks meet. Recall is measured by
+    ``audit_recall``; ``audited_vectors`` turns to whole labels where it is too low.
 
     A vector that is null, empty or zero, that holds null or non-finite components, or whose label is
     null links with nothing; vectors of different length neither. Null ids keep their rows and are
@@ -212,15 +223,9 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, id_col: str = "vec
     nodes = rows.where("node is not null").groupBy("node").agg(F.first("label").alias("label"), F.first("vec").alias("vec"), F.count("*").alias("copies"), F.min("vec_id").alias("least"))
     nodes = keep(nodes.withColumn("dim", F.size("vec")), "nodes")
 
-    members = keep(_members(nodes), "members")
-    adjacency = members.groupBy(*_UNIT).applyInPandas(_build, "node long, edges array<long>")
-    united = keep(adjacency.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("edges"))).alias("edges")), "adjacency")
-    found = members.join(united, "node").groupBy(*_UNIT).applyInPandas(_search(threshold), "node long, shard int, alone long, shared long, root long")
-    found = keep(found, "found")
+    found = keep(_links(_placed(nodes, whole), threshold), "found")
     components = connected_components(found.select(F.col("node").alias("a"), F.col("root").alias("b"))).withColumnRenamed("id", "node")
-    # Links to vectors of the same two shards were looked for in both; the shard that found more counts.
-    links = found.groupBy("node", "shard").agg(F.sum("alone").alias("alone"), F.sum("shared").alias("shared"))
-    links = links.groupBy("node").agg((F.sum("alone") + F.max("shared")).alias("links"))
+    links = found.groupBy("node").agg(F.sum("links").alias("links"))
     of_node = nodes.select("node", "copies", "least").join(links, "node").join(components, "node", "left")
     of_node = of_node.withColumn("component", F.coalesce("component", "node"))
     least = of_node.groupBy("component").agg(F.min("least").alias("component_id"))
@@ -229,11 +234,21 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, id_col: str = "vec
     return out.select(F.col("vec_id").alias(id_col), F.coalesce("n_links", F.lit(0)).alias("n_links"), "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
-def _members(nodes: DataFrame) -> DataFrame:
-    """Each node in each unit it belongs to: two shards, and there the pairs of blocks that hold its block."""
+def audited_vectors(vectors: DataFrame, threshold: float = 0.98, least: float = 0.9, **columns: str) -> DataFrame:
+    """The result of ``near_vectors`` with its audited ``recall``; below ``least`` that of whole labels, in which all blocks meet."""
+    for whole in (False, True):
+        out = keep(near_vectors(vectors, threshold, whole=whole, **columns), "near-vectors")
+        recall = audit_recall(vectors, out, threshold, **columns)
+        if recall >= least:
+            break
+    return out.withColumn("recall", F.lit(recall))
+
+
+def _placed(nodes: DataFrame, whole: bool) -> DataFrame:
+    """Nodes with the shards of their nearest (``home``) and next centroid (``second``)."""
     spark = nodes.sparkSession
     sizes = nodes.groupBy("dim", "label").count().groupBy("dim").agg(F.sum("count").alias("n"), F.max("count").alias("most")).collect()  # a row per length of vector
-    centroids = {r.dim: centroids_of(nodes, r.dim, r.n, min(MOST_CENTROIDS, max(2, math.ceil(2 * r.most / SHARD)))) for r in sizes}
+    centroids = {r.dim: np.eye(1, r.dim) if whole else centroids_of(nodes, r.dim, r.n, min(MOST_CENTROIDS, max(2, math.ceil(2 * r.most / SHARD)))) for r in sizes}
     shared = spark.sparkContext.broadcast(centroids)  # at most MOST_CENTROIDS vectors of each length
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -241,16 +256,47 @@ def _members(nodes: DataFrame) -> DataFrame:
             for dim, part in batch.groupby("dim"):
                 c = shared.value[dim]
                 order = np.argsort(-(_unit_rows(part["vec"]) @ c.T), axis=1)[:, :2]
-                yield part.assign(shard_a=order[:, 0], shard_b=order[:, -1])
-
-    placed = nodes.select("node", "label", "dim", "vec", "copies").mapInPandas(assign, "node long, label string, dim int, vec array<double>, copies long, shard_a int, shard_b int")
-    placed = keep(placed.withColumn("shard", F.explode(F.array_distinct(F.array("shard_a", "shard_b")))), "placed")
-    blocks = placed.groupBy("label", "dim", "shard").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    block = F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks")).cast("int")
-    dealt = placed.join(blocks, ["label", "dim", "shard"]).withColumn("block", block)
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    units = dealt.withColumn("with", other).withColumn("i", F.least("block", "with")).withColumn("j", F.greatest("block", "with"))
-    return units.drop("with", "blocks")
+                yield part.assign(home=order[:, 0], second=order[:, -1])
+
+    placed = nodes.select("node", "label", "dim", "vec", "copies").mapInPandas(assign, "node long, label string, dim int, vec array<double>, copies long, home int, second int")
+    return keep(placed, "placed")
+
+
+def _block(blocks: str) -> Column:
+    return F.pmod(F.xxhash64("node", F.lit("block")), F.col(blocks)).cast("int")
+
+
+def _blocks(rows: DataFrame, name: str) -> DataFrame:
+    return rows.groupBy(*_UNIT[:3]).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
+
+
+def _links(placed: DataFrame, threshold: float) -> DataFrame:
+    """Rows (node, links, root, reach) of all units: first those of the shards, then those of guests in further shards."""
+    members = placed.withColumn("shard", F.explode(F.array_distinct(F.array("home", "second"))))
+    dealt = members.join(_blocks(members, "blocks"), _UNIT[:3]).withColumn("block", _block("blocks"))
+    units = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("block", "with")).withColumn("j", F.greatest("block", "with"))
+    units = keep(units.drop("with", "blocks").withColumn("guest", F.lit(False)), "members")
+    adjacency = units.groupBy(*_UNIT).applyInPandas(_build, "node long, edges array<long>")
+    united = keep(adjacency.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("edges"))).alias("edges")), "adjacency")
+    found = keep(units.join(united, "node").groupBy(*_UNIT).applyInPandas(_search(threshold), _FOUND), "found")
+    known = members.select("node", "shard")
+    at_home = placed.join(united, "node").withColumn("shard", F.col("home"))
+    at_home = at_home.join(_blocks(at_home, "blocks"), _UNIT[:3]).withColumn("block", _block("blocks")).withColumn("guest", F.lit(False))
+    new = found
+    while True:
+        asked = new.select("node", F.explode("reach").alias("shard")).distinct().join(known, ["node", "shard"], "left_anti")
+        asked = keep(asked, "guests")
+        if asked.isEmpty():
+            return found
+        guests = asked.join(placed, "node")
+        counts = guests.join(_blocks(guests, "asking"), _UNIT[:3]).join(at_home.select(*_UNIT[:3], "blocks").distinct(), _UNIT[:3])
+        guests = counts.withColumn("i", _block("asking")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        guests = guests.withColumn("block", F.lit(-1)).withColumn("guest", F.lit(True)).withColumn("edges", F.lit(None).cast("array<long>"))
+        hosts = at_home.join(counts.select(*_UNIT[:3], "asking").distinct(), _UNIT[:3])
+        hosts = hosts.withColumn("j", F.col("block")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("asking") - 1)))
+        columns = [*_UNIT, "node", "vec", "copies", "home", "second", "block", "guest", "edges"]
+        new = keep(guests.select(*columns).unionByName(hosts.select(*columns)).groupBy(*_UNIT).applyInPandas(_search(threshold), _FOUND), "found")
+        known, found = known.unionByName(asked), found.unionByName(new)
 
 
 def audit_recall(vectors: DataFrame, result: DataFrame, threshold: float = 0.98, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", block: int = 2000) -> float:

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cathodyne.llm import vector_dedup
-from cathodyne.llm.vector_dedup import _reachable, audit_recall, connect, medoid, near_vectors, range_search, robust_prune
+from cathodyne.llm.vector_dedup import _reachable, audit_recall, audited_vectors, connect, medoid, near_vectors, range_search, robust_prune
 
 
 def table(spark, rows):
@@ -92,3 +92,31 @@ def test_repeated_rows_are_vectors_of_their_own(spark):
 def test_small_tables(spark, rows):
     assert result(near_vectors(table(spark, rows))) == expected(rows)
     assert table(spark, rows).where(F.lit(True)).count() == len(rows)
+
+
+def test_a_dense_cloud_that_centroids_cut(spark, monkeypatch):
+    monkeypatch.setattr(vector_dedup, "SHARD", 150)
+    rng = np.random.default_rng(21)
+    centre = rng.normal(size=16)
+    x = (centre / np.linalg.norm(centre) + 0.035 * rng.normal(size=(700, 16))).astype(np.float32)
+    label = np.where(np.arange(len(x)) < 500, 1, 2)
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    linked = (unit @ unit.T >= 0.98) & (label[:, None] == label[None, :])
+    component = np.arange(len(x))
+    while (step := np.where(linked, component[None, :], len(x)).min(1)).tolist() != component.tolist():
+        component = step
+    np.fill_diagonal(linked, False)
+    assert 0.1 < linked.mean() < 0.5
+    out = {r.vec_id: r for r in audited_vectors(table(spark, [(k, v.tolist(), int(c)) for k, (v, c) in enumerate(zip(x, label))])).collect()}
+    got = np.array([out[k].n_links for k in range(len(x))])
+    assert (got <= linked.sum(1)).all() and got.sum() >= 0.98 * linked.sum()
+    assert [out[k].component_id for k in range(len(x))] == component.tolist() and out[0].recall >= 0.98
+
+
+def test_low_recall_turns_to_whole_labels(spark, monkeypatch):
+    asked = []
+    real = vector_dedup.near_vectors
+    monkeypatch.setattr(vector_dedup, "near_vectors", lambda *a, whole, **k: asked.append(whole) or (real(*a, whole=True, **k) if whole else real(a[0], 0.999999)))
+    rows = vectors(5, 300)
+    out = audited_vectors(table(spark, rows))
+    assert asked == [False, True] and result(out) == expected(rows) and out.first().recall == 1.0
