@@ -25,7 +25,7 @@ BROADCAST_ROWS = 500_000
 CROWD = 300
 #: Bands of least hashes and the hashes of each: at a similarity of 0.8 one pair in 14,000 shares no band.
 BANDS, ROWS = 24, 5
-#: Blocks of a connected set of texts that are compared with one another; a larger set is compared bucket by bucket.
+#: Blocks of a connected set of texts that are looked at together; a larger set is looked at bucket by bucket.
 MOST_BLOCKS = 8
 #: Rows and cells of a tile of pairs.
 TILE, CELLS = 512, 1 << 22
@@ -286,8 +286,8 @@ def unite_near(values: np.ndarray, root: np.ndarray, max_bits: int) -> None:
         unite(root, p + a, q + a)
 
 
-def unite_alike(sets: list[np.ndarray], root: np.ndarray, similarity: float) -> None:
-    """Unites, in ``root``, all sets of hashes with at least that Jaccard similarity.
+def unite_alike(sets: list[np.ndarray], root: np.ndarray, similarity: float, buckets: list[np.ndarray] | None = None) -> None:
+    """Unites, in ``root``, all sets of hashes with at least that Jaccard similarity, if they share one of their ``buckets``.
 
     Sets are counted into cells by the low bits of their hashes; the product of two rows of cells is
     at least the size of what they share, so it leaves out pairs exactly. The others are intersected.
@@ -302,6 +302,8 @@ def unite_alike(sets: list[np.ndarray], root: np.ndarray, similarity: float) ->
         return np.bincount(at, minlength=(b - a) * width).reshape(b - a, width).astype(np.float32)
 
     def alike(p: int, q: int) -> bool:
+        if buckets is not None and not np.isin(buckets[p], buckets[q]).any():
+            return False
         a, b = hashes[position[p]], hashes[position[q]]
         common = np.intersect1d(a, b, assume_unique=True).size
         return common >= similarity * (a.size + b.size - common)
@@ -334,10 +336,15 @@ def shingle_set(text: Column, width: int) -> Column:
 
 
 def shingle_sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
-    """Rows (node, set) of the given (node, text_key), from one text of that key each."""
+    """Rows (node, set) of the given (node, text_key, doc_id), from the text of that key and id.
+
+    One document stands for all that have its text, so exact copies do not meet, however many there are.
+    """
     # Few keys go to the texts; many meet the texts in a shuffle.
     nodes = F.broadcast(nodes) if nodes.count() <= BROADCAST_ROWS else nodes.hint("shuffle_hash")
-    texts = docs.select("text_key", "text").join(nodes, "text_key").select("node", "text").dropDuplicates(["node"])
+    d, n = docs.alias("d"), nodes.alias("n")
+    same = (F.col("d.text_key") == F.col("n.text_key")) & F.col("d.doc_id").eqNullSafe(F.col("n.doc_id"))
+    texts = d.join(n, same).select("n.node", "d.text").dropDuplicates(["node"])
     return texts.select("node", shingle_set(F.col("text"), width).alias("set"))
 
 
@@ -345,8 +352,9 @@ def verified_links(docs: DataFrame, nodes: DataFrame, max_bits: int, width: int,
     """Links (a, b) whose components are those of all pairs of that similarity that share a bucket.
 
     Buckets are the components of fingerprints within ``max_bits`` bits and the bands of least
-    hashes. What buckets connect is compared at once, so that a text's shingles travel to one place;
-    only where that is more than ``MOST_BLOCKS`` blocks hold, each bucket is compared by itself.
+    hashes. What buckets connect is looked at together, so that a text's shingles travel to one place;
+    where that is more than ``MOST_BLOCKS`` blocks hold, each bucket is looked at by itself. Either way
+    the pairs that share a bucket are compared, and no others.
     """
     joined = connected_components(hamming_links(keep(nodes.select("fp").distinct(), "values"), max_bits)).withColumnRenamed("id", "fp")
     of_print = nodes.select("fp", "node").join(joined, "fp", "left").select(F.xxhash64(F.lit("fp"), F.coalesce("component", "fp")).alias("bucket"), "node")
@@ -357,14 +365,15 @@ def verified_links(docs: DataFrame, nodes: DataFrame, max_bits: int, width: int,
     reach = connected_components(members.where("least < node").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct())
     # A component's smallest node is not among the ids.
     reach = reach.unionByName(reach.select(F.col("component").alias("id"), "component").distinct())
-    reach = keep(reach.withColumnRenamed("id", "node").join(nodes.select("node", "text_key", F.col("size").alias("load")), "node"), "reach")
+    reach = keep(reach.withColumnRenamed("id", "node").join(nodes.select("node", "text_key", "doc_id", F.col("size").alias("load")), "node"), "reach")
     large = reach.groupBy("component").agg(F.count("*").alias("n"), F.sum("load").alias("load"))
     large = keep(large.where((F.col("n") > MOST_BLOCKS * UNIT_ROWS) | (F.col("load") > MOST_BLOCKS * UNIT_LOAD)).select("component"), "large")
-    sets = keep(shingle_sets(docs, reach.select("node", "text_key"), width), "shingles")
+    own = members.groupBy("node").agg(F.collect_list("bucket").alias("buckets"))  # at most one more than the bands
+    sets = keep(shingle_sets(docs, reach.select("node", "text_key", "doc_id"), width).join(own, "node"), "shingles")
     apart = reach.join(large, "component", "left_anti").select(F.col("component").alias("bucket"), "node", "load")
     if not large.isEmpty():
         apart = apart.unionByName(members.join(reach.join(large, "component", "left_semi"), "node").select("bucket", "node", "load"))
-    return bucket_links(apart, lambda unit, root: unite_alike(list(unit["set"]), root, similarity), payload=sets)
+    return bucket_links(apart, lambda unit, root: unite_alike(list(unit["set"]), root, similarity, list(unit["buckets"])), payload=sets)
 
 
 def simhash_groups(docs: DataFrame, max_bits: int = 4, width: int = 4, similarity: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -390,7 +399,8 @@ def simhash_groups(docs: DataFrame, max_bits: int = 4, width: int = 4, similarit
         links = hamming_links(keep(marked.select("fp").distinct(), "values"), max_bits)
     else:
         marked = keep(docs.select("doc_id", "text_key", shingle_profile(F.col("text"), width).alias("profile")).select("doc_id", "text_key", "profile.*"), "fingerprints")
-        alike = marked.groupBy("node").agg(*[F.first(c).alias(c) for c in ("fp", "size", "bands")], F.min("text_key").alias("text_key"))
+        alike = marked.groupBy("node").agg(*[F.first(c).alias(c) for c in ("fp", "size", "bands")], F.min(F.struct("text_key", "doc_id")).alias("one"))
+        alike = alike.select("node", "fp", "size", "bands", "one.text_key", "one.doc_id")
         links = verified_links(docs, keep(alike, "nodes"), max_bits, width, similarity)
     joined = connected_components(links)
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")

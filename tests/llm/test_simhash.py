@@ -6,6 +6,7 @@ import re
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from cathodyne.llm import buckets, simhash
 from cathodyne.llm.simhash import allocate, drop_near_duplicates, fingerprint, hamming_links, partition_bits, probe, simhash_groups, unite_alike
@@ -187,3 +188,33 @@ def test_one_fingerprint_is_not_one_text(spark):
     assert sorted((d or 0, c or 0) for (d, _), c in by.items()) == [(0, 0), (0, 3), (1, 1), (2, 2), (3, 3), (4, 2), (5, 1), (6, 6), (6, 6)]
     kept = sorted((r.doc_id or 0, r.text) for r in drop_near_duplicates(docs, groups).collect())
     assert kept == sorted([(1, a), (2, b), (3, c), (0, d), (6, "p q r s t u"), (6, "v w x y z o")])
+
+
+def test_the_same_pairs_count_in_small_and_large_sets(spark, monkeypatch):
+    rng = random.Random(13)
+    rows = []
+    for _ in range(12):
+        words = [f"w{rng.randrange(500)}" for _ in range(80)]
+        for _ in range(8):
+            copy = list(words)
+            for _ in range(rng.randrange(5)):
+                copy[rng.randrange(80)] = f"n{rng.randrange(99)}"
+            rows.append((len(rows), " ".join(copy)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("text_key", F.xxhash64("text"))
+    # With two bands only many alike pairs share no bucket.
+    nodes = docs.withColumn("p", simhash.shingle_profile(F.col("text"), 5)).select("doc_id", "text_key", "p.fp", "p.size", F.slice("p.bands", 1, 2).alias("bands"), "p.node").dropDuplicates(["node"])
+    nodes = simhash.keep(nodes, "nodes")
+    known = nodes.collect()
+    by_print = components([r.fp % (1 << 64) for r in known], 4)
+    text = dict(rows)
+    shingles = {r.node: {tuple(w[i : i + 5]) for w in [text[r.doc_id].split()] for i in range(len(w) - 4)} for r in known}
+    alike = lambda s, t: len(s & t) >= 0.8 * len(s | t)
+    meet = lambda a, b: by_print[a.fp % (1 << 64)] == by_print[b.fp % (1 << 64)] or any(x == y for x, y in zip(a.bands, b.bands))
+    similar = [(a, b) for a in known for b in known if a.node < b.node and alike(shingles[a.node], shingles[b.node])]
+    want = joined((a.node, b.node) for a, b in similar if meet(a, b))
+    assert want != joined((a.node, b.node) for a, b in similar)
+    for blocks in (8, 0):
+        monkeypatch.setattr(simhash, "MOST_BLOCKS", blocks)
+        links = simhash.verified_links(docs, nodes, 4, 5, 0.8).collect()
+        got = joined((r.a, r.b) for r in links)
+        assert {r.node: got.get(r.node, r.node) for r in known} == {r.node: want.get(r.node, r.node) for r in known}
