@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 from cathodyne.llm.common import bucketed, connected_components, discard, keep, let
 
 
+#: Different lines that share a segment as they are; where more do, they must share a segment of the rest too.
+CROWD = 500
 #: Letters whose numbers tell lines apart before they are compared.
 LETTERS = "etaoinshrdlucmgp"
 
@@ -53,14 +56,35 @@ def bag_distance(a: Column, b: Column) -> Column:
     return sum((apart(k) for k in range(1, 16)), apart(0))
 
 
-def keys(lines: DataFrame, tau: int, own: bool, name: str) -> DataFrame:
-    """Rows (key, ``name``, bag_``name``) of lines (h, line, n, bag): hashes of substrings with the length and the segment they are for."""
-    at = F.array(*[F.struct(F.lit(less).alias("less"), F.lit(i).alias("i"), F.lit(shift).alias("shift")) for less, i, shift in positions(tau, own)])
-    rows = lines.select("h", "line", "n", "bag", F.explode(at).alias("p")).select("h", "line", "n", "bag", (F.col("n") - F.col("p.less")).alias("length"), F.col("p.i").alias("i"), F.col("p.shift").alias("shift"))
-    start, size = _segment(F.col("length"), F.col("i"), tau)
-    rows = rows.select("h", "line", "n", "bag", "length", "i", (start + F.col("shift")).alias("start"), size.alias("size"))
-    rows = rows.where((F.col("start") >= 1) & (F.col("start") + F.col("size") - 1 <= F.col("n")))
-    return rows.select(F.xxhash64(F.substring("line", F.col("start"), F.col("size")), "length", "i").alias("key"), F.col("h").alias(name), F.col("bag").alias(f"bag_{name}"))
+def by_length(tau: int | Sequence[tuple[int, int]]) -> list[tuple[int, int, int]]:
+    """Edits by length, (from, to, tau), of one ``tau`` for all or of (least characters, tau) steps; a pair goes by its shorter line."""
+    steps = [(1, tau)] if isinstance(tau, int) else sorted(tau)
+    return [(least, after - 1, t) for (least, t), (after, _) in zip(steps, [*steps[1:], (1 << 31, 0)])]
+
+
+def segments(lines: DataFrame, steps: list[tuple[int, int, int]], own: bool) -> DataFrame:
+    """Rows (key, h, line, n, bag, least, most, tau, start, size) of lines (key, h, line, n, whole, bag): hashes of substrings.
+
+    ``whole`` is the length that the steps go by, which is that of the line; ``n`` may be that of what is left of it. A key
+    holds the key before it, the lengths and the segment that the substring is for.
+    """
+    parts = []
+    for least, most, tau in steps:
+        at = F.array(*[F.struct(F.lit(less).alias("less"), F.lit(i).alias("i"), F.lit(shift).alias("shift")) for less, i, shift in positions(tau, own)])
+        rows = lines.where(F.col("whole").between(least, most + (0 if own else tau))).withColumn("p", F.explode(at))
+        length = F.col("n") - F.col("p.less")
+        start, size = _segment(length, F.col("p.i"), tau)
+        rows = rows.select("*", length.alias("length"), (start + F.col("p.shift")).alias("start"), size.alias("size"), (F.col("whole") - F.col("p.less")).alias("shorter"))
+        rows = rows.where(F.col("shorter").between(least, most) & (F.col("start") >= 1) & (F.col("start") + F.col("size") - 1 <= F.col("n")))
+        key = F.xxhash64("key", F.substring("line", F.col("start"), F.col("size")), "length", "p.i", F.lit(tau))
+        parts.append(rows.select(key.alias("key"), "h", "line", "n", "whole", "bag", "start", "size"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _rest(rows: DataFrame) -> DataFrame:
+    """Lines without the segment of their key: what two lines share stands apart, and the rest is within the same edits."""
+    line = F.concat(F.substring("line", F.lit(1), F.col("start") - 1), F.substring("line", F.col("start") + F.col("size"), F.col("n")))
+    return rows.select("key", "h", line.alias("line"), (F.col("n") - F.col("size")).alias("n"), "whole", "bag")
 
 
 def _common(a: Column, b: Column, limit: Column, part: Callable[[Column, Column], Column]) -> Column:
@@ -138,20 +162,40 @@ def within(a: Column, b: Column, tau: int) -> Column:
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows (doc_id, line_no, line, h): lines between line feeds, without ASCII white space at the ends, and their 64-bit hash."""
-    exploded = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(F.col(text_col), "\n")).alias("line_no", "line"))
-    return exploded.select("doc_id", "line_no", F.trim("line", F.lit(" \t\r\x0b\x0c")).alias("line")).withColumn("h", F.xxhash64("line"))
+    """Rows (doc_id, text_key, line_no, line, h): lines between line feeds, without ASCII white space at the ends, and their 64-bit hash."""
+    exploded = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.posexplode(F.split(F.col(text_col), "\n")).alias("line_no", "line"))
+    return exploded.select("doc_id", "text_key", "line_no", F.trim("line", F.lit(" \t\r\x0b\x0c")).alias("line")).withColumn("h", F.xxhash64("line"))
 
 
-def line_links(distinct_lines: DataFrame, tau: int) -> DataFrame:
+def line_links(distinct_lines: DataFrame, tau: int | Sequence[tuple[int, int]]) -> DataFrame:
     """Pairs (a, b), a < b, of hashes of different lines within ``tau`` edits; ``distinct_lines`` has (h, line, n, bag), a row per line.
 
-    Lines that share a segment but differ by a word would meet in great numbers where a text has many
-    variants; the join itself leaves out those whose letters differ too much for ``tau`` edits.
+    With steps for ``tau`` a pair is within the edits of its shorter line. Lines that share a segment but differ by a
+    word would meet in great numbers where a text has many variants. A segment that more than ``CROWD`` lines have is no
+    key by itself: what is left of its lines is within the same edits, so those that link share a segment
+    of the rest as well, and both make the key, and so on while a rest is long enough. The join itself leaves out
+    lines whose letters differ too much.
     """
+    steps = by_length(tau)
+    most = max(t for *_, t in steps)
     parts = 4 * distinct_lines.sparkSession.sparkContext.defaultParallelism
-    probe, index = keys(distinct_lines, tau, False, "p"), keys(distinct_lines, tau, True, "i")
-    alike = (F.col("p") != F.col("i")) & (bag_distance(F.col("bag_p"), F.col("bag_i")) <= 2 * tau)
+    lines = distinct_lines.select(F.lit(0).cast("long").alias("key"), "h", "line", "n", F.col("n").alias("whole"), "bag")
+    level = {own: segments(lines, steps, own) for own in (False, True)}
+    done: dict[bool, DataFrame] = {}
+    while True:
+        crowded = level[True].groupBy("key").agg(F.count("*").alias("rows"), F.min("n").alias("n"))
+        crowded = keep(crowded.where((F.col("rows") > CROWD) & (F.col("n") > 3 * most)).select("key"), "crowded")
+        last = crowded.isEmpty()
+        for own, rows in level.items():
+            name = "i" if own else "p"
+            plain = rows if last else rows.join(crowded, "key", "left_anti")
+            plain = plain.select("key", F.col("h").alias(name), F.col("bag").alias(f"bag_{name}"))
+            done[own] = done[own].unionByName(plain) if own in done else plain
+        if last:
+            break
+        level = {own: keep(segments(_rest(rows.join(crowded, "key", "left_semi")), steps, own), "segments") for own, rows in level.items()}
+    probe, index = done[False], done[True]
+    alike = (F.col("p") != F.col("i")) & (bag_distance(F.col("bag_p"), F.col("bag_i")) <= 2 * most)
     meet = probe.join(index, "key").where(alike).select(F.least("p", "i").alias("a"), F.greatest("p", "i").alias("b")).distinct()
     pairs = keep(meet, "pairs")
     involved = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
@@ -159,29 +203,33 @@ def line_links(distinct_lines: DataFrame, tau: int) -> DataFrame:
     # The test takes long for a row's size, so its rows are dealt out by number and not by bytes.
     a, b = (texts.select(F.col("h").alias(x), F.col("line").alias(f"line_{x}")).repartition(parts, x) for x in "ab")
     both = pairs.repartition(parts, "a").join(a, "a").repartition(parts, "b").join(b, "b")
-    return both.where(within(F.col("line_a"), F.col("line_b"), tau)).select("a", "b")
+    shorter = F.least(F.length("line_a"), F.length("line_b"))
+    near = reduce(lambda out, step: F.when(shorter >= step[0], within(F.col("line_a"), F.col("line_b"), step[2])).otherwise(out), steps, F.lit(False))
+    return both.where(near).select("a", "b")
 
 
-def line_classes(docs: DataFrame, tau: int = 2, min_chars: int = 32, exact_chars: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def line_classes(docs: DataFrame, tau: int | Sequence[tuple[int, int]] = 2, min_chars: int = 32, exact_chars: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per line of each document: (id, line_no, n_chars, class_id, n_links, kept).
 
-    Lines of at least ``min_chars`` characters link if they are within ``tau`` edits; a class is what
+    Lines of at least ``min_chars`` characters link if they are within ``tau`` edits, or within those of the shorter line
+    where ``tau`` has (least characters, edits) steps; a class is what
     links connect, and its first line by id and place is ``kept``. ``n_links`` counts the different
     lines linked directly. Of shorter lines, those of at least ``exact_chars`` characters are in a class
     with their exact repeats only; the rest, all shorter ones by default, are kept, in no class. Lines are
     known by a 64-bit hash; of a billion different lines, about one pair in 37 such corpora shares one.
 
-    A null text has no lines, an empty text one empty line. Null ids sort first. Rows that repeat an
+    A null text has no lines, an empty text one empty line. Null ids sort first. Rows that share an id, or have none, are
+    told apart by a 64-bit hash of their texts, the smaller first. Rows that repeat an
     id and its text count as one place, so all of them are kept or none; of other ties the place that
     sorts first is kept. Lines of any length are read and compared whole. An empty table gives an empty
     one. Other columns are not read.
     """
-    if min_chars <= 2 * tau:
-        raise ValueError("min_chars must be above 2 tau, so that segments hold something")
+    if any(max(low, min_chars) <= 2 * edits for low, _, edits in by_length(tau)):
+        raise ValueError("lines must have more than 2 tau characters, so that segments hold something")
     least = min_chars if exact_chars is None else min(exact_chars, min_chars)
     lines = lines_of(docs, id_col, text_col)
     classed = lines.where(F.length("line") >= least)
-    place = F.struct("doc_id", "line_no")
+    place = F.struct("doc_id", "line_no", "text_key")
     known = classed.groupBy("h").agg(F.first("line").alias("line"), F.min(place).alias("first"), F.count("*").alias("rows"))
     known = table = bucketed(known.withColumn("n", F.length("line")).withColumn("bag", letter_bag(F.col("line"))), "h")
     links = keep(line_links(known.where(F.col("n") >= min_chars).select("h", "line", "n", "bag"), tau), "line-links")
@@ -192,9 +240,9 @@ def line_classes(docs: DataFrame, tau: int = 2, min_chars: int = 32, exact_chars
     discard(table)
     firsts = marked.groupBy("class_id").agg(F.min("first").alias("class_first"))
     marked = marked.join(firsts, "class_id").select("h", "class_id", "n_links", "class_first")
-    narrow = lines.select("doc_id", "line_no", F.length("line").alias("n_chars"), F.when(F.length("line") >= least, F.col("h")).alias("h"))
+    narrow = lines.select("doc_id", "text_key", "line_no", F.length("line").alias("n_chars"), F.when(F.length("line") >= least, F.col("h")).alias("h"))
     placed = narrow.join(marked, "h", "left")
-    is_first = F.col("doc_id").eqNullSafe(F.col("class_first.doc_id")) & (F.col("line_no") == F.col("class_first.line_no"))
+    is_first = F.col("doc_id").eqNullSafe(F.col("class_first.doc_id")) & (F.col("line_no") == F.col("class_first.line_no")) & (F.col("text_key") == F.col("class_first.text_key"))
     return placed.select(
         F.col("doc_id").alias(id_col), "line_no", "n_chars", F.coalesce("class_id", "h").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), (F.col("class_id").isNull() | is_first).alias("kept")
     )

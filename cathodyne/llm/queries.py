@@ -79,8 +79,8 @@ def op8_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tau = 2  # the join needs lines of more than 2 tau characters; exact repeats need one
-    lines = line_classes(_table(spark, sf_dir, "documents"), tau=tau, min_chars=2 * tau + 1, exact_chars=1)
+    # Fewer edits in shorter lines, as two of them make another word; below 9 characters exact repeats only.
+    lines = line_classes(_table(spark, sf_dir, "documents"), tau=((9, 1), (17, 2)), min_chars=9, exact_chars=1)
     dropped = F.when(F.col("kept"), 0).otherwise(1)
     return lines.groupBy("doc_id").agg(
         F.count("*").alias("n_lines"), F.sum(dropped).alias("n_dropped"), F.sum(dropped * F.col("n_chars")).alias("chars_dropped"), F.sum("n_links").alias("n_links")

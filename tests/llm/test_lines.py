@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from cathodyne.llm import queries
+from cathodyne.llm import line_dedup, queries
 from cathodyne.llm.line_dedup import bag_distance, letter_bag, line_classes, line_links, positions, within
 
 
@@ -57,16 +57,19 @@ def test_few_substrings_are_looked_up():
     assert len(positions(2, own=False)) == 12 and len(positions(2, own=True)) == 3
 
 
-@pytest.mark.parametrize("tau", [1, 2])
-def test_links_are_all_pairs(spark, tau):
-    rng = random.Random(20 + tau)
+@pytest.mark.parametrize("tau, crowd", [(1, 500), (2, 500), (1, 2), (2, 2), (((5, 0), (9, 1), (17, 2)), 500), (((5, 0), (9, 1), (17, 2)), 2)])
+def test_links_are_all_pairs(spark, monkeypatch, tau, crowd):
+    monkeypatch.setattr(line_dedup, "CROWD", crowd)
+    steps = [(1, tau)] if isinstance(tau, int) else tau
+    most = steps[-1][1]
+    rng = random.Random(20 + most)
     lines = set()
     for _ in range(40):
         base = "".join(rng.choice("abcdé ") for _ in range(rng.randint(9, 30)))
         lines |= {edited(rng, base, rng.randint(0, 4), "abcdé ") for _ in range(8)}
-    lines = sorted(x for x in lines if len(x) > 2 * tau)
+    lines = sorted(x for x in lines if len(x) > max(4, 2 * most))
     df = spark.createDataFrame([(k, x) for k, x in enumerate(lines)], "h long, line string").withColumn("n", F.length("line")).withColumn("bag", letter_bag(F.col("line")))
-    want = {(i, j) for i, a in enumerate(lines) for j, b in enumerate(lines) if i < j and distance(a, b) <= tau}
+    want = {(i, j) for i, a in enumerate(lines) for j, b in enumerate(lines) if i < j and distance(a, b) <= max(t for least, t in steps if min(len(a), len(b)) >= least)}
     assert {tuple(r) for r in line_links(df, tau).collect()} == want and want
 
 
@@ -112,3 +115,36 @@ def test_the_query_classes_short_lines(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: (r.n_lines, r.n_dropped, r.chars_dropped, r.n_links) for r in queries.op9_lines(spark, str(tmp_path)).collect()}
     assert got == {1: (4, 1, 2, 1), 2: (3, 2, 12, 1), 3: (2, 0, 0, 0), 4: (1, 0, 0, 0)}
+
+
+def test_rows_without_an_id_are_told_apart(spark):
+    rows = [(None, "the same first line\none"), (None, "the same first line\ntwo"), (None, "the same first line\nthree"), (7, "again\nx"), (7, "again\ny"), (7, "again\ny")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [(r.doc_id, r.line_no, r.kept) for r in line_classes(docs, min_chars=5, exact_chars=1).collect()]
+    assert sorted(k for d, n, k in got if d is None and n == 0) == [False, False, True]
+    kept = sum(k for d, n, k in got if d == 7 and n == 0)
+    assert kept in (1, 2)  # two rows are one place
+
+
+def test_many_variants_of_a_line_do_not_all_meet(spark, monkeypatch):
+    """Lines that share a segment in great numbers give rows in proportion, not pairs."""
+    rng = random.Random(29)
+    made = {}
+    real = line_dedup.keep
+
+    def noted(df, name="step"):
+        made.setdefault(name, []).append(kept := real(df, name))
+        return kept
+
+    monkeypatch.setattr(line_dedup, "keep", noted)
+    monkeypatch.setattr(line_dedup, "CROWD", 50)
+    lines = sorted({"the order has the number " + "".join(rng.choice("bcfjkqvwxz") for _ in range(20)) for _ in range(900)})
+    df = spark.createDataFrame(list(enumerate(lines)), "h long, line string").withColumn("n", F.length("line")).withColumn("bag", letter_bag(F.col("line")))
+    assert line_links(df, 2).isEmpty() and [c.isEmpty() for c in made["crowded"]] == [False, False, True] and made["pairs"][0].count() < len(lines)
+
+
+def test_short_lines_need_more_in_common(spark, tmp_path):
+    rows = [(1, "Rend.\nThing.\nTo to.\nBe to."), (2, "La, ra.\nLa, ja."), (3, "a line of mid\na line of mud\na lime of mad"), (4, "a line of some length\na lime of same length")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_lines, r.n_dropped) for r in queries.op9_lines(spark, str(tmp_path)).collect()}
+    assert got == {1: (4, 0), 2: (2, 0), 3: (3, 1), 4: (2, 1)}
