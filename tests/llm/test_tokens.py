@@ -8,6 +8,7 @@ import public_tokenizers
 import pytest
 
 from cathodyne.llm.packing import Capacities, best_fit_decreasing, pack_tokens
+from cathodyne.llm import token_counts
 from cathodyne.llm.token_counts import count_tokens, read_cache
 from cathodyne.llm.tokenizers import Encoder, file_bytes, version_digest
 
@@ -80,7 +81,9 @@ def test_counts_and_cache(spark, tmp_path, path):
         assert spark.read.parquet(cache).count() == 5  # each different text once, and nothing on the second run
 
 
-def test_cache_is_used_and_grows(spark, tmp_path):
+@pytest.mark.parametrize("few", [20_000, 0])
+def test_cache_is_used_and_grows(spark, tmp_path, monkeypatch, few):
+    monkeypatch.setattr(token_counts, "FEW", few)
     cache = str(tmp_path / "cache")
     version = version_digest(PIECES, file_bytes(PIECES))
     one = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
@@ -138,3 +141,16 @@ def test_a_broken_cache_is_an_error(spark, tmp_path):
     (tmp_path / "cache" / "part.parquet").write_text("not parquet")
     with pytest.raises(Exception):
         read_cache(spark, str(tmp_path / "cache"), "any").collect()
+
+
+def test_a_warm_cache_needs_no_texts(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame([(k, f"text {k % 7}") for k in range(40)], "doc_id long, text string")
+    want = sorted(tuple(r) for r in count_tokens(docs, PIECES, str(tmp_path / "cache")).collect())
+    files = sorted(p.name for p in (tmp_path / "cache").iterdir())
+
+    def refuse(*_):
+        raise AssertionError("nothing is to be encoded")
+
+    monkeypatch.setattr(token_counts, "_encoder", refuse)
+    assert sorted(tuple(r) for r in count_tokens(docs, PIECES, str(tmp_path / "cache")).collect()) == want
+    assert sorted(p.name for p in (tmp_path / "cache").iterdir()) == files
