@@ -11,6 +11,7 @@ from cathodyne.operators.depth import cell_depths, region_depths
 from cathodyne.operators.fields import above_neighbourhood, box_sums, dense
 from cathodyne.operators.parting import flood, part_areas, peaks
 from cathodyne.operators.regions import cell_runs, label_runs, region_properties, summarise
+from cathodyne.operators.tracks import region_tracks
 from cathodyne.operators.tree import region_tree
 from cathodyne.plans.defects import defects_of
 from cathodyne.sources.shared import keep
@@ -101,6 +102,21 @@ def raster_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return region_tree(box_sums(field(spark, sf_dir), RADIUS).select("image_id", "y", "x", level.alias("level")), FIELD_LEVELS)
 
 
+#: Rows of a yearly field, days of a row, least sum of a lit cell, and the first year.
+YEAR_HEIGHT, YEAR_DAYS, YEAR_LIT, FIRST_YEAR = 31, 12, 4, 1992
+
+
+def raster_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions of yearly fields, the years of a supplier being the slices of its volume, followed from year to year."""
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_suppkey", "l_shipdate", "l_partkey")
+    y = F.floor((F.dayofyear("l_shipdate") - 1) / YEAR_DAYS).cast("int")
+    at = [F.col("l_suppkey").cast("string").alias("image_id"), (F.year("l_shipdate") - FIRST_YEAR).alias("z"), y.alias("y"), (F.col("l_partkey") % FIELD_WIDTH).cast("int").alias("x")]
+    cells = keep(items.groupBy(*at).agg(F.count("*").alias("value")), "field")
+    whole = dense(cells, cells.select("image_id", "z").distinct(), YEAR_HEIGHT, FIELD_WIDTH)
+    lit = box_sums(whole, RADIUS).where(F.col("box") >= YEAR_LIT).select("image_id", "z", "y", "x", F.col("box").cast("double").alias("value"))
+    return region_tracks(label_runs(cell_runs(lit)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "raster_threshold": raster_threshold,
     "raster_runs": raster_runs,
@@ -111,6 +127,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "raster_depths": raster_depths,
     "raster_parts": raster_parts,
     "raster_tree": raster_tree,
+    "raster_tracks": raster_tracks,
 }
 
 _CELLS = f"""cells as (
@@ -175,7 +192,7 @@ depths as materialized (
          least(coalesce(min((l.y - u.y) * (l.y - u.y) + (l.x - u.x) * (l.x - u.x)), 1000000000), any_value(least(l.y + 1, {FIELD_HEIGHT} - l.y)) ** 2, any_value(least(l.x + 1, {FIELD_WIDTH} - l.x)) ** 2)::bigint as depth2
   from labels n join lit l using (id) left join unlit u using (image_id) group by n.id)"""
 #: A label or peak as row and column.
-_Y, _X = f"(({{0}} % 2048) // {FIELD_WIDTH})", f"({{0}} % {FIELD_WIDTH})"
+_Y, _X = f"(({{0}} % 2048) // {FIELD_WIDTH})::int", f"({{0}} % {FIELD_WIDTH})::int"
 _PARTS = f"""peaks as materialized (
   select p.label, p.id from depths p left join depths o
   on o.label = p.label and abs(o.y - p.y) <= {REACH} and abs(o.x - p.x) <= {REACH} and (o.depth2 > p.depth2 or (o.depth2 = p.depth2 and o.id < p.id))
@@ -208,11 +225,38 @@ labels(id, label) using key (id) as (
   union
   select b, low from (select l.b, min(n.label) as low from labels n join links l on l.a = n.id group by l.b) s join recurring.labels r on r.id = s.b where low < r.label),
 sets as (select label, count(*) as area, label // 2048 // 16 as image, (label // 2048) % 16 as z, label % 2048 as c from labels group by label),
-nodes as (select image, c, area, max(z) as level, min(z) as base from sets group by all),
+nodes as (select image, c, area, max(z)::int as level, min(z)::int as base from sets group by all),
 lower_sets as (
   select n.image, n.c, n.area, n.level, n.base, s.c as parent, s.area as parent_area, (s.area - n.area) / n.area as growth
   from nodes n left join labels l on l.id = (n.image * 16 + n.base - 1) * 2048 + n.c left join sets s on s.label = l.label),
 children as (select image, parent, parent_area, min(growth) as child_growth, count(*) as n_children from lower_sets where parent is not null group by all)"""
+_TRACKS = f"""items as (
+  select l_suppkey::bigint as image, year(l_shipdate)::int - {FIRST_YEAR} as z, ((dayofyear(l_shipdate) - 1) // {YEAR_DAYS})::int as y, (l_partkey % {FIELD_WIDTH})::int as x, count(*) as value
+  from lineitem group by all),
+lit as materialized (
+  select image, z, y, x, (image * 64 + z) * 1024 + y * {FIELD_WIDTH} + x as id
+  from (select i.image, i.z, i.y + a.d as y, i.x + b.d as x, sum(i.value) as box from items i, range(-{RADIUS}, {RADIUS + 1}) a(d), range(-{RADIUS}, {RADIUS + 1}) b(d) group by all)
+  where y between 0 and {YEAR_HEIGHT - 1} and x between 0 and {FIELD_WIDTH - 1} and box >= {YEAR_LIT}),
+ahead as (
+  select a.id as a, b.id as b from lit a join lit b on a.image = b.image and a.z = b.z and a.y = b.y and a.x + 1 = b.x
+  union all
+  select a.id, b.id from lit a join lit b on a.image = b.image and a.z = b.z and a.y + 1 = b.y and a.x = b.x),
+links as materialized (select a, b from ahead union all select b, a from ahead),
+labels(id, label) using key (id) as (
+  select id, id from lit
+  union
+  select b, low from (select l.b, min(n.label) as low from labels n join links l on l.a = n.id group by l.b) s join recurring.labels r on r.id = s.b where low < r.label),
+named as materialized (select id, label from labels),
+pairs as materialized (select distinct p.label as a, q.label as b from named p join named q on q.id = p.id + 1024 and q.id // 65536 = p.id // 65536),
+behind as (select a, count(*) as n_behind from pairs group by a),
+before as (select b, count(*) as n_before from pairs group by b),
+counted as materialized (select a, b, n_behind, n_before from pairs join behind using (a) join before using (b)),
+moves as materialized (select a, b from counted where n_behind = 1 and n_before = 1),
+tracks(label, track) using key (label) as (
+  select distinct label, label from named
+  union
+  select m.b, min(t.track) from tracks t join moves m on m.a = t.label group by m.b),
+nexts as (select b, any_value(n_before) as n_before, max(n_behind) as siblings from counted group by b)"""
 
 ORACLE_SQL: dict[str, str] = {
     "raster_threshold": f"with {_CELLS} select image_id, z, count(*) as n_cells, sum(value) as total from cells group by all",
@@ -240,4 +284,10 @@ ORACLE_SQL: dict[str, str] = {
                (a.growth is not null and a.area >= 2 and a.growth <= coalesce(p.growth, a.growth) and a.growth <= coalesce(c.child_growth, a.growth)) as stable
         from lower_sets a left join lower_sets p on p.image = a.image and p.c = a.parent and p.area = a.parent_area
         left join children c on c.image = a.image and c.parent = a.c and c.parent_area = a.area""",
+    "raster_tracks": f"""with recursive {_TRACKS}
+        select (n.label // 65536)::varchar as image_id, ((n.label // 1024) % 64)::int as z, ((n.label % 1024) // {FIELD_WIDTH})::int as seed_y, (n.label % {FIELD_WIDTH})::int as seed_x, count(*) as area,
+               coalesce(any_value(x.n_before), 0) as n_before, coalesce(any_value(h.n_behind), 0) as n_behind,
+               case when any_value(x.n_before) is null then 'birth' when any_value(x.n_before) > 1 then 'merge' when any_value(x.siblings) > 1 then 'split' else 'move' end as event,
+               any_value(h.n_behind) is null as ends, any_value((t.track // 1024) % 64)::int as track_z, any_value((t.track % 1024) // {FIELD_WIDTH})::int as track_y, any_value(t.track % {FIELD_WIDTH})::int as track_x
+        from named n left join nexts x on x.b = n.label left join behind h on h.a = n.label join tracks t on t.label = n.label group by n.label""",
 }

@@ -11,6 +11,7 @@ from cathodyne.operators.depth import cell_depths, region_depths
 from cathodyne.operators.fields import above_neighbourhood, box_sums, dense
 from cathodyne.operators.parting import flood, part_areas, peaks
 from cathodyne.operators.regions import cell_runs, label_runs
+from cathodyne.operators.tracks import region_tracks
 from cathodyne.operators.tree import region_tree
 
 CELLS = "image_id string, z int, y int, x int, value double"
@@ -186,3 +187,28 @@ def test_box_sums(spark, radius):
     assert {(r.value, r.box) for r in got if r.image_id == "none"} == {(0, 0)} and len(got) == 108
     above = {(r.image_id, r.y, r.x) for r in above_neighbourhood(whole, radius, 6, 9).collect()}
     assert above == {("a", *k) for k, b in box.items() if frame[k] > b.mean()}
+
+
+def plain_tracks(frames):
+    """Rows (image, z, first cell): (area, before, behind, event, ends, first of its track)."""
+    own = {(i, z, seed): cells for (i, z), m in frames.items() for seed, cells in regions_of(m).items()}
+    behind = {k: [n for n in own if n[0] == k[0] and n[1] == k[1] + 1 and own[n] & own[k]] for k in own}
+    before = {k: [n for n in own if k in behind[n]] for k in own}
+    out = {}
+    for k in sorted(own):
+        b, at = before[k], k
+        while len(before[at]) == 1 and len(behind[before[at][0]]) == 1:
+            at = before[at][0]
+        event = "birth" if not b else "merge" if len(b) > 1 else "split" if len(behind[b[0]]) > 1 else "move"
+        out[k] = (len(own[k]), len(b), len(behind[k]), event, not behind[k], at[1:])
+    return out
+
+
+@pytest.mark.parametrize("strip", [256, 4])
+def test_tracks(spark, monkeypatch, strip):
+    monkeypatch.setattr("cathodyne.operators.tracks.STRIP", strip)
+    rng = np.random.default_rng(8)
+    frames = {("a", z): smooth(rng, 14, 19) > 0.52 for z in range(5)} | {("b", z): np.eye(3, dtype=bool) for z in (0, 1, 3)}
+    got = {(r.image_id, r.z, (r.seed_y, r.seed_x)): (r.area, r.n_before, r.n_behind, r.event, r.ends, (r.track_z, (r.track_y, r.track_x))) for r in region_tracks(labelled(spark, frames)).collect()}
+    want = plain_tracks(frames)
+    assert got == want and {w[3] for w in want.values()} == {"birth", "merge", "split", "move"}
