@@ -3,6 +3,7 @@
 import os
 import re
 import zlib
+from collections import Counter
 
 import duckdb
 import public_tokenizers
@@ -85,6 +86,49 @@ def test_op10_by_all_pairs(spark, docs):
     assert got == {d: (f"{prints[d]:016x}", label[d]) for d in prints}
 
 
+def _within(a, b, tau):
+    """Whether two strings are within ``tau`` edits, by the rows of a band."""
+    row = {j: j for j in range(min(len(b), tau) + 1)}
+    for i in range(1, len(a) + 1):
+        new = {}
+        for j in range(max(0, i - tau), min(len(b), i + tau) + 1):
+            new[j] = min(row.get(j, 99) + 1, new.get(j - 1, 99) + 1, row.get(j - 1, 99) + (a[i - 1] != b[j - 1]) if j else 99)
+        row = new
+    return row.get(len(b), 99) <= tau
+
+
+def test_op9_by_all_pairs(spark):
+    data = DATA.replace("0.001", "0.01")  # the smallest scale with lines that link
+    docs = sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{data}/documents.parquet").collect())
+    places = [(d, k, line.strip(" \t\r\x0b\x0c")) for d, text in docs if text is not None for k, line in enumerate(text.split("\n"))]
+    lines = sorted({x for *_, x in places if x}, key=len)
+    bags = [Counter(x) for x in lines]
+    near = {x: [] for x in lines}
+    for i, a in enumerate(lines):
+        tau = 2 if len(a) >= 17 else 1 if len(a) >= 9 else 0
+        for j in range(i + 1, len(lines)):
+            b = lines[j]
+            if len(b) - len(a) > tau:
+                break
+            if tau and ((bags[i] - bags[j]).total() <= tau and (bags[j] - bags[i]).total() <= tau) and _within(a, b, tau):
+                near[a].append(b)
+                near[b].append(a)
+    label = {}
+    for x in lines:
+        todo = [] if x in label else [x]
+        while todo:
+            y = todo.pop()
+            label.setdefault(y, x)
+            todo += [z for z in near[y] if z not in label]
+    first, want = {}, {}
+    for d, k, x in places:
+        kept = not x or first.setdefault(label[x], (d, k)) == (d, k)
+        n, dropped, chars, links = want.get(d, (0, 0, 0, 0))
+        want[d] = (n + 1, dropped + (not kept), chars + len(x) * (not kept), links + len(near.get(x, [])))
+    got = {r.doc_id: (r.n_lines, r.n_dropped, r.chars_dropped, r.n_links) for r in QUERIES["op9_lines"](spark, data).collect()}
+    assert got == want and sum(w[3] for w in want.values()) > 0
+
+
 @pytest.mark.parametrize("name, columns", [("op3_licenses", {"doc_id", "license", "line_no"}), ("op7_surrogates", {"doc_id", "text"}), ("op9_lines", {"doc_id", "n_lines", "n_dropped", "chars_dropped", "n_links"})])
 def test_the_others_run(spark, docs, name, columns):
     rows = QUERIES[name](spark, DATA)
