@@ -74,8 +74,13 @@ def region_properties(labelled: DataFrame) -> DataFrame:
         F.min("z").alias("z0"), F.max("z").alias("z1"), F.min("y").alias("y0"), F.max("y").alias("y1"), F.min("x0").alias("x0"), F.max("x1").alias("x1"),
         F.sum(n * F.col("y")).alias("sum_y"), F.sum((F.col("x0") + F.col("x1")) * n / 2).alias("sum_x"), F.sum("value").alias("total"),
     )
+    return region_shape(out)
+
+
+def region_shape(sums: DataFrame) -> DataFrame:
+    """Regions with what their sums tell of their shape."""
     box = (F.col("z1") - F.col("z0") + 1) * (F.col("y1") - F.col("y0") + 1) * (F.col("x1") - F.col("x0") + 1)
-    return out.select(
+    return sums.select(
         "image_id", F.col("region.z").alias("seed_z"), F.col("region.y").alias("seed_y"), F.col("region.x0").alias("seed_x"),
         "area", "z0", "z1", "y0", "y1", "x0", "x1",
         (F.col("sum_y") / F.col("area")).alias("centre_y"), (F.col("sum_x") / F.col("area")).alias("centre_x"),

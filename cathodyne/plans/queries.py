@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 from cathodyne.operators.depth import cell_depths, region_depths
 from cathodyne.operators.fields import above_neighbourhood, box_sums, dense
 from cathodyne.operators.parting import flood, part_areas, peaks
-from cathodyne.operators.regions import cell_runs, label_runs, region_properties, summarise
+from cathodyne.operators.regions import cell_runs, classify, label_runs, region_properties, summarise
 from cathodyne.operators.tracks import region_tracks
 from cathodyne.operators.tree import region_tree
-from cathodyne.plans.defects import defects_of
-from cathodyne.sources.shared import keep
+from cathodyne.plans.defects import default_classes, defects_of
+from cathodyne.sources.shared import keep, new_path
+from cathodyne.streaming.volumes import STRIP_SCHEMA, link_slices, run_strips, volume_regions
 
 #: Columns of a raster, and the least quantity of a lit cell.
 WIDTH, LEVEL = 128, 40.0
@@ -58,6 +59,20 @@ def raster_defects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return defects_of(cell_runs(raster(spark, sf_dir)), min_area=2, diagonal=True, volume=True)
 
 
+#: Rows of a raster, and parts in which its slices come.
+HEIGHT, ARRIVALS = 367, 3
+
+
+def raster_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same defects, of years that come one after the other: every third year, then the next ones, and a stream that is taken up again each time."""
+    strips = keep(run_strips(cell_runs(raster(spark, sf_dir)), HEIGHT), "strips")
+    source, out, checkpoint = (new_path(spark, name) for name in ("arriving", "volumes", "progress"))
+    for k in range(ARRIVALS):
+        strips.where(F.col("z") % ARRIVALS == k).write.mode("append").parquet(source)
+        link_slices(spark.readStream.schema(STRIP_SCHEMA).parquet(source), out, checkpoint, diagonal=True).awaitTermination()
+    return classify(volume_regions(spark, out).where(F.col("area") >= 2), default_classes())
+
+
 #: Rows and columns of a field, days of a row, and the cells around each that its sum takes in.
 FIELD_HEIGHT, FIELD_WIDTH, FIELD_DAYS, RADIUS = 61, 32, 6, 2
 #: Least sum of a lit cell of a field, steps of a level of the tree, and levels.
@@ -123,6 +138,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "raster_regions": raster_regions,
     "raster_summary": raster_summary,
     "raster_defects": raster_defects,
+    "raster_stream": raster_stream,
     "raster_local": raster_local,
     "raster_depths": raster_depths,
     "raster_parts": raster_parts,
@@ -291,3 +307,5 @@ ORACLE_SQL: dict[str, str] = {
                any_value(h.n_behind) is null as ends, any_value((t.track // 1024) % 64)::int as track_z, any_value((t.track % 1024) // {FIELD_WIDTH})::int as track_y, any_value(t.track % {FIELD_WIDTH})::int as track_x
         from named n left join nexts x on x.b = n.label left join behind h on h.a = n.label join tracks t on t.label = n.label group by n.label""",
 }
+# However its slices come, a volume has the same defects.
+ORACLE_SQL["raster_stream"] = ORACLE_SQL["raster_defects"]

@@ -14,8 +14,8 @@ FILE_SCHEMA = "path string, modificationTime timestamp, length long, content bin
 def watch(spark: SparkSession, path: str, out: str, checkpoint: str, glob: str = "*", **options) -> StreamingQuery:
     """Appends the defects of new image files below ``path`` to the Parquet table ``out``.
 
-    Each file is seen once; a micro-batch that is run again overwrites its own folder. Slices of one
-    volume that arrive in different batches are not linked.
+    Each file is seen once; a micro-batch that is run again overwrites its own folder. Frames are
+    taken one by one; ``volumes.watch_volumes`` links the slices of a volume.
     """
     files = spark.readStream.format("binaryFile").schema(FILE_SCHEMA).option("pathGlobFilter", glob).load(path)
 
