@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from cathodyne.llm.common import column_free_of, discard, keep, let
 
 # Titles by gender, given names by script and gender, syllables of surnames by script.
-FEMALE_TITLES = ["Mrs", "Ms", "Miss", "Frau", "Mme", "Mlle", "Sra", "Srta", "Signora", "Госпожа", "Κυρία"]
-MALE_TITLES = ["Mr", "Herr", "M", "Sr", "Signor", "Господин", "Κύριος"]
+FEMALE_TITLES = ["Mrs", "Ms", "Miss", "Frau", "Mme", "Mlle", "Sra", "Srta", "Signora", "Госпожа", "Κυρία", "señora", "señorita", "madame", "mademoiselle", "doña"]
+MALE_TITLES = ["Mr", "Herr", "M", "Sr", "Signor", "Господин", "Κύριος", "señor", "monsieur", "don"]
 OTHER_TITLES = ["Dr", "Prof"]
 GIVEN = {
     ("latin", "f"): ["Anna", "Maria", "Laura", "Julia", "Emma", "Clara", "Alice", "Nora", "Elena", "Sofia", "Marta", "Ines", "Paula", "Helen", "Rosa", "Eva"],
@@ -29,30 +29,48 @@ SYLLABLES = {
 
 _TITLES = "|".join([*FEMALE_TITLES, *MALE_TITLES, *OTHER_TITLES])
 _GIVEN = "|".join(n for names in GIVEN.values() for n in names)
+# Words before a name, whatever the name.
+CUES = ["my name is ", "My name is ", "I am called ", "mi nombre es ", "Mi nombre es ", "me llamo ", "Me llamo ", "je m'appelle ", "Je m'appelle ", "ich heiße ", "Ich heiße ", "меня зовут ", "Меня зовут ", "με λένε ", "Με λένε "]
+CUES += ["Full name: ", "full name: ", "Name: ", "name: ", "Patient: ", "Employee: ", "Signed by ", "signed by ", "Written by ", "written by ", "Attn: ", "attn: "]
+# What keys of well-known kinds begin with.
+KEY_PREFIX = r"(?:(?:sk|pk|rk)_(?:live|test)_|(?:sk|pk|gh[opusr]|xox[abp])[_-]?|AKIA)"
+
 _CAPITAL = r"\p{Lu}[\p{L}'’-]+"
 _KEYS = "token|password|passwd|secret|api_key|apikey|api-key"
 _SECRET = rf"(?<![A-Za-z])(?i:{_KEYS})[\"']?\s{{0,2}}[=:]\s{{0,2}}[\"']?"
-#: What counts as an entity, in the order in which alternatives are tried.
-ENTITY_PARTS = [
-    r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}",
-    r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?![\w]|\.\d)",
+_OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|\d?\d)"
+_HEX = "[0-9A-Fa-f]{1,4}"
+_IPV6 = rf"(?<![\w:.])(?:(?:{_HEX}:){{7}}{_HEX}|[23Ff][0-9A-Fa-f]{{3}}(?::{_HEX}){{0,6}}::(?:{_HEX}(?::{_HEX}){{0,5}})?)(?![\w:])"
+_SSN = r"(?<![\w.-])(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\w-])"
+_IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
+_DIGITS = [
+    rf"(?<![\w.])(?<!(?i:version|release|firmware|build) )(?:{_OCTET}\.){{3}}{_OCTET}(?![\w]|\.\d)",
+    _SSN,
     r"(?<![\w-])\d{4}([ -]?)\d{4}\1\d{4}\1\d{1,7}(?![\w-])",
     r"(?<![\w.])\+\d(?:\)?[ .-]?\(?\d){7,14}(?!\w)",
     r"(?<![\w.])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]\d{2,4}){1,4}(?!\w)",
     r"(?<![\w.])\(?\d{3}(?:\)[ .-]?|[ .-])\d{3}[ .-]\d{4}(?!\w)",
-    rf"{_SECRET}[A-Za-z0-9+/_=-]{{8,}}",
     r"(?<![\w.+])0\d{2,4}[ -]\d{3,4}[ -]\d{3,4}(?!\w)",
-    r"(?<![A-Za-z0-9_-])(?:(?:sk|pk|ghp|gho|xox[abp])[_-]?(?=[A-Za-z]{0,30}\d)[A-Za-z0-9]{16,}|AKIA[0-9A-Z]{16})(?![A-Za-z0-9])",
-    r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    rf"(?<!\p{{L}})(?:{_TITLES})\.? {_CAPITAL}(?: {_CAPITAL})?",
-    rf"(?<!\p{{L}})(?:{_GIVEN}) {_CAPITAL}",
+    r"(?<![\w.+-])0\d(?:([ .-])\d\d)(?:\2\d\d){3}(?![\w.-])",
+]
+_NAMES = [rf"(?<!\p{{L}})(?:{_TITLES})\.? {_CAPITAL}(?: {_CAPITAL})?", rf"(?<!\p{{L}})(?:{_GIVEN}) {_CAPITAL}", rf"(?<=(?<!\p{{L}})(?:{'|'.join(CUES)})){_CAPITAL}(?: {_CAPITAL})?"]
+#: What counts as an entity, in the order in which alternatives are tried.
+ENTITY_PARTS = [
+    r"(?<![A-Za-z0-9])[A-Za-z0-9][A-Za-z0-9._%+-]{0,254}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}",
+    rf"(?=[0-9+(])(?:{'|'.join(_DIGITS)})",
+    _IPV6,
+    rf"{_SECRET}[A-Za-z0-9+/_=-]{{8,}}",
+    rf"(?<![A-Za-z0-9_-])(?!AKIA){KEY_PREFIX}(?=[A-Za-z]{{0,30}}\d)[A-Za-z0-9]{{16,}}(?![A-Za-z0-9])",
+    r"(?<![A-Za-z0-9_-])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])",
+    _IBAN,
+    *_NAMES,
 ]
 ENTITY = "|".join(ENTITY_PARTS)
 #: What every text with an entity holds; others are left alone.
-HINT = "|".join(["[0-9@]", "AKIA", rf"(?i:{_KEYS})", *ENTITY_PARTS[-2:]])
+HINT = "|".join(["[0-9@]", "AKIA", rf"(?i:{_KEYS})", *_NAMES])
 #: Surrogates tried in an entity's own format; after these, longer ones.
 TRIES = 8
-KINDS = ["email", "ip", "card", "phone", "name", "secret"]
+KINDS = ["email", "ip", "card", "phone", "name", "secret", "iban", "ssn"]
 
 
 def kind_of(match: Column) -> Column:
@@ -60,11 +78,13 @@ def kind_of(match: Column) -> Column:
     return (
         F.when(match.rlike(f"^{_SECRET}|^AKIA[0-9A-Z]{{16}}$"), "secret")
         .when(F.contains(match, F.lit("@")), "email")
-        .when(match.rlike(r"^(?:\d{1,3}\.){3}\d{1,3}$"), "ip")
+        .when(match.rlike(r"^(?:\d{1,3}\.){3}\d{1,3}$|^[0-9A-Fa-f]{1,4}:[0-9A-Fa-f:]+$"), "ip")
+        .when(match.rlike(f"^{_SSN}$"), "ssn")
+        .when(match.rlike(f"^{_IBAN}$"), "iban")
         .when(match.rlike(r"^[\d -]+$") & digits.between(13, 19), "card")
         .when(match.rlike(r"^[+(]?\d[\d ().-]*$") & match.rlike(r"[+ ().-]"), "phone")
         .when(match.rlike(rf"^(?:(?:{_TITLES})\.?|(?:{_GIVEN})) "), "name")
-        .when(match.rlike(f"^{_CAPITAL}$"), "name")  # a surname by itself
+        .when(match.rlike(f"^{_CAPITAL}(?: {_CAPITAL})?$"), "name")  # a surname by itself, or what follows a cue
         .otherwise("secret")
     )
 
@@ -105,8 +125,9 @@ def identities(match: Column) -> Column:
     first = one(F.concat(F.lit("given-"), _script(given), F.lit("-"), _gender(title, given)), F.lower(given))
     return (
         F.when(kind == "name", F.when(given == "", F.array(last)).otherwise(F.array(first, last)))
-        .when(kind.isin("card", "phone"), F.array(one(kind, digits)))
-        .when(kind == "email", F.array(one(kind, F.lower(match))))
+        .when(kind.isin("card", "phone", "ssn"), F.array(one(kind, digits)))
+        .when(kind.isin("email", "ip"), F.array(one(kind, F.lower(match))))
+        .when(kind == "iban", F.array(one(kind, F.translate(match, " ", ""))))
         .when(kind == "secret", F.array(one(kind, F.regexp_replace(match, f"^{_SECRET}", ""))))
         .otherwise(F.array(one(kind, match)))
     )
@@ -123,12 +144,12 @@ def _pick(words: list[str], n: Column) -> Column:
 
 def _shaped(text: Column, h: Column) -> Column:
     """Letters for letters, digits for digits, the rest as it is; hex digits for hex digits where there is nothing else."""
-    is_hex = text.rlike(r"^[0-9a-f]+$") & text.rlike("[a-f]")
+    is_hex = text.rlike("^[0-9a-f]*[a-f][0-9a-f]*$") | text.rlike("^[0-9a-f]*:[0-9a-f:]*$")
 
     def change(c: Column, i: Column) -> Column:
         b = _byte(h, i) + F.floor(i / 32).cast("int")
         return (
-            F.when(is_hex, F.substring(F.lit("0123456789abcdef"), b % 16 + 1, F.lit(1)))
+            F.when(is_hex & c.rlike("[0-9a-f]"), F.substring(F.lit("0123456789abcdef"), b % 16 + 1, F.lit(1)))
             .when(c.rlike("[0-9]"), (b % 10).cast("string"))
             .when(c.rlike("[a-z]"), F.chr(b % 26 + 97))
             .when(c.rlike("[A-Z]"), F.chr(b % 26 + 65))
@@ -148,6 +169,23 @@ def _luhn_sum(digits: Column) -> Column:
     return F.aggregate(F.transform(F.split(digits, ""), value), F.lit(0), lambda total, x: total + x)
 
 
+def _mod_97(text: Column) -> Column:
+    """Rest by 97 of letters and digits read as one number, A being 10 and Z 35."""
+
+    def step(rest: Column, c: Column) -> Column:
+        return F.when(c.rlike("[0-9]"), (rest * 10 + c.cast("int")) % 97).otherwise((rest * 100 + F.ascii(c) - 55) % 97)
+
+    return F.aggregate(F.split(text, ""), F.lit(0), step)
+
+
+def _iban(norm: Column, shaped: Column) -> Column:
+    """Country, check digits and an account of the same shape; check digits that were right are right again."""
+    country, account = F.substring(norm, 1, 2), F.substring(shaped, F.lit(5), F.length(norm))
+    right = _mod_97(F.concat(F.substring(norm, F.lit(5), F.length(norm)), F.substring(norm, 1, 4))) == 1
+    check = F.lpad((F.lit(98) - _mod_97(F.concat(account, country, F.lit("00")))).cast("string"), 2, "0")
+    return F.concat(country, F.when(right, check).otherwise(F.substring(shaped, 3, 2)), account)
+
+
 def surrogate(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
     """The surrogate of a norm: a function of key, kind, norm and attempt alone."""
     h = F.sha2(F.concat_ws("|", F.lit(key), kind, norm, attempt.cast("string")), 256)
@@ -162,13 +200,20 @@ def _by_kind(h: Column, kind: Column, norm: Column, attempt: Column) -> Column:
     card = F.when(_luhn_sum(norm) % 10 == 0, F.concat(body, check.cast("string"))).otherwise(card)
     fixed = F.greatest(F.length(norm) - 10, F.lit(0))  # a phone number's country code stays
     phone = F.concat(F.substring(norm, F.lit(1), fixed), F.substring(shaped, fixed + 1, F.length(norm)))
+    number = lambda k, n, width: F.lpad(((_byte(h, F.lit(k)) * 256 + _byte(h, F.lit(k + 1))) % n + 1).cast("string"), width, "0")
+    ssn = F.concat(number(0, 665, 3), number(2, 99, 2), number(4, 9999, 4))
+    prefix = F.regexp_extract(norm, f"^{KEY_PREFIX}", 0)
+    secret = F.concat(prefix, _shaped(F.substring(norm, F.length(prefix) + 1, F.length(norm)), h))
+    network = F.regexp_extract(norm, "^[0-9a-f]{1,4}:", 0)  # an IPv6 address keeps its first group
+    ipv6 = F.concat(network, _shaped(F.substring(norm, F.length(network) + 1, F.length(norm)), h))
     ip = F.array_join(F.array(*[(_byte(h, F.lit(i)) % 254 + 1).cast("string") for i in range(4)]), ".")
     ending = F.regexp_extract(norm, r"\.[a-z]{2,24}$", 0)
     email = F.concat(_shaped(F.substring(norm, F.lit(1), F.length(norm) - F.length(ending)), h), ending)
     # A format that has run out gives way: sixteen digits more tell its surrogates apart.
     more = F.when(attempt > TRIES, F.translate(F.substring(h, 1, 16), "abcdef", "012345")).otherwise("")
-    ip = F.when(attempt > TRIES, F.concat(ip, F.lit("."), more)).otherwise(ip)
-    out = F.when(kind == "ip", ip).when(kind == "card", F.concat(card, more)).when(kind == "phone", F.concat(phone, more)).when(kind == "email", F.concat(more, email)).when(kind == "secret", F.concat(shaped, more))
+    ip = F.when(network != "", F.concat(ipv6, more)).otherwise(F.when(attempt > TRIES, F.concat(ip, F.lit("."), more)).otherwise(ip))
+    out = F.when(kind == "ip", ip).when(kind == "card", F.concat(card, more)).when(kind == "phone", F.concat(phone, more)).when(kind == "email", F.concat(more, email)).when(kind == "secret", F.concat(secret, more))
+    out = out.when(kind == "ssn", F.concat(ssn, more)).when(kind == "iban", F.concat(_iban(norm, shaped), more))
     for script, syllables in SYLLABLES.items():
         surname = F.initcap(F.concat(*[_pick(syllables, _byte(h, F.lit(i))) for i in range(3)], _more(attempt, lambda i, s=syllables: _pick(s, _byte(h, i)))))
         out = out.when(kind == f"surname-{script}", surname)
@@ -187,24 +232,29 @@ def settle(entities: DataFrame, key: str) -> DataFrame:
     """Rows (kind, norm, attempt) of those entities whose first surrogate won't do.
 
     ``entities`` has each (kind, norm) once. A surrogate must differ from those of all others of its
-    kind and from all real norms of it. Where it does not, the smallest norm keeps it, unless it is
-    real, and the others try again, until no two agree. After ``TRIES`` rounds surrogates get longer, so
+    kind and from all real norms of it. Where it does not, one settled in an earlier round keeps it, or else the smallest norm, unless it is
+    real, and the others try again, until no two agree; only these are worked out anew. After ``TRIES`` rounds surrogates get longer, so
     a format that is full, such as that of the shortest emails, does not go on for ever.
     """
     # Few bytes, much to work out: dealt out by number.
     parts = 4 * entities.sparkSession.sparkContext.defaultParallelism
-    current = entities.select("kind", "norm", F.lit(0).alias("attempt")).repartition(parts, "kind", "norm")
+    real = entities.select("kind", F.lower("norm").alias("s"))
+    current, settled = entities.select("kind", "norm", F.lit(0).alias("attempt")), None
     while True:
-        with_s = keep(current.withColumn("s", F.lower(surrogate(F.col("kind"), F.col("norm"), F.col("attempt"), key))), "surrogates")
-        shared = with_s.groupBy("kind", "s").agg(F.min("norm").alias("holder"), F.count("*").alias("n")).where("n > 1").select("kind", "s", "holder")
-        real = entities.select("kind", F.lower("norm").alias("s")).distinct().withColumn("taken", F.lit(True))
-        judged = with_s.join(shared, ["kind", "s"], "left").join(real, ["kind", "s"], "left")
-        again = F.coalesce(F.col("taken"), F.lit(False)) | F.coalesce(F.col("norm") != F.col("holder"), F.lit(False))
-        judged = keep(judged.select("kind", "norm", "attempt", again.alias("again")), "judged")
-        if judged.where("again").isEmpty():
-            return judged.where("attempt > 0").select("kind", "norm", "attempt")
+        with_s = current.repartition(parts, "kind", "norm").withColumn("s", F.lower(surrogate(F.col("kind"), F.col("norm"), F.col("attempt"), key)))
+        with_s = keep(with_s, "surrogates")
+        held = real if settled is None else real.unionByName(settled.select("kind", "s"))
+        tried = with_s.select("kind", "s").distinct()
+        taken = held.join(tried, ["kind", "s"], "left_semi").distinct().withColumn("taken", F.lit(True))
+        holders = with_s.groupBy("kind", "s").agg(F.min("norm").alias("holder"))
+        judged = with_s.join(holders, ["kind", "s"]).join(taken, ["kind", "s"], "left")
+        judged = keep(judged.select("kind", "norm", "attempt", "s", (F.col("taken").isNotNull() | (F.col("norm") != F.col("holder"))).alias("again")), "judged")
         discard(with_s)
-        current = judged.repartition(parts, "kind", "norm").select("kind", "norm", (F.col("attempt") + F.col("again").cast("int")).alias("attempt"))
+        done = judged.where("not again").drop("again")
+        settled = done if settled is None else settled.unionByName(done)
+        if judged.where("again").isEmpty():
+            return settled.where("attempt > 0").select("kind", "norm", "attempt")
+        current = judged.where("again").select("kind", "norm", (F.col("attempt") + 1).alias("attempt"))
 
 
 def _render(match: Column, attempts: Column, key: str) -> Column:
@@ -222,15 +272,15 @@ def _in_format(match: Column, names: Column) -> Column:
     kind, title = kind_of(match), _name_parts(match)[0]
     first, last = F.element_at(names, 1), F.element_at(names, -1)
 
-    def digit(c: Column, i: Column) -> Column:
-        before = F.length(F.regexp_replace(F.substring(match, F.lit(1), i), r"\D", ""))
-        return F.when(c.rlike("[0-9]"), F.substring(first, before + 1, F.lit(1))).otherwise(c)
+    def sign(c: Column, i: Column) -> Column:
+        before = F.length(F.regexp_replace(F.substring(match, F.lit(1), i), "[^0-9A-Z]", ""))
+        return F.when(c.rlike("[0-9A-Z]"), F.substring(first, before + 1, F.lit(1))).otherwise(c)
 
-    in_format = F.array_join(F.transform(F.split(match, ""), digit), "")
+    in_format = F.array_join(F.transform(F.split(match, ""), sign), "")
     # What is longer than the format follows it.
-    in_format = F.concat(in_format, F.substring(first, F.length(F.regexp_replace(match, r"\D", "")) + 1, F.length(first)))
+    in_format = F.concat(in_format, F.substring(first, F.length(F.regexp_replace(match, "[^0-9A-Z]", "")) + 1, F.length(first)))
     before = F.regexp_extract(match, f"^{_SECRET}", 0)
-    return F.when(kind == "name", F.concat(title, F.array_join(names, " "))).when(kind == "secret", F.concat(before, last)).when(kind.isin("card", "phone"), in_format).otherwise(last)
+    return F.when(kind == "name", F.concat(title, F.array_join(names, " "))).when(kind == "secret", F.concat(before, last)).when(kind.isin("card", "phone", "ssn", "iban"), in_format).otherwise(last)
 
 
 def _number(kinds: Column, kind: str) -> Column:
@@ -240,11 +290,12 @@ def _number(kinds: Column, kind: str) -> Column:
 def replace_entities(docs: DataFrame, key: str, text_col: str = "text", counts_col: str = "pii_counts") -> DataFrame:
     """``docs`` with every entity in ``text_col`` replaced, and a map from kind to number in ``counts_col``.
 
-    Emails, addresses, card and phone numbers, names and secrets get surrogates that depend on the key
+    Emails, addresses, card, phone, account (IBAN) and social security numbers, names and secrets get surrogates that depend on the key
     and on what they refer to: one thing has one surrogate in all texts and spellings, two things of a
     kind never share one, and none is a real one of the corpus. A surname found in a text is also replaced
     where it stands there by itself. Digits and punctuation keep their
-    places, cards that satisfy the Luhn sum still do, names keep title, gender and script, emails their
+    places, cards that satisfy the Luhn sum and IBANs with right check digits still do, IBANs keep their country, keys what tells their kind,
+    IPv6 addresses their first group (two spellings of one are two things), names keep title, gender and script, emails their
     last label. Only where a format has run out of surrogates do they get longer.
 
     Null texts stay null with no counts; empty ones and those without entities stay as they are. Texts are
