@@ -53,7 +53,7 @@ _DIGITS = [
     r"(?<![\w.+])0\d{2,4}[ -]\d{3,4}[ -]\d{3,4}(?!\w)",
     r"(?<![\w.+-])0\d(?:([ .-])\d\d)(?:\2\d\d){3}(?![\w.-])",
 ]
-_NAMES = [rf"(?<!\p{{L}})(?:{_TITLES})\.? {_CAPITAL}(?: {_CAPITAL})?", rf"(?<!\p{{L}})(?:{_GIVEN}) {_CAPITAL}", rf"(?<=(?<!\p{{L}})(?:{'|'.join(CUES)})){_CAPITAL}(?: {_CAPITAL})?"]
+_NAMES = [rf"(?<!\p{{L}})(?:{_TITLES})\.? {_CAPITAL}(?: {_CAPITAL})?", rf"(?<!\p{{L}})(?:{_GIVEN}) {_CAPITAL}", rf"(?=\p{{Lu}})(?<=(?<!\p{{L}})(?:{'|'.join(CUES)})){_CAPITAL}(?: {_CAPITAL})?"]
 #: What counts as an entity, in the order in which alternatives are tried.
 ENTITY_PARTS = [
     r"(?<![A-Za-z0-9])[A-Za-z0-9][A-Za-z0-9._%+-]{0,254}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}",
