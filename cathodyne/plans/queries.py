@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cathodyne.operators.depth import cell_depths, region_depths
 from cathodyne.operators.fields import above_neighbourhood, box_sums, dense
+from cathodyne.operators.outline import region_outlines
 from cathodyne.operators.parting import flood, part_areas, peaks
 from cathodyne.operators.regions import cell_runs, classify, label_runs, region_properties, summarise
 from cathodyne.operators.tracks import region_tracks
@@ -105,6 +106,11 @@ def raster_depths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return region_depths(cell_depths(_lit_runs(spark, sf_dir))).drop("seed_z", "deep_z")
 
 
+def raster_outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Perimeters and holes of the same regions."""
+    return region_outlines(_lit_runs(spark, sf_dir)).drop("z")
+
+
 def raster_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same regions, parted where they have several deep cells."""
     cells = keep(cell_depths(_lit_runs(spark, sf_dir)), "depths")
@@ -141,6 +147,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "raster_stream": raster_stream,
     "raster_local": raster_local,
     "raster_depths": raster_depths,
+    "raster_outlines": raster_outlines,
     "raster_parts": raster_parts,
     "raster_tree": raster_tree,
     "raster_tracks": raster_tracks,
@@ -209,6 +216,14 @@ depths as materialized (
   from labels n join lit l using (id) left join unlit u using (image_id) group by n.id)"""
 #: A label or peak as row and column.
 _Y, _X = f"(({{0}} % 2048) // {FIELD_WIDTH})::int", f"({{0}} % {FIELD_WIDTH})::int"
+_OUTLINES = f"""pairs as (select n.label, count(*) as pairs from ahead e join labels n on n.id = e.a group by n.label),
+blocks as (
+  select n.label, count(*) as blocks from lit a join lit r on r.image_id = a.image_id and r.y = a.y and r.x = a.x + 1
+  join lit d on d.image_id = a.image_id and d.y = a.y + 1 and d.x = a.x join lit c on c.image_id = a.image_id and c.y = a.y + 1 and c.x = a.x + 1
+  join labels n on n.id = a.id group by n.label),
+outlined as (
+  select any_value(l.image_id) as image_id, n.label, count(*) as area, coalesce(any_value(p.pairs), 0) as pairs, coalesce(any_value(b.blocks), 0) as blocks
+  from labels n join lit l using (id) left join pairs p on p.label = n.label left join blocks b on b.label = n.label group by n.label)"""
 _PARTS = f"""peaks as materialized (
   select p.label, p.id from depths p left join depths o
   on o.label = p.label and abs(o.y - p.y) <= {REACH} and abs(o.x - p.x) <= {REACH} and (o.depth2 > p.depth2 or (o.depth2 = p.depth2 and o.id < p.id))
@@ -291,6 +306,9 @@ ORACLE_SQL: dict[str, str] = {
     "raster_depths": f"""with recursive {_FIELD}, {_LIT}
         select any_value(image_id) as image_id, {_Y.format("label")} as seed_y, {_X.format("label")} as seed_x, count(*) as area, max(depth2) as depth2,
                arg_min(y, (-depth2, id)) as deep_y, arg_min(x, (-depth2, id)) as deep_x from depths group by label""",
+    "raster_outlines": f"""with recursive {_FIELD}, {_LIT}, {_OUTLINES}
+        select image_id, {_Y.format("label")} as seed_y, {_X.format("label")} as seed_x, area, (4 * area - 2 * pairs)::bigint as perimeter,
+               (area - pairs + blocks)::bigint as euler, (1 - area + pairs - blocks)::bigint as holes from outlined""",
     "raster_parts": f"""with recursive {_FIELD}, {_LIT}, {_PARTS}
         select any_value(image_id) as image_id, {_Y.format("label")} as seed_y, {_X.format("label")} as seed_x, {_Y.format("peak")} as peak_y, {_X.format("peak")} as peak_x,
                max(depth2) as depth2, count(*) as area, count(*) over (partition by label) as n_parts from parted group by label, peak""",

@@ -9,6 +9,7 @@ from cathodyne.functions.envelope import lower_envelope
 from cathodyne.operators import depth, regions
 from cathodyne.operators.depth import cell_depths, region_depths
 from cathodyne.operators.fields import above_neighbourhood, box_sums, dense
+from cathodyne.operators.outline import region_outlines
 from cathodyne.operators.parting import flood, part_areas, peaks
 from cathodyne.operators.regions import cell_runs, label_runs
 from cathodyne.operators.tracks import region_tracks
@@ -212,3 +213,29 @@ def test_tracks(spark, monkeypatch, strip):
     got = {(r.image_id, r.z, (r.seed_y, r.seed_x)): (r.area, r.n_before, r.n_behind, r.event, r.ends, (r.track_z, (r.track_y, r.track_x))) for r in region_tracks(labelled(spark, frames)).collect()}
     want = plain_tracks(frames)
     assert got == want and {w[3] for w in want.values()} == {"birth", "merge", "split", "move"}
+
+
+def plain_outline(cells):
+    """Edges of a region's cells that border on others, and its holes by floods of what is around and in it."""
+    edges = sum((y + a, x + b) not in cells for y, x in cells for a, b in ((0, 1), (1, 0), (0, -1), (-1, 0)))
+    ys, xs = zip(*cells)
+    left = {(y, x) for y in range(min(ys) - 1, max(ys) + 2) for x in range(min(xs) - 1, max(xs) + 2)} - cells
+    floods = 0
+    while left:
+        todo, floods = [left.pop()], floods + 1
+        while todo:
+            y, x = todo.pop()
+            near = {(y + a, x + b) for a in (-1, 0, 1) for b in (-1, 0, 1)} & left
+            left -= near
+            todo += near
+    return len(cells), edges, 2 - floods, floods - 1
+
+
+@pytest.mark.parametrize("strip", [256, 4])
+def test_outlines(spark, monkeypatch, strip):
+    monkeypatch.setattr(regions, "STRIP", strip)
+    monkeypatch.setattr("cathodyne.operators.outline.STRIP", strip)
+    frames = masks() | {("f", 0): np.random.default_rng(9).random((20, 30)) < 0.7}
+    got = {(r.image_id, r.z, (r.seed_y, r.seed_x)): (r.area, r.perimeter, r.euler, r.holes) for r in region_outlines(labelled(spark, frames)).collect()}
+    want = {(i, z, seed): plain_outline(cells) for (i, z), m in frames.items() for seed, cells in regions_of(m).items()}
+    assert got == want and max(w[3] for w in want.values()) > 3
