@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import zlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,10 +17,10 @@ from cathodyne.llm.common import keep
 #: Sizes of items and how they are searched: least words of an item, words of a passage, from one passage's start to the next, and the
 #: least cosine of a candidate, which is less for short items, as one word besides counts for more.
 SCALES = [(12, 20, 10, 0.5), (6, 10, 5, 0.4), (3, 5, 2, 0.3), (1, 2, 1, 0.3)]
-#: Words of the document passages that the decomposition is fitted on.
+#: Words of the document passages that the decomposition is fitted on, which follow one another through each text.
 FIT_WORDS = 20
-#: Passages the decomposition is fitted on, at most one of a document, besides those of the benchmark.
-FIT_PASSAGES = 20_000
+#: Pairs of words that a task holds before it gives them away, and features of a block of their matrix.
+PAIRS, BLOCK = 500_000, 512
 #: Features the decomposition keeps apart; a larger vocabulary shares them.
 FEATURES = 1 << 15
 RANK, EXTRA, ROUNDS = 128, 10, 2
@@ -135,63 +134,161 @@ def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, answer_col: st
         yield block
 
 
+def pair_counts(passages: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Different pairs of the numbers that stand together in a row of ``passages`` (below 0: none), and how often.
+
+    A pair is ``least * words + greatest``; a number also meets itself, and equal ones at two places meet both ways.
+    """
+    size = np.int32 if words * words < 1 << 31 else np.int64
+    # The known numbers of each row move to its front, so short rows end the loop early.
+    known = passages >= 0
+    row, _ = np.nonzero(known)
+    held = known.sum(1)
+    at = np.arange(len(row)) - np.repeat(np.cumsum(held) - held, held)
+    ids = passages[known].astype(size)
+    keys = [ids * (words + 1)]
+    for lag in range(1, passages.shape[1]):
+        p = np.flatnonzero(at[lag:] >= lag)  # the number ``lag`` before stands in the same row
+        a, b = ids[p], ids[p + lag]
+        keys += [np.minimum(a, b) * words + np.maximum(a, b), a[a == b] * (words + 1)]
+    keys = np.concatenate(keys)
+    keys.sort()
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    return keys[first].astype(np.int64), np.diff(np.append(first, len(keys)))
+
+
+def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each different key once, with its sum of ``n``."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    return keys[first], np.add.reduceat(n[order], first)
+
+
+def _pairs_of(blocks: Iterator[np.ndarray], words: int) -> Iterator[pa.RecordBatch]:
+    """Rows (first, second, n) of the pairs in all blocks of passages; a pair may come in several rows."""
+    found, held = [], 0
+    for passages in blocks:
+        if (passages >= 0).any():
+            found.append(pair_counts(passages, words))
+            held += len(found[-1][0])
+        if held >= 2 * PAIRS:
+            found = [_summed(*map(np.concatenate, zip(*found)))]
+            held = len(found[0][0])
+            if held >= PAIRS:
+                yield _rows_of(*found[0], words)
+                found, held = [], 0
+    if found:
+        yield _rows_of(*_summed(*map(np.concatenate, zip(*found))), words)
+
+
+def _rows_of(keys: np.ndarray, n: np.ndarray, words: int) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(keys // words), pa.array(keys % words), pa.array(n)], names=["first", "second", "n"])
+
+
+_PAIRS = "first long, second long, n long"
+
+
 def _statistics(docs: DataFrame, text_col: str, vocabulary: dict[bytes, int]) -> DataFrame:
-    """One pass over all documents: rows (word, df) of document frequencies, word -1 the documents; and fit passages (ids)."""
-    share = min(1.0, FIT_PASSAGES / max(docs.count(), 1))
+    """One pass over all words of all documents: rows (first, second, n).
+
+    With a ``first`` of -1 they are document frequencies by word, word -1 the documents; else how often two words stand together
+    in a passage, where passages of ``FIT_WORDS`` words follow one another from a document's first word to its last.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, n, passages, known = np.zeros(len(vocabulary), np.int64), 0, [], vocabulary.keys()
-        for batch in batches:
-            for value in batch.column(0):
-                words = words_of(value.as_py())
-                if found := [vocabulary[w] for w in known & set(words)]:
-                    df[found] += 1
-                    draw = zlib.crc32(b" ".join(words[:FIT_WORDS]))
-                    if draw < share * (1 << 32):
-                        at = draw % max(1, len(words) - FIT_WORDS + 1)
-                        passages.append([vocabulary[w] for w in words[at : at + FIT_WORDS] if w in known])
-                n += 1
+        df, n, known = np.zeros(len(vocabulary), np.int64), 0, pa.array(vocabulary, pa.string())
+
+        def passages() -> Iterator[np.ndarray]:
+            nonlocal n
+            for texts in _by_words(value for batch in batches for value in batch.column(0)):
+                n += len(texts)
+                ids, base = numbers(texts, known)
+                ids[ids == len(known)] = -1
+                lengths = np.diff(base)
+                doc = np.repeat(np.arange(len(texts)), lengths)
+                df[:] += np.bincount(np.unique((doc * len(known) + ids)[ids >= 0]) % len(known), minlength=len(known))
+                rows = -(-lengths // FIT_WORDS)
+                out = np.full(rows.sum() * FIT_WORDS, -1, np.int64)
+                out[np.arange(len(ids)) - base[doc] + ((np.cumsum(rows) - rows) * FIT_WORDS)[doc]] = ids
+                yield out.reshape(-1, FIT_WORDS)
+
+        yield from _pairs_of(passages(), len(vocabulary))
         at = np.flatnonzero(df)
-        k = len(passages)
-        word = pa.array([*at.tolist(), -1, *[None] * k], pa.int64())
-        yield pa.RecordBatch.from_arrays([word, pa.array([*df[at].tolist(), n, *[None] * k], pa.int64()), pa.array([*[None] * (len(at) + 1), *passages], pa.list_(pa.int32()))], names=["word", "df", "ids"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at) + 1, -1)), pa.array(np.append(at, -1)), pa.array(np.append(df[at], n))], names=["first", "second", "n"])
+
+    return keep(docs.select(text_col).mapInArrow(count, _PAIRS).groupBy("first", "second").agg(F.sum("n").alias("n")), "statistics")
 
-    return keep(docs.select(text_col).mapInArrow(count, "word long, df long, ids array<int>"), "statistics")
+
+def passage_pairs(rows: DataFrame, words: int) -> DataFrame:
+    """Rows (first, second, n) of the pairs of numbers in the arrays ``ids``, each of which is a passage."""
+
+    def passages(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        for batch in batches:
+            ids, lengths = batch.column(0).flatten().to_numpy(), pc.list_value_length(batch.column(0)).to_numpy()
+            out = np.full((len(lengths), max(lengths, default=0)), -1, np.int64)
+            out[np.arange(out.shape[1]) < lengths[:, None]] = ids
+            yield out
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _pairs_of(passages(batches), words)
+
+    return rows.select("ids").mapInArrow(of, _PAIRS)
 
 
 def randomised_svd(rows: DataFrame, features: int, weights: np.ndarray, rank: int, rounds: int = ROUNDS, seed: int = 7) -> np.ndarray:
-    """Right singular vectors (features x rank) of the sparse matrix with one row per array ``ids``.
+    """Right singular vectors (features x rank) of the sparse matrix with one row per array ``ids``."""
+    return singular_vectors(passage_pairs(rows, len(weights)), features, weights, rank, rounds, seed)
+
+
+def singular_vectors(pairs: DataFrame, features: int, weights: np.ndarray, rank: int, rounds: int = ROUNDS, seed: int = 7) -> np.ndarray:
+    """Right singular vectors (features x rank) of a matrix A of passages, from the pairs (first, second, n) of words in them.
 
-    Each round multiplies by the matrix and its transpose in one distributed pass: tasks add up their
-    rows' part of A'(A Q), blocks of it are summed by key, and only that product, of a size set by
-    features and rank, comes back to be made orthonormal.
+    The weighted pairs are the cells of A'A, kept in blocks: their number is set by the features, not by the passages. Each round multiplies the
+    blocks, which are dealt over the tasks, by a thin matrix Q; the products are summed by key, and only
+    that sum, of a size set by features and rank, comes back to be made orthonormal.
     """
-    size, block = min(features, rank + EXTRA), 1024
-    q = np.linalg.qr(np.random.default_rng(seed).standard_normal((features, size)))[0]
+    spark, size = pairs.sparkSession, min(features, rank + EXTRA)
+    n_blocks = -(-features // BLOCK)
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            i, j, n = (c.to_numpy() for c in batch.columns)
+            value, other = n * weights[i].astype(np.float64) * weights[j], i != j
+            a, b = np.append(i, j[other]) % features, np.append(j, i[other]) % features
+            columns = [a // BLOCK, b // BLOCK, a % BLOCK * BLOCK + b % BLOCK, np.append(value, value[other])]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["block", "other", "at", "value"])
+
+    cells = pairs.select("first", "second", "n").mapInArrow(weigh, "block long, other long, at long, value double")
+    cells = cells.groupBy("block", "other", "at").agg(F.sum("value").alias("value"))
+    blocks = keep(cells.groupBy("block", "other").agg(F.collect_list(F.struct("at", "value")).alias("cells")), "blocks")
 
     def product(q: np.ndarray) -> np.ndarray:
-        shared = rows.sparkSession.sparkContext.broadcast(q)
+        shared = spark.sparkContext.broadcast(np.vstack([q, np.zeros((n_blocks * BLOCK - features, size))]))
 
-        def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            q, out = shared.value, np.zeros((features, size))
+        def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            q, out = shared.value, {}
             for batch in batches:
-                for ids in batch["ids"]:
-                    at = np.asarray(ids) % features
-                    w = weights[ids]
-                    np.add.at(out, at, np.outer(w, w @ q[at]))
-            yield pd.DataFrame({"block": range(0, features, block), "part": [out[a : a + block].tobytes() for a in range(0, features, block)]})
+                for k in range(batch.num_rows):
+                    block, other = batch.column(0)[k].as_py(), batch.column(1)[k].as_py()
+                    at, value = (c.to_numpy() for c in batch.column(2)[k].values.flatten())
+                    dense = np.bincount(at, value, BLOCK * BLOCK).reshape(BLOCK, BLOCK)
+                    out[block] = out.get(block, 0) + dense @ q[other * BLOCK : (other + 1) * BLOCK]
+            yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int32()), pa.array([p.tobytes() for p in out.values()], pa.binary())], names=["block", "part"])
 
         def add(_: tuple, parts: pd.DataFrame) -> pd.DataFrame:
             total = sum(np.frombuffer(p) for p in parts["part"])
             return pd.DataFrame({"block": parts["block"].iloc[:1], "part": [np.asarray(total).tobytes()]})
 
         schema = "block int, part binary"
-        got = rows.select("ids").mapInPandas(partial, schema).groupBy("block").applyInPandas(add, schema).collect()
-        out = np.zeros((features, size))
-        for r in got:
-            out[r.block : r.block + block] = np.frombuffer(r.part).reshape(-1, size)
-        return out
+        # Blocks are few beside passages, so few tasks add them up, and few parts meet to be summed.
+        few = blocks.coalesce(min(SVD_TASKS, spark.sparkContext.defaultParallelism))
+        out = np.zeros((n_blocks * BLOCK, size))
+        for r in few.mapInArrow(partial, schema).groupBy("block").applyInPandas(add, schema).collect():
+            out[r.block * BLOCK : (r.block + 1) * BLOCK] = np.frombuffer(r.part).reshape(-1, size)
+        return out[:features]
 
+    q = np.linalg.qr(np.random.default_rng(seed).standard_normal((features, size)))[0]
     for _ in range(rounds):
         q = np.linalg.qr(product(q))[0]
     values, vectors = np.linalg.eigh(q.T @ product(q))
@@ -203,8 +300,8 @@ def build_index(docs: DataFrame, items: list[Item], text_col: str) -> Index:
     vocabulary = {w: k for k, w in enumerate(sorted({w for item in items for w in [*item.words, *item.answer]}))}
     stats = _statistics(docs, text_col, vocabulary)
     df = np.zeros(len(vocabulary) + 1)
-    for r in stats.where("word is not null").groupBy("word").agg(F.sum("df").alias("df")).collect():  # a row per benchmark word
-        df[r.word] = r.df
+    for r in stats.where("first = -1").collect():  # a row per benchmark word
+        df[r.second] = r.n
     n, df = df[-1], df[:-1]
     weights = np.log((n + 1) / (df + 1)) + 0.1
     weights = np.append(weights, weights.mean()).astype(np.float32)
@@ -216,9 +313,8 @@ def build_index(docs: DataFrame, items: list[Item], text_col: str) -> Index:
         passages += [(scale, k, s, ids[s : s + window]) for s in _starts(len(ids), window, stride).tolist()]
     own = spark.createDataFrame([(p[3].tolist(),) for p in passages], "ids array<int>")
     features = min(len(vocabulary), FEATURES)
-    # Its rows are bounded, so few tasks add them up, and few parts meet to be summed.
-    fit = stats.where("ids is not null").select("ids").unionByName(own).coalesce(min(SVD_TASKS, spark.sparkContext.defaultParallelism))
-    v = randomised_svd(fit, features, weights, RANK)
+    fit = stats.where("first >= 0").unionByName(passage_pairs(own, len(vocabulary)))
+    v = singular_vectors(fit, features, weights, RANK)
     latent = (weights[:-1, None] * v[np.arange(len(vocabulary)) % features]).astype(np.float32)
     scales = []
     for scale, (_, window, stride, least) in enumerate(SCALES):
@@ -235,15 +331,32 @@ def build_index(docs: DataFrame, items: list[Item], text_col: str) -> Index:
     return Index([item.item_id for item in items], words, answers, pa.array(vocabulary, pa.string()), weights, latent, marks, item_marks, scales)
 
 
+def _by_words(texts: Iterable[pa.Scalar]) -> Iterator[list[str | None]]:
+    """The texts in lists of about ``BATCH_WORDS`` words."""
+    batch, size = [], 0
+    for value in texts:
+        batch.append(value.as_py())
+        size += len(batch[-1] or "") // 6
+        if size >= BATCH_WORDS:
+            yield batch
+            batch, size = [], 0
+    if batch:
+        yield batch
+
+
+def numbers(texts: list[str | None], vocabulary: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The words of all texts as numbers, those outside as one more, and where each text begins and ends among them."""
+    # A text without words is one empty word to the split; it matches nothing.
+    split = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pa.array([normal(t) for t in texts], pa.string())))
+    ids = pc.fill_null(pc.index_in(split.flatten(), vocabulary), len(vocabulary)).to_numpy(zero_copy_only=False).astype(np.int64)
+    base = split.offsets.to_numpy()
+    return ids, (base - base[0]).astype(np.int64)
+
+
 def search(texts: list[str | None], index: Index) -> list[list[dict]]:
     """Confirmed matches of each text, the best of each item."""
     out: list[list[dict]] = [[] for _ in texts]
-    split = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pa.array([normal(t) for t in texts], pa.string())))
-    outside = index.vocabulary.__len__()
-    ids = pc.fill_null(pc.index_in(split.flatten(), index.vocabulary), outside).to_numpy(zero_copy_only=False).astype(np.int64)
-    base = split.offsets.to_numpy()
-    base = (base - base[0]).astype(np.int64)
-    # A text without words is one empty word to the split; it matches nothing.
+    ids, base = numbers(texts, index.vocabulary)
     best: dict[tuple[int, int], dict] = {}
     for scale in index.scales:
         for d, k, low, high, cosine in _candidates(ids, base, index, scale):
@@ -319,14 +432,9 @@ def leak_column(text: Column, index: Index, spark) -> Column:
 
     @F.arrow_udf(MATCHES)
     def of(texts: pa.Array) -> pa.Array:
-        index, out, batch, size = shared.value, [], [], 0
-        for value in texts:
-            batch.append(value.as_py())
-            size += len(batch[-1] or "") // 6
-            if size >= BATCH_WORDS:
-                out += search(batch, index)
-                batch, size = [], 0
-        out += search(batch, index) if batch else []
+        index, out = shared.value, []
+        for batch in _by_words(texts):
+            out += search(batch, index)
         fields = [("item_id", pa.int64()), ("start_word", pa.int32()), ("cosine", pa.float64()), ("lcs", pa.float64()), ("answer_found", pa.bool_())]
         return pa.array(out, pa.list_(pa.struct(fields)))
 
@@ -344,8 +452,8 @@ def find_leaks(
     vectors; passages close to an item's passage are candidates. A candidate counts if the longest
     common subsequence of the item's words and the place holds 0.8 of the item, or, for items of ``SHORT``
     words or more, 0.6 of it with its answer (the ``answer`` column, or the item's last sentence).
-    ``start_word`` is where that subsequence starts. The decomposition is fitted on the benchmark and a
-    bounded sample of passages; frequencies, search and confirmation cover all of every text.
+    ``start_word`` is where that subsequence starts. The decomposition is fitted on the benchmark and on
+    all passages of all documents; frequencies, search and confirmation cover all of every text, too.
 
     Null and empty texts, and an empty or wordless benchmark, give empty arrays. Texts are searched whole,
     whatever their length. Repeated rows get equal arrays. Of an item's places in a text the one of the

@@ -113,3 +113,23 @@ def test_empty_tables(spark):
     assert find_leaks(docs.limit(0), bench).isEmpty()
     with pytest.raises(ValueError, match="leaks"):
         find_leaks(docs.withColumnRenamed("doc_id", "leaks"), bench)
+
+
+def test_every_passage_is_in_the_fit(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "PAIRS", 5)
+    rng = random.Random(17)
+    known = {w.encode(): k for k, w in enumerate("abcdefgh")}
+    docs = ["", None] + [" ".join(rng.choice("abcdefghxyz") for _ in range(rng.randint(1, 130))) for _ in range(60)]
+    want, df = np.zeros((8, 8), int), np.zeros(8, int)
+    for words in ((t or "").split() for t in docs):
+        df += [w in words for w in "abcdefgh"]
+        for a in range(0, len(words), decontaminate.FIT_WORDS):
+            n = np.array([words[a : a + decontaminate.FIT_WORDS].count(w) for w in "abcdefgh"])
+            want += np.outer(n, n)
+    rows = decontaminate._statistics(spark.createDataFrame([(t,) for t in docs], "text string").repartition(3), "text", known).collect()
+    got = np.zeros((8, 8), int)
+    for r in rows:
+        if r.first >= 0:
+            got[r.first, r.second] = got[r.second, r.first] = r.n
+    assert (got == want).all()
+    assert {r.second: r.n for r in rows if r.first < 0} == {**dict(enumerate(df.tolist())), -1: len(docs)}
