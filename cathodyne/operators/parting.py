@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cathodyne.functions.flooding import nearest_peaks
 from cathodyne.plans.components import flatten, follow
 from cathodyne.sources.shared import discard, keep
 
+#: Cells of a slice that is parted in one task.
+TOGETHER = 1 << 18
+
 
 def peaks(cells: DataFrame, reach: int, least: int = 1) -> DataFrame:
     """The cells of a region that are deeper than all others of it within ``reach`` rows and columns of their slice.
@@ -62,6 +68,33 @@ def flood(cells: DataFrame, seeds: DataFrame) -> DataFrame:
     return alone.unionByName(placed.join(named, "root").select(*cells.columns, "peak"))
 
 
+def part_regions(cells: DataFrame, reach: int, least: int = 1) -> DataFrame:
+    """The kept ``cells`` with the ``peak`` of ``peaks`` from which ``flood`` reaches each.
+
+    A slice of at most ``TOGETHER`` cells is parted in one task, by the same order of edges; larger ones go through the rounds of joins.
+    """
+    whole = ["image_id", "z"]
+    large = keep(cells.groupBy(*whole).count().where(F.col("count") > TOGETHER).select(*whole), "large")
+    some = not large.isEmpty()
+    small = cells.join(large, whole, "left_anti") if some else cells
+    flat = small.select("image_id", "z", "y", "x", "depth2", *[F.col(f"region.{c}").alias(f"region_{c}") for c in ("z", "y", "x0")])
+
+    def of(cells: pa.Table) -> pa.Table:
+        cells = cells.sort_by([("y", "ascending"), ("x", "ascending")])
+        y, x, depth2 = (cells.column(c).to_numpy().astype(np.int64) for c in ("y", "x", "depth2"))
+        names = np.stack([cells.column(f"region_{c}").to_numpy() for c in ("z", "y", "x0")], axis=1)
+        peak = nearest_peaks(y, x, depth2, np.unique(names, axis=0, return_inverse=True)[1].ravel(), reach, least)
+        return cells.append_column("peak_y", pa.array(y[peak].astype(np.int32))).append_column("peak_x", pa.array(x[peak].astype(np.int32)))
+
+    schema = "image_id string, z int, y int, x int, depth2 long, region_z int, region_y int, region_x0 int, peak_y int, peak_x int"
+    region, peak = F.struct(*[F.col(f"region_{c}").alias(c) for c in ("z", "y", "x0")]), F.struct(*[F.col(f"peak_{c}").alias(c) for c in "yx"])
+    out = flat.groupBy(*whole).applyInArrow(of, schema).select("image_id", "z", "y", "x", "depth2", region.alias("region"), peak.alias("peak"))
+    if some:
+        rest = keep(cells.join(large, whole, "left_semi"), "large-cells")
+        out = out.unionByName(flood(rest, peaks(rest, reach, least)).select(*out.columns))
+    return out
+
+
 def _seeded(id_col: str) -> Column:
     return F.col(id_col).bitwiseAND(F.lit(1)) == 1
 

@@ -27,20 +27,24 @@ def region_tree(cells: DataFrame, levels: int, min_area: int = 2) -> DataFrame:
     as the largest region and not one per level, and its data are those of the cells times the levels
     they reach. A region lies in the one of the level below that holds its first cell.
     """
-    labelled = keep(label_runs(level_runs(cells, levels)), "levels")
-    sets = labelled.groupBy("image_id", "z", "region").agg(F.sum(F.col("x1") - F.col("x0") + 1).alias("area"))
+    return tree_of(label_runs(level_runs(cells, levels)), min_area)
+
+
+def tree_of(labelled: DataFrame, min_area: int = 2) -> DataFrame:
+    """The tree, from the runs of all levels with their regions, a slice ``z`` for each level."""
+    labelled = keep(labelled, "levels")
+    sets = keep(labelled.groupBy("image_id", "z", "region").agg(F.sum(F.col("x1") - F.col("x0") + 1).alias("area")), "sets")
     seed = ["image_id", F.col("region.y").alias("seed_y"), F.col("region.x0").alias("seed_x")]
     nodes = sets.groupBy(*seed, "area").agg(F.max("z").alias("level"), F.min("z").alias("base"))
     nodes = keep(nodes, "nodes")
     # The run below that holds a node's first cell, by row and strip of columns.
     strips = F.explode(F.sequence(F.floor(F.col("x0") / STRIP), F.floor(F.col("x1") / STRIP)))
-    runs = labelled.join(sets, ["image_id", "z", "region"]).select(
-        "image_id", "z", "y", "x0", "x1", strips.alias("strip"), F.col("area").alias("parent_area"), F.col("region.y").alias("parent_y"), F.col("region.x0").alias("parent_x")
-    )
+    runs = labelled.select("image_id", "z", "y", "x0", "x1", strips.alias("strip"), "region")
     below = nodes.where("base > 1").select("*", (F.col("base") - 1).alias("z"), F.col("seed_y").alias("y"), F.floor(F.col("seed_x") / STRIP).alias("strip"))
     found = below.join(runs, ["image_id", "z", "y", "strip"]).where("x0 <= seed_x and seed_x <= x1")
     key = ["image_id", "seed_y", "seed_x", "area"]
-    parents = found.select(*key, "parent_y", "parent_x", "parent_area")
+    found = found.select(*key, "z", "region").join(sets.withColumnRenamed("area", "parent_area"), ["image_id", "z", "region"])
+    parents = found.select(*key, F.col("region.y").alias("parent_y"), F.col("region.x0").alias("parent_x"), "parent_area")
     tree = nodes.join(parents, key, "left").withColumn("growth", (F.col("parent_area") - F.col("area")) / F.col("area"))
     tree = keep(tree, "tree")
     above = tree.select("image_id", F.col("seed_y").alias("parent_y"), F.col("seed_x").alias("parent_x"), F.col("area").alias("parent_area"), F.col("level").alias("parent_level"), F.col("growth").alias("parent_growth"))

@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cathodyne.operators.depth import cell_depths, region_depths
-from cathodyne.operators.fields import above_neighbourhood, box_sums, dense
+from cathodyne.operators.fields import box_regions, cells_above, level_regions
 from cathodyne.operators.outline import region_outlines
-from cathodyne.operators.parting import flood, part_areas, peaks
+from cathodyne.operators.parting import part_areas, part_regions
 from cathodyne.operators.regions import cell_runs, classify, label_runs, region_properties, summarise
 from cathodyne.operators.tracks import region_tracks
-from cathodyne.operators.tree import region_tree
+from cathodyne.operators.tree import tree_of
 from cathodyne.plans.defects import default_classes, defects_of
 from cathodyne.sources.shared import keep, new_path
 from cathodyne.streaming.volumes import STRIP_SCHEMA, link_slices, run_strips, volume_regions
@@ -83,22 +83,20 @@ REACH, LEAST_PEAK = 2, 2
 
 
 def field(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every cell of one frame per supplier: the number of its items by days of the year and parts modulo ``FIELD_WIDTH``."""
+    """Cells of one frame per supplier, a row for each of its items: by days of the year and parts modulo ``FIELD_WIDTH``."""
     items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_suppkey", "l_shipdate", "l_partkey")
     y = F.floor((F.dayofyear("l_shipdate") - 1) / FIELD_DAYS).cast("int")
     at = [F.col("l_suppkey").cast("string").alias("image_id"), F.lit(0).alias("z"), y.alias("y"), (F.col("l_partkey") % FIELD_WIDTH).cast("int").alias("x")]
-    cells = keep(items.groupBy(*at).agg(F.count("*").alias("value")), "field")
-    return dense(cells, cells.select("image_id", "z").distinct(), FIELD_HEIGHT, FIELD_WIDTH)
+    return items.select(*at, F.lit(1).alias("value"))
 
 
 def _lit_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lit = box_sums(field(spark, sf_dir), RADIUS).where(F.col("box") >= FIELD_LIT)
-    return label_runs(cell_runs(lit.select("image_id", "z", "y", "x", F.col("box").cast("double").alias("value"))))
+    return box_regions(field(spark, sf_dir), RADIUS, FIELD_HEIGHT, FIELD_WIDTH, FIELD_LIT)
 
 
 def raster_local(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells of the fields above the mean of their neighbourhood."""
-    return above_neighbourhood(field(spark, sf_dir), RADIUS, FIELD_HEIGHT, FIELD_WIDTH).select("image_id", "y", "x", "value", "box")
+    return cells_above(field(spark, sf_dir), RADIUS, FIELD_HEIGHT, FIELD_WIDTH).select("image_id", "y", "x", "value", "box")
 
 
 def raster_depths(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,13 +112,12 @@ def raster_outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def raster_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same regions, parted where they have several deep cells."""
     cells = keep(cell_depths(_lit_runs(spark, sf_dir)), "depths")
-    return part_areas(flood(cells, peaks(cells, REACH, LEAST_PEAK))).drop("z")
+    return part_areas(part_regions(cells, REACH, LEAST_PEAK)).drop("z")
 
 
 def raster_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tree of the smoothed fields' regions over all levels."""
-    level = F.floor(F.col("box") / FIELD_STEP).cast("int")
-    return region_tree(box_sums(field(spark, sf_dir), RADIUS).select("image_id", "y", "x", level.alias("level")), FIELD_LEVELS)
+    return tree_of(level_regions(field(spark, sf_dir), RADIUS, FIELD_HEIGHT, FIELD_WIDTH, FIELD_STEP, FIELD_LEVELS))
 
 
 #: Rows of a yearly field, days of a row, least sum of a lit cell, and the first year.
@@ -132,10 +129,7 @@ def raster_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_suppkey", "l_shipdate", "l_partkey")
     y = F.floor((F.dayofyear("l_shipdate") - 1) / YEAR_DAYS).cast("int")
     at = [F.col("l_suppkey").cast("string").alias("image_id"), (F.year("l_shipdate") - FIRST_YEAR).alias("z"), y.alias("y"), (F.col("l_partkey") % FIELD_WIDTH).cast("int").alias("x")]
-    cells = keep(items.groupBy(*at).agg(F.count("*").alias("value")), "field")
-    whole = dense(cells, cells.select("image_id", "z").distinct(), YEAR_HEIGHT, FIELD_WIDTH)
-    lit = box_sums(whole, RADIUS).where(F.col("box") >= YEAR_LIT).select("image_id", "z", "y", "x", F.col("box").cast("double").alias("value"))
-    return region_tracks(label_runs(cell_runs(lit)))
+    return region_tracks(box_regions(items.select(*at, F.lit(1).alias("value")), RADIUS, YEAR_HEIGHT, FIELD_WIDTH, YEAR_LIT))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

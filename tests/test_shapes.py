@@ -4,16 +4,18 @@ import heapq
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cathodyne.functions.envelope import lower_envelope
-from cathodyne.operators import depth, regions
+from cathodyne.operators import depth, fields, parting, regions
 from cathodyne.operators.depth import cell_depths, region_depths
-from cathodyne.operators.fields import above_neighbourhood, box_sums, dense
+from cathodyne.operators.fields import above_neighbourhood, box_regions, box_sums, cells_above, dense, level_regions
 from cathodyne.operators.outline import region_outlines
-from cathodyne.operators.parting import flood, part_areas, peaks
+from cathodyne.operators.parting import flood, part_areas, part_regions, peaks
 from cathodyne.operators.regions import cell_runs, label_runs
 from cathodyne.operators.tracks import region_tracks
-from cathodyne.operators.tree import region_tree
+from cathodyne.operators.tree import level_runs, region_tree
+from cathodyne.plans.queries import QUERIES
 
 CELLS = "image_id string, z int, y int, x int, value double"
 
@@ -239,3 +241,82 @@ def test_outlines(spark, monkeypatch, strip):
     got = {(r.image_id, r.z, (r.seed_y, r.seed_x)): (r.area, r.perimeter, r.euler, r.holes) for r in region_outlines(labelled(spark, frames)).collect()}
     want = {(i, z, seed): plain_outline(cells) for (i, z), m in frames.items() for seed, cells in regions_of(m).items()}
     assert got == want and max(w[3] for w in want.values()) > 3
+
+
+def sparse(spark, frames):
+    """The cells of frames that are not 0, in two rows each, and all cells."""
+    some = [(i, z, int(y), int(x), part) for (i, z), f in frames.items() for (y, x), v in np.ndenumerate(f) if v for part in (1, int(v) - 1)]
+    cells = spark.createDataFrame(some, "image_id string, z int, y int, x int, value long").repartition(3)
+    summed = cells.groupBy("image_id", "z", "y", "x").agg(F.sum("value").alias("value"))
+    return cells, dense(summed, spark.createDataFrame(list(frames), "image_id string, z int"), 17, 11)
+
+
+def field_frames():
+    rng = np.random.default_rng(10)
+    return {(i, z): rng.integers(1, 6, (17, 11)) * (rng.random((17, 11)) < 0.5) for i, z in (("a", 0), ("a", 1), ("b", 5))}
+
+
+@pytest.mark.parametrize("band, radius", [(64, 2), (5, 2), (3, 4), (4, 0)])
+def test_fields_in_bands_equal_dense_ones(spark, monkeypatch, band, radius):
+    for module in (fields, regions):
+        monkeypatch.setattr(module, "BAND", band)
+    cells, whole = sparse(spark, field_frames())
+    columns = ["image_id", "z", "y", "x", "value", "box"]
+    rows = lambda df, *names: sorted(map(tuple, df.select(*names).collect()))
+    assert rows(cells_above(cells, radius, 17, 11), *columns) == rows(above_neighbourhood(whole, radius, 17, 11), *columns)
+    least = 3 if radius == 0 else 4 * radius * radius + 20
+    lit = box_sums(whole, radius).where(f"box >= {least}").selectExpr("image_id", "z", "y", "x", "double(box) value")
+    want = {(r.image_id, r.z, *seed, len(own)) for (r, seed, own) in _regions_of_rows(lit.collect())}
+    got = box_regions(cells, radius, 17, 11, least).selectExpr("*", "x1 - x0 + 1 n").groupBy("image_id", "region").sum("n").collect()
+    assert {(r.image_id, r.region.z, r.region.y, r.region.x0, r["sum(n)"]) for r in got} == want and len(want) >= 3
+    names = ["image_id", "z", "y", "x0", "x1", "region"]
+    flat = cells.where("z = 5")
+    levels = box_sums(whole.where("z = 5"), radius).selectExpr("image_id", "y", "x", "int(floor(box / 3)) level")
+    assert rows(level_regions(flat, radius, 17, 11, 3, 6), *names) == rows(label_runs(level_runs(levels, 6)), *names)
+
+
+def _regions_of_rows(rows):
+    by = {}
+    for r in rows:
+        by.setdefault((r.image_id, r.z), (r, set()))[1].add((r.y, r.x))
+    for r, cells in by.values():
+        mask = np.zeros((40, 40), bool)
+        mask[tuple(zip(*cells))] = True
+        yield from ((r, seed, own) for seed, own in regions_of(mask).items())
+
+
+@pytest.mark.parametrize("together", [1 << 18, 100, 0])
+def test_parts_of_small_and_large_slices_are_the_same(spark, monkeypatch, together):
+    monkeypatch.setattr(parting, "TOGETHER", together)
+    frames = masks()
+    cells = cell_depths(labelled(spark, frames))
+    want = {}
+    for (i, z), m in frames.items():
+        deep = depths_of(m)
+        for own in regions_of(m).values():
+            want |= {(i, z, *c): p for c, p in flooded(own, deep, peaks_of(own, deep, 2, 2)).items()}
+    assert {(r.image_id, r.z, r.y, r.x): (r.peak.y, r.peak.x) for r in part_regions(cells, 2, 2).collect()} == want
+
+
+@pytest.mark.parametrize("diagonal, volume", [(False, False), (True, False), (True, True)])
+def test_regions_go_on_through_bands(spark, monkeypatch, diagonal, volume):
+    grid = np.random.default_rng(11).random((5, 23, 40)) < 0.45
+    rows = spark.createDataFrame([("i", *map(int, c), 1.0) for c in np.argwhere(grid)], CELLS)
+    want = sorted(map(tuple, label_runs(cell_runs(rows), diagonal, volume).collect()))
+    monkeypatch.setattr(regions, "BAND", 4)
+    monkeypatch.setattr(regions, "SLICES", 2)
+    assert sorted(map(tuple, label_runs(cell_runs(rows), diagonal, volume).collect())) == want
+
+
+def moved(spark):
+    """Bytes that the session's stages have shuffled, spilled and written."""
+    none, store = spark._jvm.java.util.ArrayList(), spark.sparkContext._jsc.sc().statusStore()
+    stages = store.stageList(none, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), none)
+    return sum(s.shuffleWriteBytes() + s.diskBytesSpilled() + s.outputBytes() for s in map(stages.apply, range(stages.size())))
+
+
+@pytest.mark.parametrize("name", ["raster_local", "raster_depths", "raster_outlines", "raster_parts", "raster_tree", "raster_tracks"])
+def test_fields_travel_once(spark, name):
+    before = moved(spark)
+    QUERIES[name](spark, "/root/testdata/sf0.01").write.format("noop").mode("overwrite").save()
+    assert moved(spark) - before < 80 * 60_000  # bytes for each item; a dense field alone has more
