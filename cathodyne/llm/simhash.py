@@ -28,7 +28,7 @@ BANDS, ROWS = 24, 5
 #: Blocks of a connected set of texts that are looked at together; a larger set is looked at bucket by bucket.
 MOST_BLOCKS = 8
 #: Rows and cells of a tile of pairs.
-TILE, CELLS = 512, 1 << 22
+TILE, CELLS = 512, 1 << 20
 #: Bytes of text whose words are held at once.
 BLOCK = 1 << 20
 
