@@ -17,6 +17,18 @@ from cathodyne.llm.simhash import drop_near_duplicates, simhash_groups
 LEAST_SCORE = 0.5
 #: Bits within which fingerprints of shingles are candidates, words of a shingle, and the similarity that confirms a pair.
 BITS, SHINGLE, SIMILARITY = 4, 5, 0.8
+#: Rows and bytes that a task hands to Python at once.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Sets ``BATCH`` for the session, and leaves it set, as what a stage returns runs later.
+
+    By default a batch has 10,000 rows, which are copied in the executor's direct memory and in each of its
+    Python workers, beside the heap. No result depends on the size of a batch.
+    """
+    for key, value in BATCH.items():
+        spark.conf.set(key, value)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,6 +38,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ids are no matter. Texts are scored whole, ties go to the language that sorts first. An empty
     table, or one without labels, gives an empty one. Other columns stay, whatever their names.
     """
+    small_batches(spark)
     model = train(docs.where(F.crc32(F.col("doc_id").cast("string")) % 3 != 1))
     name = column_free_of(docs, "found_language")
     found = docs.withColumn(name, identify(F.col("text"), model))
@@ -40,6 +53,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     share an id, or have none, are told apart by their texts. Texts are compared whole. An empty table
     gives an empty one. Other columns stay, whatever their names.
     """
+    small_batches(spark)
     return drop_near_duplicates(docs, keep(simhash_groups(docs, max_bits=BITS, width=SHINGLE, similarity=SIMILARITY), "groups"))
 
 
@@ -50,6 +64,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     within a text change nothing. An empty table gives an empty one, an empty benchmark drops nothing.
     Other columns stay, whatever their names.
     """
+    small_batches(spark)
     name = column_free_of(docs, "found_leaks")
     found = find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), out_col=name)
     return found.where(F.size(name) == 0).select(*docs.columns)
@@ -63,6 +78,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     share the words where a budget ends among them. Long texts may be cut where a budget ends. An empty
     table gives an empty one. Other columns stay, whatever their names.
     """
+    small_batches(spark)
     return apply_mix(docs, keep(mix_sources(docs), "mix"), chars_col="n_chars")
 
 
@@ -72,6 +88,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts are one end token, null ids stay null, repeated rows are packed each, long
     texts are split over rows, ties of length go by order. An empty table gives no rows. Other columns are not read.
     """
+    small_batches(spark)
     return pack_tokens(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), width=2048)
 
 

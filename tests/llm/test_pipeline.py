@@ -5,8 +5,10 @@ import random
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
+from cathodyne.llm import simhash
 from cathodyne.llm.tokenizers import Encoder, file_bytes
 
 
@@ -80,3 +82,16 @@ def test_pairs_of_copies_at_the_promised_similarity_are_found(spark):
     assert min(shares) < 0.83 and all(s >= 0.8 for s in shares)
     kept = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
     assert sorted(r.doc_id for r in kept.collect()) == list(range(0, 600, 2))
+
+
+def test_texts_go_to_python_in_small_batches(spark, monkeypatch):
+    def few(texts):
+        assert len(texts) <= 2000
+        return texts
+
+    profile = simhash.shingle_profile
+    monkeypatch.setattr(simhash, "shingle_profile", lambda text, width: profile(F.pandas_udf(few, "string")(text), width))
+    docs = spark.range(0, 5000, 1, 1).select(F.col("id").alias("doc_id"), F.concat(F.lit("w"), F.col("id").cast("string")).alias("text"))
+    for key in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"):
+        spark.conf.unset(key)
+    assert corpus_pipeline.near_dedup(spark, docs, "").count() == 5000
