@@ -13,11 +13,13 @@ from cathodyne.llm.common import bucketed, connected_components, discard, keep,
 
 #: Different lines that share a segment as they are; where more do, they must share a segment of the rest too.
 CROWD = 500
+#: What is cut off the ends of a line.
+BLANKS = " \t\r\x0b\x0c"
 #: Letters whose numbers tell lines apart before they are compared.
 LETTERS = "etaoinshrdlucmgp"
 
 
-def _segment(length: Column, i: Column, tau: int) -> tuple[Column, Column]:
+def _segment(length: Column, i: Column, tau: Column) -> tuple[Column, Column]:
     """Start (from 1) and size of segment ``i`` (from 1) of ``tau + 1`` even ones; the last ones take the remainder."""
     base, longer = F.floor(length / (tau + 1)).cast("int"), length % (tau + 1)
     ahead = F.greatest(F.lit(0), i + longer - (tau + 2))  # longer segments before this one
@@ -63,28 +65,31 @@ def by_length(tau: int | Sequence[tuple[int, int]]) -> list[tuple[int, int, int]
 
 
 def segments(lines: DataFrame, steps: list[tuple[int, int, int]], own: bool) -> DataFrame:
-    """Rows (key, h, line, n, bag, least, most, tau, start, size) of lines (key, h, line, n, whole, bag): hashes of substrings.
+    """Rows (key, h, line, n, whole, start, size, and what else there is) of lines (key, h, line, n, whole): hashes of substrings.
 
     ``whole`` is the length that the steps go by, which is that of the line; ``n`` may be that of what is left of it. A key
-    holds the key before it, the lengths and the segment that the substring is for.
+    holds the key before it, the lengths and the segment that the substring is for. Lines are read once for all steps.
     """
-    parts = []
-    for least, most, tau in steps:
-        at = F.array(*[F.struct(F.lit(less).alias("less"), F.lit(i).alias("i"), F.lit(shift).alias("shift")) for less, i, shift in positions(tau, own)])
-        rows = lines.where(F.col("whole").between(least, most + (0 if own else tau))).withColumn("p", F.explode(at))
-        length = F.col("n") - F.col("p.less")
-        start, size = _segment(length, F.col("p.i"), tau)
-        rows = rows.select("*", length.alias("length"), (start + F.col("p.shift")).alias("start"), size.alias("size"), (F.col("whole") - F.col("p.less")).alias("shorter"))
-        rows = rows.where(F.col("shorter").between(least, most) & (F.col("start") >= 1) & (F.col("start") + F.col("size") - 1 <= F.col("n")))
-        key = F.xxhash64("key", F.substring("line", F.col("start"), F.col("size")), "length", "p.i", F.lit(tau))
-        parts.append(rows.select(key.alias("key"), "h", "line", "n", "whole", "bag", "start", "size"))
-    return reduce(DataFrame.unionByName, parts)
+    reach = [(least, most + (0 if own else tau)) for least, most, tau in steps]
+    at = F.lit(None)
+    for low in sorted({least for least, _ in reach} | {most + 1 for _, most in reach}):
+        found = [(*step, *position) for step, (least, most) in zip(steps, reach) if least <= low <= most for position in positions(step[2], own)]
+        names = ("least", "most", "tau", "less", "i", "shift")
+        some = F.array(*[F.struct(*[F.lit(x).alias(name) for name, x in zip(names, row)]) for row in found]) if found else F.lit(None)
+        at = F.when(F.col("whole") >= low, some).otherwise(at)
+    rows = lines.withColumn("p", F.explode(at))
+    length = F.col("n") - F.col("p.less")
+    start, size = _segment(length, F.col("p.i"), F.col("p.tau"))
+    rows = rows.select("*", length.alias("length"), (start + F.col("p.shift")).alias("start"), size.alias("size"), (F.col("whole") - F.col("p.less")).alias("shorter"))
+    rows = rows.where(F.col("shorter").between(F.col("p.least"), F.col("p.most")) & (F.col("start") >= 1) & (F.col("start") + F.col("size") - 1 <= F.col("n")))
+    key = F.xxhash64("key", F.substring("line", F.col("start"), F.col("size")), "length", "p.i", "p.tau")
+    return rows.withColumn("key", key).drop("p", "length", "shorter")
 
 
 def _rest(rows: DataFrame) -> DataFrame:
     """Lines without the segment of their key: what two lines share stands apart, and the rest is within the same edits."""
     line = F.concat(F.substring("line", F.lit(1), F.col("start") - 1), F.substring("line", F.col("start") + F.col("size"), F.col("n")))
-    return rows.select("key", "h", line.alias("line"), (F.col("n") - F.col("size")).alias("n"), "whole", "bag")
+    return rows.select("key", "h", line.alias("line"), (F.col("n") - F.col("size")).alias("n"), "whole")
 
 
 def _common(a: Column, b: Column, limit: Column, part: Callable[[Column, Column], Column]) -> Column:
@@ -163,43 +168,73 @@ def within(a: Column, b: Column, tau: int) -> Column:
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Rows (doc_id, text_key, line_no, line, h): lines between line feeds, without ASCII white space at the ends, and their 64-bit hash."""
-    exploded = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.posexplode(F.split(F.col(text_col), "\n")).alias("line_no", "line"))
-    return exploded.select("doc_id", "text_key", "line_no", F.trim("line", F.lit(" \t\r\x0b\x0c")).alias("line")).withColumn("h", F.xxhash64("line"))
+    # A text is hashed before it is split, once and not for each line; few lines have blanks at their ends.
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
+    exploded = texts.select("doc_id", "text_key", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    blank = reduce(Column.__or__, [at("line", F.lit(c)) for c in BLANKS for at in (F.startswith, F.endswith)])
+    line = F.when(blank, F.trim("line", F.lit(BLANKS))).otherwise(F.col("line"))
+    return exploded.select("doc_id", "text_key", "line_no", line.alias("line")).withColumn("h", F.xxhash64("line"))
 
 
 def line_links(distinct_lines: DataFrame, tau: int | Sequence[tuple[int, int]]) -> DataFrame:
-    """Pairs (a, b), a < b, of hashes of different lines within ``tau`` edits; ``distinct_lines`` has (h, line, n, bag), a row per line.
+    """Pairs (a, b), a < b, of hashes of different lines within ``tau`` edits; ``distinct_lines`` has (h, line, n), a row per line.
 
     With steps for ``tau`` a pair is within the edits of its shorter line. Lines that share a segment but differ by a
     word would meet in great numbers where a text has many variants. A segment that more than ``CROWD`` lines have is no
     key by itself: what is left of its lines is within the same edits, so those that link share a segment
-    of the rest as well, and both make the key, and so on while a rest is long enough. The join itself leaves out
-    lines whose letters differ too much.
+    of the rest as well, and both make the key, and so on while a rest is long enough. Most lines share no key
+    with another. Those that do are found by keys and hashes alone; only their letters are counted, and
+    the join of these lines leaves out pairs whose letters differ too much.
     """
     steps = by_length(tau)
     most = max(t for *_, t in steps)
-    parts = 4 * distinct_lines.sparkSession.sparkContext.defaultParallelism
-    lines = distinct_lines.select(F.lit(0).cast("long").alias("key"), "h", "line", "n", F.col("n").alias("whole"), "bag")
-    level = {own: segments(lines, steps, own) for own in (False, True)}
-    done: dict[bool, DataFrame] = {}
+    spark = distinct_lines.sparkSession
+    parts = 4 * spark.sparkContext.defaultParallelism
+
+    def keyed(lines: DataFrame, own: bool) -> DataFrame:
+        rows = lines.select(F.lit(0).cast("long").alias("key"), "h", "line", "n", F.col("n").alias("whole"))
+        return segments(rows, steps, own)
+
+    level = {own: keyed(distinct_lines, own) for own in (False, True)}
+    # The index is counted and joined, so it is dealt out once; a part of it makes one file.
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    index = counted = bucketed(level[True].select("key", "h", "n").repartition(buckets, "key"), "key")
+    crowds, deeper = [], []
     while True:
-        crowded = level[True].groupBy("key").agg(F.count("*").alias("rows"), F.min("n").alias("n"))
+        crowded = counted.groupBy("key").agg(F.count("*").alias("rows"), F.min("n").alias("n"))
         crowded = keep(crowded.where((F.col("rows") > CROWD) & (F.col("n") > 3 * most)).select("key"), "crowded")
-        last = crowded.isEmpty()
-        for own, rows in level.items():
-            name = "i" if own else "p"
-            plain = rows if last else rows.join(crowded, "key", "left_anti")
-            plain = plain.select("key", F.col("h").alias(name), F.col("bag").alias(f"bag_{name}"))
-            done[own] = done[own].unionByName(plain) if own in done else plain
-        if last:
+        if crowded.isEmpty():
             break
+        crowds.append(crowded)
         level = {own: keep(segments(_rest(rows.join(crowded, "key", "left_semi")), steps, own), "segments") for own, rows in level.items()}
-    probe, index = done[False], done[True]
-    alike = (F.col("p") != F.col("i")) & (bag_distance(F.col("bag_p"), F.col("bag_i")) <= 2 * most)
-    meet = probe.join(index, "key").where(alike).select(F.least("p", "i").alias("a"), F.greatest("p", "i").alias("b")).distinct()
-    pairs = keep(meet, "pairs")
-    involved = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
-    texts = keep(distinct_lines.join(involved, "h", "left_semi").select("h", "line"), "texts")
+        deeper.append(level)
+        counted = level[True]
+
+    def plain(first: DataFrame, own: bool) -> list[DataFrame]:
+        """Rows with keys that are not crowded: of the ``first`` ones, and of what stands behind the crowded ones, level by level."""
+        rows = [first, *(level[own] for level in deeper)]
+        return [x.join(crowded, "key", "left_anti") for x, crowded in zip(rows, crowds)] + rows[len(crowds) :]
+
+    def named(rows: DataFrame, name: str) -> DataFrame:
+        return rows.select("key", F.col("h").alias(name), *[F.col("bag").alias(f"bag_{name}") for c in rows.columns if c == "bag"])
+
+    def meet(probe: list[DataFrame], index: list[DataFrame]) -> DataFrame:
+        both = [named(p, "p").join(named(i, "i"), "key").where("p != i") for p, i in zip(probe, index)]
+        return reduce(DataFrame.unionByName, both)
+
+    def shared(probe: DataFrame, index: DataFrame) -> DataFrame:
+        """Lines that meet another at a key, a row per probe at most: a line probes at its own keys, so of several in the index each is found by itself."""
+        ends = index.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high"))
+        return probe.join(ends, "key").where("h != low or h != high").select(F.explode(F.array("h", "low")).alias("h"))
+
+    sharing = reduce(DataFrame.unionByName, map(shared, plain(keyed(distinct_lines, False), False), plain(index, True))).distinct()
+    texts = keep(distinct_lines.join(sharing, "h", "left_semi").select("h", "line", "n", letter_bag(F.col("line")).alias("bag")), "texts")
+    discard(index)
+    bags = texts.select("h", "bag")
+    probe, index = ([rows.select("key", "h").join(bags, "h") for rows in plain(keyed(texts, own), own)] for own in (False, True))
+    alike = meet(probe, index).where(bag_distance(F.col("bag_p"), F.col("bag_i")) <= 2 * most)
+    meeting = alike.select(F.least("p", "i").alias("a"), F.greatest("p", "i").alias("b")).distinct()
+    pairs = keep(meeting, "pairs")
     # The test takes long for a row's size, so its rows are dealt out by number and not by bytes.
     a, b = (texts.select(F.col("h").alias(x), F.col("line").alias(f"line_{x}")).repartition(parts, x) for x in "ab")
     both = pairs.repartition(parts, "a").join(a, "a").repartition(parts, "b").join(b, "b")
@@ -231,8 +266,8 @@ def line_classes(docs: DataFrame, tau: int | Sequence[tuple[int, int]] = 2, min_
     classed = lines.where(F.length("line") >= least)
     place = F.struct("doc_id", "line_no", "text_key")
     known = classed.groupBy("h").agg(F.first("line").alias("line"), F.min(place).alias("first"), F.count("*").alias("rows"))
-    known = table = bucketed(known.withColumn("n", F.length("line")).withColumn("bag", letter_bag(F.col("line"))), "h")
-    links = keep(line_links(known.where(F.col("n") >= min_chars).select("h", "line", "n", "bag"), tau), "line-links")
+    known = table = bucketed(known.withColumn("n", F.length("line")), "h")
+    links = keep(line_links(known.where(F.col("n") >= min_chars).select("h", "line", "n"), tau), "line-links")
     degrees = links.select(F.explode(F.array("a", "b")).alias("h")).groupBy("h").agg(F.count("*").alias("n_links"))
     classes = connected_components(links).withColumnRenamed("id", "h")
     marked = known.select("h", "first", "rows").join(degrees, "h", "left").join(classes, "h", "left").withColumn("class_id", F.coalesce("component", "h"))

@@ -148,3 +148,31 @@ def test_short_lines_need_more_in_common(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: (r.n_lines, r.n_dropped) for r in queries.op9_lines(spark, str(tmp_path)).collect()}
     assert got == {1: (4, 0), 2: (2, 0), 3: (3, 1), 4: (2, 1)}
+
+
+def test_letters_are_counted_only_where_a_segment_is_shared(spark, monkeypatch):
+    """Lines that share no segment with another are known by keys and hashes; they are read once for all steps."""
+    rng = random.Random(31)
+    made = {}
+    real = line_dedup.keep
+
+    def noted(df, name="step"):
+        made[name] = kept = real(df, name)
+        return kept
+
+    monkeypatch.setattr(line_dedup, "keep", noted)
+    lines = ["".join(rng.choice("bcfjkqvwxz") for _ in range(rng.randint(30, 60))) for _ in range(300)]
+    lines += [lines[0][:9] + "e" + lines[0][10:], lines[1] + "eee"]
+    df = spark.createDataFrame([(k, x, len(x)) for k, x in enumerate(lines)], "h long, line string, n int")
+    assert [tuple(r) for r in line_links(df, ((9, 1), (17, 2))).collect()] == [(0, 300)]
+    assert 2 <= made["texts"].count() <= 4 and "bag" in made["texts"].columns
+    keyed = line_dedup.segments(df.selectExpr("0L as key", "h", "line", "n", "n as whole"), line_dedup.by_length(((9, 1), (17, 2))), False)
+    assert "Union" not in keyed._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_ends_of_lines(spark):
+    ends = ["", " ", "\t", "\r", "\x0b", "\x0c", " \r", "\t \x0c", " ", "x "]
+    lines = [a + body + b for a in ends for b in ends for body in ("", "a", "one two")]
+    docs = spark.createDataFrame([(1, "\n".join(lines)), (2, None)], "doc_id long, text string")
+    got = [r.line for r in line_dedup.lines_of(docs, "doc_id", "text").orderBy("line_no").collect()]
+    assert got == [x.strip(" \t\r\x0b\x0c") for x in lines]
