@@ -19,8 +19,8 @@ from cathodyne.llm.common import keep
 SCALES = [(12, 20, 10, 0.5), (6, 10, 5, 0.4), (3, 5, 2, 0.3), (1, 2, 1, 0.3)]
 #: Words of the document passages that the decomposition is fitted on, which follow one another through each text.
 FIT_WORDS = 20
-#: Pairs of words that a task holds before it gives them away, and features of a block of their matrix.
-PAIRS, BLOCK = 500_000, 512
+#: Pairs of words that a task holds before it gives them away, those it gives away at once, and features of a block of their matrix.
+PAIRS, PAIR_ROWS, BLOCK = 500_000, 1 << 15, 512
 #: Features the decomposition keeps apart; a larger vocabulary shares them.
 FEATURES = 1 << 15
 RANK, EXTRA, ROUNDS = 128, 10, 2
@@ -154,7 +154,7 @@ def pair_counts(passages: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarra
     keys = np.concatenate(keys)
     keys.sort()
     first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-    return keys[first].astype(np.int64), np.diff(np.append(first, len(keys)))
+    return keys[first], np.diff(np.append(first, len(keys)))
 
 
 def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -176,14 +176,17 @@ def _pairs_of(blocks: Iterator[np.ndarray], words: int) -> Iterator[pa.RecordBat
             found = [_summed(*map(np.concatenate, zip(*found)))]
             held = len(found[0][0])
             if held >= PAIRS:
-                yield _rows_of(*found[0], words)
+                yield from _rows_of(*found[0], words)
                 found, held = [], 0
     if found:
-        yield _rows_of(*_summed(*map(np.concatenate, zip(*found))), words)
+        yield from _rows_of(*_summed(*map(np.concatenate, zip(*found))), words)
 
 
-def _rows_of(keys: np.ndarray, n: np.ndarray, words: int) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(keys // words), pa.array(keys % words), pa.array(n)], names=["first", "second", "n"])
+def _rows_of(keys: np.ndarray, n: np.ndarray, words: int) -> Iterator[pa.RecordBatch]:
+    """Batches of ``PAIR_ROWS`` rows, each of which the executor copies outside its heap."""
+    for a in range(0, len(keys), PAIR_ROWS):
+        part = keys[a : a + PAIR_ROWS].astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(part // words), pa.array(part % words), pa.array(n[a : a + PAIR_ROWS])], names=["first", "second", "n"])
 
 
 _PAIRS = "first long, second long, n long"

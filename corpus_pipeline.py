@@ -17,15 +17,20 @@ from cathodyne.llm.simhash import drop_near_duplicates, simhash_groups
 LEAST_SCORE = 0.5
 #: Bits within which fingerprints of shingles are candidates, words of a shingle, and the similarity that confirms a pair.
 BITS, SHINGLE, SIMILARITY = 4, 5, 0.8
-#: Rows and bytes that a task hands to Python at once.
-BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
+#: Rows and bytes that a task hands to Python at once, and rows that it reads from a file at once.
+BATCH = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "500",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "1m",
+    "spark.sql.parquet.columnarReaderBatchSize": "512",
+}
 
 
 def small_batches(spark: SparkSession) -> None:
     """Sets ``BATCH`` for the session, and leaves it set, as what a stage returns runs later.
 
     By default a batch has 10,000 rows, which are copied in the executor's direct memory and in each of its
-    Python workers, beside the heap. No result depends on the size of a batch.
+    Python workers, beside the heap, and 4,096 rows are read at once, whose texts lie in the heap as one array that
+    doubles as it grows. No result depends on the size of a batch.
     """
     for key, value in BATCH.items():
         spark.conf.set(key, value)
